@@ -1 +1 @@
-from tidewell.plans import analyst  # noqa: F401
+from tidewell.plans import analyst, cleaning  # noqa: F401

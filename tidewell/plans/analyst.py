@@ -31,7 +31,7 @@ def mean_by_group(spark, sf):
 
 
 @query("rate_by_group", """
-    select o_orderpriority, count(*) as n, count_if(o_orderstatus = 'F') as hits,
+    select o_orderpriority, count(*) as n, count_if(o_orderstatus = 'F')::bigint as hits,
            round(count_if(o_orderstatus = 'F') / cast(count(*) as double), 6) as rate from orders group by 1""")
 def rate_by_group(spark, sf):
     return frames.rate_by_group(table(spark, sf, "orders"), "o_orderpriority", F.col("o_orderstatus") == "F")
@@ -63,8 +63,8 @@ def t_statistic(spark, sf):
 
 
 @query("precision_recall", """
-    with c as (select count_if(quality = 1 and toxic = 1) as tp, count_if(quality <> 1 and toxic = 1) as fp,
-                      count_if(quality = 1 and toxic <> 1) as fn from labels)
+    with c as (select count_if(quality = 1 and toxic = 1)::bigint as tp, count_if(quality <> 1 and toxic = 1)::bigint as fp,
+                      count_if(quality = 1 and toxic <> 1)::bigint as fn from labels)
     select tp, fp, fn, coalesce(round(tp / nullif(tp + fp, 0)::double, 6), 0) as precision,
            coalesce(round(tp / nullif(tp + fn, 0)::double, 6), 0) as recall from c""")
 def precision_recall(spark, sf):
@@ -149,19 +149,17 @@ def merge_intervals(spark, sf):
     return frames.merge_intervals(views.intervals(spark, sf), "customer", "day_from", "day_to")
 
 
-@query("two_sum_pairs", """
-    with l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
-                      l_extendedprice) as pos, l_quantity as v from lineitem),
+_POS = "l_linenumber * 1000000000000000000 + l_partkey * 100000000 + l_suppkey"
+
+
+@query("two_sum_pairs", f"""
+    with l as (select l_orderkey, cast({_POS} as bigint) as pos, l_quantity as v from lineitem),
          p as (select b.l_orderkey, b.pos as j, max(a.pos) as i from l a join l b
                on a.l_orderkey = b.l_orderkey and a.pos < b.pos and a.v + b.v = 51 group by 1, 2)
     select l_orderkey, i, j from p
     where (l_orderkey, j) in (select l_orderkey, min(j) from p group by 1)""")
 def two_sum_pairs(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    items = table(spark, sf, "lineitem").select(
-        "l_orderkey", F.row_number().over(w).cast("bigint").alias("pos"), F.col("l_quantity").alias("v"))
+    items = table(spark, sf, "lineitem").selectExpr("l_orderkey", f"cast({_POS} as bigint) as pos", "l_quantity as v")
     return frames.two_sum(items, "l_orderkey", "pos", "v", 51.0)
 
 

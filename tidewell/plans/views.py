@@ -29,6 +29,8 @@ _DIRTY = {
                      "else cast(cast(c_acctbal as decimal(12,2)) as string) end",
     "age": "cast(k % 130 - 1 as string)",
     "gender": "case k % 5 when 0 then 'M' when 1 then 'female' when 2 then 'F' when 3 then 'Male' else '-' end",
+    "province": "case k % 6 when 0 then 'GP' when 1 then 'western cape' when 2 then 'KwaZulu Natal' "
+                "when 3 then 'North-West' when 4 then 'GAUTENG' else 'Free  State' end",
     "segment": "case k % 3 when 0 then lower(c_mktsegment) when 1 then c_mktsegment "
                "else ' ' || upper(c_mktsegment) end",
 }
