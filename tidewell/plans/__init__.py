@@ -1 +1 @@
-from tidewell.plans import analyst, cleaning  # noqa: F401
+from tidewell.plans import analyst, cleaning, requests, texts  # noqa: F401

@@ -66,11 +66,21 @@ _MESSAGE = (
     "when 3 then ' This is Lerato customer' || cast(conv_id as string) || '@example.com please escalate' "
     "else '' end"
 )
-MESSAGES = f"select conv_id, turn, {_MESSAGE} as message from conversations where role = 'user'"
+_MESSAGES = {
+    "conv_id": "conv_id",
+    "turn": "turn",
+    "company_id": "'src' || cast(conv_id % 20 as string)",
+    "customer_id": "case when (conv_id + turn) % 9 in (1, 3, 4) then cast(null as string) "
+                   "when (conv_id + turn) % 9 = 5 then 'nobody' else cast(conv_id as string) end",
+    "asked_at": "cast(1704067200 + conv_id * 3600 + turn * 60 as bigint)",
+    "message": _MESSAGE,
+}
+MESSAGES = f"select {_as_sql(_MESSAGES)} from conversations where role = 'user'"
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", f"{_MESSAGE} as message")
+    users = table(spark, sf, "conversations").where("role = 'user'")
+    return users.selectExpr(*[f"{e} as {n}" for n, e in _MESSAGES.items()])
 
 
 _CLIENTS = {
@@ -163,3 +173,31 @@ SUBMISSION = f"select {_as_sql(_SUBMISSION)} from lineitem"
 
 def submission(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _SUBMISSION.items()])
+
+
+# A document as a tagged script: every third line opens a turn of one speaker, every third of the other, the rest continue.
+SPEAKERS = ["host", "guest"]
+
+
+def dialogue(spark: SparkSession, sf: str) -> DataFrame:
+    tagged = F.transform(
+        F.split("text", "\n", -1),
+        lambda line, i: F.when(i % 3 == 1, F.concat(F.lit("**Host:** "), line))
+        .when(i % 3 == 2, F.concat(F.lit("- guest : (laughs) "), line)).otherwise(line))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(tagged, "\n").alias("script"))
+
+
+DIALOGUE = """
+    select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
+        case (i - 1) % 3 when 1 then '**Host:** ' || line when 2 then '- guest : (laughs) ' || line else line end), chr(10)) as script
+    from documents"""
+
+_THINKING = (
+    "case doc_id % 3 when 0 then substr(text, 1, 20) || '<think>plan ' || substr(text, 21, 30) || '</think>' || substr(text, 21) "
+    "when 1 then substr(text, 1, 40) || ' a < b <think>' || substr(text, 41) else text end"
+)
+THINKING = f"select doc_id, {_THINKING} as answer from documents"
+
+
+def thinking(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").selectExpr("doc_id", f"{_THINKING} as answer")
