@@ -140,23 +140,7 @@ def rolling_mean(
     A hot key is cut into consecutive pieces; each piece also gets the ``window - 1`` rows before it.
     """
     order = [F.col(position), F.col(tie)]
-    rows, was_split = skew.split_hot(df, keys, position, part_rows)
-    rows = rows.withColumn("_extra", F.lit(False))
-    if was_split and window > 1:
-        tail = Window.partitionBy(*keys, "_part").orderBy(F.desc(position), F.desc(tie))
-        tails = rows.withColumn("_r", F.row_number().over(tail)).where(F.col("_r") < window).drop("_r")
-        # one row per piece: the last rows of all earlier pieces
-        seen = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window - 1), -1)
-        first = Window.partitionBy(*keys, "_part").orderBy(*order)
-        packed = F.struct(*[F.col(c) for c in df.columns if c not in keys])
-        lead = (
-            tails.withColumn("_lead", F.collect_list(packed).over(seen))
-            .withColumn("_r", F.row_number().over(first))
-            .where(F.col("_r") == 1)
-            .select(*keys, "_part", F.explode("_lead").alias("_l"))
-            .select(*keys, "_l.*", "_part", F.lit(True).alias("_extra"))
-        )
-        rows = rows.unionByName(lead)
+    rows = skew.with_lookback(df, keys, position, tie, window - 1, part_rows)
     frame = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(-(window - 1), 0)
     full = F.count(value).over(frame) == window
     out = rows.withColumn("rolling_mean", F.when(full, F.avg(value).over(frame)))

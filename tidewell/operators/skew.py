@@ -60,6 +60,34 @@ def split_hot(df: DataFrame, keys: list[str], position: str, part_rows: int = PA
     return placed.withColumn("_part", F.greatest(part, F.lit(0))).drop("_bounds"), True
 
 
+def with_lookback(
+    df: DataFrame, keys: list[str], position: str, tie: str, rows_back: int, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Cut hot keys into pieces (``_part``) and give each piece the ``rows_back`` rows before it, marked ``_extra``.
+
+    A window over ``keys`` and ``_part`` that looks back at most ``rows_back`` rows is then exact for every other row.
+    """
+    rows, was_split = split_hot(df, keys, position, part_rows)
+    rows = rows.withColumn("_extra", F.lit(False))
+    if not was_split or rows_back < 1:
+        return rows
+    ends = Window.partitionBy(*keys, "_part").orderBy(F.desc(position), F.desc(tie))
+    tails = rows.withColumn("_r", F.row_number().over(ends)).where(F.col("_r") <= rows_back).drop("_r")
+    # the last rows of all earlier pieces, seen from the first row of each piece
+    order = [F.col(position), F.col(tie)]
+    seen = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows_back, -1)
+    first = Window.partitionBy(*keys, "_part").orderBy(*order)
+    packed = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    lead = (
+        tails.withColumn("_lead", F.collect_list(packed).over(seen))
+        .withColumn("_r", F.row_number().over(first))
+        .where(F.col("_r") == 1)
+        .select(*keys, "_part", F.explode("_lead").alias("_l"))
+        .select(*keys, "_l.*", "_part", F.lit(True).alias("_extra"))
+    )
+    return rows.unionByName(lead)
+
+
 def carried(df: DataFrame, keys: list[str], **parts: Column) -> DataFrame:
     """For each piece of a split key: aggregates over all of the key's earlier pieces.
 
