@@ -162,10 +162,10 @@ def extract_text(c: Column) -> Column:
     return trim_all(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
-def strip_code(c: Column) -> Column:
-    """Blank out string literals and comments but keep every line break, so line numbers stay right."""
-    kept = F.split(c, fixed.CODE_TEXT, -1)
-    cut = F.regexp_extract_all(c, F.lit(fixed.CODE_TEXT), F.lit(0))
+def strip_literals(c: Column, pattern: str) -> Column:
+    """Blank out every match but keep its line breaks, so line numbers stay right."""
+    kept = F.split(c, pattern, -1)
+    cut = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
     def with_gap(piece: Column, i: Column) -> Column:
         lost = F.get(cut, i)
@@ -173,3 +173,8 @@ def strip_code(c: Column) -> Column:
         return F.concat(piece, F.when(lost.isNull(), "").otherwise(gap))
 
     return F.array_join(F.transform(kept, with_gap), "")
+
+
+def strip_code(c: Column) -> Column:
+    """Java code without string literals and comments."""
+    return strip_literals(c, fixed.CODE_TEXT)

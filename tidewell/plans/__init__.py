@@ -1 +1 @@
-from tidewell.plans import analyst, cleaning, requests, support, texts  # noqa: F401
+from tidewell.plans import analyst, cleaning, grading, requests, support, texts  # noqa: F401
