@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 from collections import OrderedDict
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,16 +99,26 @@ def escalation_step(state: dict, reason: str | None, has_email: bool) -> tuple[s
 # --- running a step function over a table --------------------------------------
 
 
+@dataclass(frozen=True)
+class Rule:
+    """``run(state, rows) -> (new columns, state)`` over the ordered rows of one key, and the columns it adds."""
+
+    run: Callable
+    added: str
+    order: tuple[str, ...]
+
+
 def sequential(
-    df: DataFrame, keys: list[str], order: list[str], run, added: str, part_rows: int = skew.PART_ROWS
+    df: DataFrame, keys: list[str], rule: Rule, part_rows: int = skew.PART_ROWS
 ) -> DataFrame:
-    """Apply ``run(state, rows) -> (new columns, state)`` to each key's rows in order.
+    """Apply a rule to each key's rows in order.
 
-    ``run`` gets at most about ``part_rows`` rows at a time.  Keys with more are cut into consecutive pieces along the
+    The rule gets at most about ``part_rows`` rows at a time.  Keys with more are cut into consecutive pieces along the
     first order column; piece after piece is run, and the state of each key, written out, links them.
     """
-    schema = T.StructType(df.schema.fields + T.StructType.fromDDL(added).fields)
+    schema = T.StructType(df.schema.fields + T.StructType.fromDDL(rule.added).fields)
     names = [f.name for f in schema.fields]
+    order, run = list(rule.order), rule.run
 
     def once(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
@@ -144,25 +156,21 @@ def sequential(
     return done
 
 
-def rate_limit(
-    df: DataFrame, keys: list[str], time: str, tie: str, limit: int = fixed.RATE_LIMIT,
-    window_seconds: int = fixed.RATE_WINDOW_SECONDS, part_rows: int = skew.PART_ROWS,
-) -> DataFrame:
-    """Sliding-window limit per key; adds ``allowed``.  ``time`` is in microseconds."""
+def limit_rule(time: str, tie: str, limit: int = fixed.RATE_LIMIT, window_seconds: int = fixed.RATE_WINDOW_SECONDS) -> Rule:
+    """Sliding-window limit; adds ``allowed``.  ``time`` is in microseconds."""
 
     def run(state, rows):
         hits = state or []
         return {"allowed": [limit_step(hits, t, limit, window_seconds * SECOND) for t in rows[time].tolist()]}, hits
 
-    return sequential(df, keys, [time, tie], run, "allowed boolean", part_rows)
+    return Rule(run, "allowed boolean", (time, tie))
 
 
-def rate_limit_two_level(
-    df: DataFrame, network: str, browser: str, time: str, tie: str, limit: int = fixed.RATE_LIMIT,
-    factor: int = fixed.NETWORK_FACTOR, window_seconds: int = fixed.RATE_WINDOW_SECONDS,
-    part_rows: int = skew.PART_ROWS,
-) -> DataFrame:
-    """Limit per browser, then per network; adds ``verdict``."""
+def two_level_rule(
+    browser: str, time: str, tie: str, limit: int = fixed.RATE_LIMIT, factor: int = fixed.NETWORK_FACTOR,
+    window_seconds: int = fixed.RATE_WINDOW_SECONDS,
+) -> Rule:
+    """Limit per browser, then per network (the key); adds ``verdict``."""
 
     def run(state, rows):
         state = state or {}
@@ -170,13 +178,10 @@ def rate_limit_two_level(
         return {"verdict": [
             two_level_step(state, b, t, limit, limit * factor, window_seconds * SECOND) for b, t in pairs]}, state
 
-    return sequential(df, [network], [time, tie], run, "verdict string", part_rows)
+    return Rule(run, "verdict string", (time, tie))
 
 
-def hold(
-    df: DataFrame, keys: list[str], time: str, tie: str, seconds: int | str, flag: str,
-    part_rows: int = skew.PART_ROWS,
-) -> DataFrame:
+def hold_rule(time: str, tie: str, seconds: int | str = fixed.TTL_SECONDS, flag: str = "hit") -> Rule:
     """Reuse within a fixed time of the first answer; adds ``flag``.  ``seconds``: a number, or a column of numbers."""
 
     def run(expires, rows):
@@ -187,22 +192,13 @@ def hold(
             out.append(hit)
         return {flag: out}, expires
 
-    return sequential(df, keys, [time, tie], run, f"{flag} boolean", part_rows)
+    return Rule(run, f"{flag} boolean", (time, tie))
 
 
-def ttl_reuse(df, keys, time, tie, ttl_seconds: int = fixed.TTL_SECONDS, part_rows: int = skew.PART_ROWS) -> DataFrame:
-    return hold(df, keys, time, tie, ttl_seconds, "hit", part_rows)
-
-
-def single_flight(df, keys, time, tie, duration: str, part_rows: int = skew.PART_ROWS) -> DataFrame:
-    """Requests that arrive while an equal one is under way share its result; adds ``shared``."""
-    return hold(df, keys, time, tie, duration, "shared", part_rows)
-
-
-def circuit_state(
-    df: DataFrame, keys: list[str], time: str, tie: str, outcome: str, threshold: int = fixed.BREAKER_THRESHOLD,
-    cooldown_seconds: int = fixed.BREAKER_COOLDOWN_SECONDS, part_rows: int = skew.PART_ROWS,
-) -> DataFrame:
+def breaker_rule(
+    time: str, tie: str, outcome: str, threshold: int = fixed.BREAKER_THRESHOLD,
+    cooldown_seconds: int = fixed.BREAKER_COOLDOWN_SECONDS,
+) -> Rule:
     """Circuit breaker over a call log; adds ``allowed``, ``status``, ``retry_in`` as they are after each call."""
 
     def run(state, rows):
@@ -215,13 +211,11 @@ def circuit_state(
             retry.append(r)
         return {"allowed": allowed, "status": status, "retry_in": retry}, state
 
-    return sequential(df, keys, [time, tie], run, "allowed boolean, status string, retry_in int", part_rows)
+    return Rule(run, "allowed boolean, status string, retry_in int", (time, tie))
 
 
-def escalation_flow(
-    df: DataFrame, keys: list[str], turn: str, reason: str, email: str, part_rows: int = skew.PART_ROWS
-) -> DataFrame:
-    """Escalation state of each conversation; adds ``action`` and ``ticket_reason``."""
+def escalation_rule(turn: str, reason: str, email: str) -> Rule:
+    """Escalation state of a conversation; adds ``action`` and ``ticket_reason``."""
 
     def run(state, rows):
         state = state or {}
@@ -232,7 +226,34 @@ def escalation_flow(
             why.append(w)
         return {"action": action, "ticket_reason": why}, state
 
-    return sequential(df, keys, [turn], run, "action string, ticket_reason string", part_rows)
+    return Rule(run, "action string, ticket_reason string", (turn,))
+
+
+def rate_limit(df, keys, time, tie, limit, window_seconds, part_rows: int = skew.PART_ROWS) -> DataFrame:
+    return sequential(df, keys, limit_rule(time, tie, limit, window_seconds), part_rows)
+
+
+def ttl_reuse(df, keys, time, tie, ttl_seconds: int = fixed.TTL_SECONDS, part_rows: int = skew.PART_ROWS) -> DataFrame:
+    return sequential(df, keys, hold_rule(time, tie, ttl_seconds), part_rows)
+
+
+def single_flight(df, keys, time, tie, duration: str, part_rows: int = skew.PART_ROWS) -> DataFrame:
+    """Requests that arrive while an equal one is under way share its result; adds ``shared``."""
+    return sequential(df, keys, hold_rule(time, tie, duration, "shared"), part_rows)
+
+
+def circuit_state(df, keys, time, tie, outcome, part_rows: int = skew.PART_ROWS) -> DataFrame:
+    return sequential(df, keys, breaker_rule(time, tie, outcome), part_rows)
+
+
+def rate_limit_two_level(
+    df, network, browser, time, tie, limit, factor, window_seconds, part_rows: int = skew.PART_ROWS
+) -> DataFrame:
+    return sequential(df, [network], two_level_rule(browser, time, tie, limit, factor, window_seconds), part_rows)
+
+
+def escalation_flow(df, keys, turn, reason, email, part_rows: int = skew.PART_ROWS) -> DataFrame:
+    return sequential(df, keys, escalation_rule(turn, reason, email), part_rows)
 
 
 def lru_hits(
