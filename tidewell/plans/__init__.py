@@ -1 +1 @@
-from tidewell.plans import analyst, cleaning, grading, requests, streams, support, texts  # noqa: F401
+from tidewell.plans import analyst, cleaning, files, grading, requests, streams, support, texts  # noqa: F401

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text
 from tidewell.operators import sequences, support
-from tidewell.plans import duck, requests, views
+from tidewell.plans import duck, requests, texts, views
 from tidewell.plans import support as desk
 from tidewell.plans.registry import ORACLES, query
+from tidewell.session import work_dir
 from tidewell.streaming import jobs
 from tidewell.streaming.processors import stateful
 
@@ -81,14 +82,23 @@ def escalation_stream(spark, sf):
     return jobs.run_to_table(out, "escalation").select("conv_id", "turn", "action", "ticket_reason")
 
 
-@query("dialogue_stream")
+_SPOKEN = texts._MARKUP
+
+
+@query("dialogue_stream", f"""
+    with clean as (select conv_id, turn, role as speaker, {_SPOKEN} as t from conversations),
+         p as (select *, {texts._fold(texts._split('t'), "a.u <> '' and length(a.u) + length(b.u) + 1 > 420")} as f from clean where t <> ''),
+         q as (select *, case when length(t) <= 420 then [t] else list_transform(
+               case when f.u <> '' then list_append(f.c, f.u) else f.c end, lambda x: substr(x, 1, 420)) end as parts from p)
+    select conv_id, turn, speaker, cast(generate_subscripts(parts, 1) - 1 as integer) as part, unnest(parts) as text from q""")
 def dialogue_stream(spark, sf):
-    """Conversations as scripts that arrive turn by turn; the last turn of each is released by an end mark."""
+    """Conversations as scripts that arrive turn by turn."""
     turns = jobs.file_stream(spark, sf, "conversations.parquet")
     pieces = turns.select("conv_id", "turn", F.concat(F.upper("role"), F.lit(": "), "text", F.lit("\n")).alias("piece"))
     out = stateful(pieces, ["conv_id"], jobs.dialogue_rule("turn", "piece", ["user", "assistant", "system"]))
-    lines = jobs.released_lines(jobs.run_to_table(out, "dialogue"), ["conv_id"], "turn")
-    return lines.select("conv_id", "turn", F.col("_p").alias("part"), "speaker", "text")
+    marks = work_dir(spark, "dialogue-checkpoint")
+    done = jobs.released_turns(jobs.run_to_table(out, "dialogue", marks), ["conv_id"])
+    return jobs.spoken(done.unionByName(jobs.open_turns(spark, marks, ["conv_id"])), ["conv_id"])
 
 
 @query("topic_counts_stream", f"""

@@ -22,10 +22,10 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     )
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all data that is there now into a parquet table; exactly once, restartable."""
+def run_to_table(stream: DataFrame, label: str, marks: str | None = None) -> DataFrame:
+    """Run a stream over all data that is there now into a parquet table; exactly once, restartable from ``marks``."""
     spark = stream.sparkSession
-    out, marks = work_dir(spark, label), work_dir(spark, f"{label}-checkpoint")
+    out, marks = work_dir(spark, label), marks or work_dir(spark, f"{label}-checkpoint")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(
         availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -48,9 +48,10 @@ def running_counts(stream: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def dialogue_rule(order: str, piece: str, speakers: list[str]) -> Rule:
-    """Lines of a script that arrives in pieces: a line is released when the next speaker starts.
+    """Lines of a script that arrives in pieces: a turn is released when the next speaker starts.
 
-    State is the unfinished physical line and the open turn; ``released`` is a JSON list of (speaker, text).
+    State is the unfinished physical line and the open turn; ``released`` is a JSON list of [speaker, text, position of
+    the piece the turn began in].
     """
     import re
 
@@ -60,7 +61,7 @@ def dialogue_rule(order: str, piece: str, speakers: list[str]) -> Rule:
     def run(state, rows):
         state = state or {"buffer": "", "open": None}
         out = []
-        for chunk in rows[piece].tolist():
+        for chunk, at in zip(rows[piece].tolist(), rows[order].tolist(), strict=True):
             done = []
             *lines, state["buffer"] = (state["buffer"] + chunk).split("\n")
             for line in lines:
@@ -68,7 +69,7 @@ def dialogue_rule(order: str, piece: str, speakers: list[str]) -> Rule:
                 if found:
                     if state["open"]:
                         done.append(state["open"])
-                    state["open"] = [found.group(1).lower(), found.group(2)]
+                    state["open"] = [found.group(1).lower(), found.group(2), str(at)]
                 elif line.strip() and state["open"]:
                     state["open"][1] += " " + line
             out.append(json.dumps(done, ensure_ascii=False))
@@ -77,10 +78,23 @@ def dialogue_rule(order: str, piece: str, speakers: list[str]) -> Rule:
     return Rule(run, "released string", (order,))
 
 
-def released_lines(released: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Explode released turns, clean them and cut long ones."""
+def released_turns(released: DataFrame, keys: list[str]) -> DataFrame:
     turns = F.from_json("released", "array<array<string>>")
-    rows = released.select(*keys, order, F.posexplode(turns).alias("_n", "_t"))
-    clean = rows.select(*keys, order, "_n", F.col("_t")[0].alias("speaker"), text.strip_markup(F.col("_t")[1]).alias("_text"))
-    clean = clean.where(F.col("_text") != "")
-    return clean.select(*keys, order, "_n", "speaker", F.posexplode(packing.spoken_lines(F.col("_text"))).alias("_p", "text"))
+    return released.select(*keys, F.explode(turns).alias("_t")).select(
+        *keys, F.col("_t")[2].cast("bigint").alias("turn"), F.col("_t")[0].alias("speaker"), F.col("_t")[1].alias("text"))
+
+
+def open_turns(spark: SparkSession, marks: str, keys: list[str]) -> DataFrame:
+    """Turns still open when a dialogue stream stopped, read from its state; the end of the stream releases them."""
+    state = spark.read.format("statestore").option("stateVarName", "state").load(marks)
+    body = F.from_json(F.col("value.body"), "buffer string, open array<string>")
+    rest = state.select(*[F.col(f"key.{k}").alias(k) for k in keys], body.alias("b")).where(F.col("b.open").isNotNull())
+    text_now = F.concat(F.col("b.open")[1], F.when(F.col("b.buffer") != "", F.concat(F.lit(" "), "b.buffer")).otherwise(""))
+    return rest.select(
+        *keys, F.col("b.open")[2].cast("bigint").alias("turn"), F.col("b.open")[0].alias("speaker"), text_now.alias("text"))
+
+
+def spoken(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """Clean turns and cut long ones into lines."""
+    clean = turns.select(*keys, "turn", "speaker", text.strip_markup(F.col("text")).alias("_text")).where(F.col("_text") != "")
+    return clean.select(*keys, "turn", "speaker", F.posexplode(packing.spoken_lines(F.col("_text"))).alias("part", "text"))
