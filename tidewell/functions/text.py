@@ -167,12 +167,11 @@ def strip_literals(c: Column, pattern: str) -> Column:
     kept = F.split(c, pattern, -1)
     cut = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
-    def with_gap(piece: Column, i: Column) -> Column:
-        lost = F.get(cut, i)
+    def with_gap(piece: Column, lost: Column) -> Column:
         gap = F.when(lost.contains("\n"), F.regexp_replace(lost, r"[^\n]+", "")).otherwise(F.lit(" "))
         return F.concat(piece, F.when(lost.isNull(), "").otherwise(gap))
 
-    return F.array_join(F.transform(kept, with_gap), "")
+    return F.array_join(F.zip_with(kept, cut, with_gap), "")
 
 
 def strip_code(c: Column) -> Column:

@@ -204,15 +204,13 @@ def _swallowed(lines: Column) -> Column:
 def _axis(lines: Column, logic: Column) -> Column:
     def at(line: Column, i: Column) -> Column:
         start = F.regexp_extract(line, AXIS, 1)
-        fires = logic.rlike(BAR) & (start.try_cast("double") > 0)
+        fires = (start.try_cast("double") > 0) & logic.rlike(BAR)
         return F.when(fires, _finding("bar-axis", "warning", i + 1, _worded(AXIS_MESSAGE, i + 1, start)))
 
     return F.filter(F.transform(lines, at), lambda f: f.isNotNull())
 
 
-def _leaks(lines: Column) -> Column:
-    first_split = F.array_min(F.transform(lines, lambda line, i: F.when(line.rlike(SPLIT_CALL), i)))
-
+def _leaks(lines: Column, first_split: Column) -> Column:
     def at(line: Column, i: Column) -> Column:
         name, call = F.lower(F.regexp_extract(line, FIT_CALL, 1)), F.regexp_extract(line, FIT_CALL, 2)
         message = _worded(LEAK_MESSAGE, i + 1, name, call)
@@ -265,7 +263,9 @@ def _with_logic(snippets: DataFrame) -> DataFrame:
     java = F.col("language").isin("java", "spring")
     logic = F.when(java, text.strip_code(F.col("code"))).otherwise(strip_python(F.col("code")))
     out = snippets.select("snippet_id", "language", "code", logic.alias("logic"))
-    return out.select("*", F.split("logic", "\n", -1).alias("lines"))
+    out = out.select("*", F.split("logic", "\n", -1).alias("lines"))
+    first_split = F.array_min(F.transform("lines", lambda line, i: F.when(line.rlike(SPLIT_CALL), i)))
+    return out.select("*", first_split.alias("first_split"))
 
 
 def _explode(df: DataFrame, found: Column) -> DataFrame:
@@ -293,13 +293,13 @@ def lint_data_science(snippets: DataFrame) -> DataFrame:
     """Data-science findings; equal messages show once per snippet."""
     df = _with_logic(snippets)
     lines, logic = F.col("lines"), F.col("logic")
-    parts = [_line_rule(r, lines) for r in DATA_LINE_RULES] + [_axis(lines, logic), _leaks(lines)]
+    parts = [_line_rule(r, lines) for r in DATA_LINE_RULES] + [_axis(lines, logic), _leaks(lines, F.col("first_split"))]
     parts += [_code_rule(r, F.col("code"), logic) for r in DATA_RULES]
     return _explode(df, F.array_distinct(F.concat(*parts)))
 
 
 def lint_leakage(snippets: DataFrame) -> DataFrame:
-    return _explode(_with_logic(snippets), _leaks(F.col("lines")))
+    return _explode(_with_logic(snippets), _leaks(F.col("lines"), F.col("first_split")))
 
 
 def bracket_balance(snippets: DataFrame) -> DataFrame:

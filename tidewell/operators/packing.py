@@ -44,25 +44,25 @@ def spoken_lines(c: Column, size: int = fixed.LINE_SIZE) -> Column:
     return F.when(F.length(c) <= size, F.array(c)).otherwise(split)
 
 
-def _pieces(c: Column, separators: list[str], size: int) -> Column:
+def _pieces(c: Column, separators: list[str], size: int, parent: Column) -> Column:
     """Text cut at the first separator, parts that stay too long at the next, and so on; the last cut is by character.
 
-    A part keeps the separator before it.  ``fresh`` marks parts that must not be joined to the part before.
+    A part keeps the separator before it.  ``parent`` names the text it was cut from: only neighbours with the same
+    parent may be joined again.
     """
     if not separators:
         return F.transform(F.filter(F.split(c, ""), lambda x: x != ""),
-                           lambda x, i: F.struct(x.alias("part"), (i == 0).alias("fresh")))
+                           lambda x: F.struct(x.alias("part"), parent.alias("parent")))
     mark = "\u0002"
     cut = F.split(F.replace(c, F.lit(separators[0]), F.lit(mark + separators[0])), mark, -1)
-    parts = F.filter(cut, lambda x: x != "")
 
     def one(s: Column, i: Column) -> Column:
-        after_long = (i == 0) | (F.length(F.get(parts, i - 1)) >= size)
-        return F.when(F.length(s) < size, F.array(F.struct(s.alias("part"), after_long.alias("fresh")))).otherwise(
-            _pieces(s, separators[1:], size)
+        inner = F.concat(parent, i.cast("string"), F.lit("/"))
+        return F.when(F.length(s) < size, F.array(F.struct(s.alias("part"), parent.alias("parent")))).otherwise(
+            _pieces(s, separators[1:], size, inner)
         )
 
-    return F.flatten(F.transform(parts, one))
+    return F.flatten(F.transform(F.filter(cut, lambda x: x != ""), one))
 
 
 def overlapping_chunks(c: Column, size: int = 800, overlap: int = 100) -> Column:
@@ -72,37 +72,42 @@ def overlapping_chunks(c: Column, size: int = 800, overlap: int = 100) -> Column
     fit into ``overlap``.
     """
     nothing = F.array().cast("array<string>")
-    empty = F.struct(nothing.alias("done"), nothing.alias("open"), F.lit(0).alias("total"))
 
-    def closed(state: Column) -> Column:
-        whole = text.trim_all(F.array_join(state["open"], ""))
-        return F.when(whole != "", F.array_append(state["done"], whole)).otherwise(state["done"])
+    def current(parts: Column, total: Column) -> Column:
+        return F.struct(parts.alias("parts"), total.alias("total"), F.lit(True).alias("more"))
 
-    def tail(parts: Column, room: Column) -> Column:
-        def back(s: Column, w: Column) -> Column:
-            total = s["total"] + F.length(w)
-            fits = s["more"] & (total <= room)
+    def state(done: Column, parent: Column, now: Column) -> Column:
+        return F.struct(done.alias("done"), parent.alias("parent"), now.alias("now"))
+
+    def closed(s: Column) -> Column:
+        whole = text.trim_all(F.array_join(s["now"]["parts"], ""))
+        return F.when(whole != "", F.array_append(s["done"], whole)).otherwise(s["done"])
+
+    def restart(s: Column, part: Column) -> Column:
+        """The new part with as many parts before it as the overlap and the size allow."""
+        n = F.length(part)
+        room = F.least(F.lit(overlap), F.lit(size) - n)
+
+        def back(kept: Column, w: Column) -> Column:
+            total = kept["total"] + F.length(w)
             return F.when(
-                fits, F.struct(F.array_prepend(s["open"], w).alias("open"), total.alias("total"), F.lit(True).alias("more"))
-            ).otherwise(F.struct(s["open"].alias("open"), s["total"].alias("total"), F.lit(False).alias("more")))
+                kept["more"] & (total <= room + n),
+                F.struct(F.array_prepend(kept["parts"], w).alias("parts"), total.alias("total"), F.lit(True).alias("more")),
+            ).otherwise(F.struct(kept["parts"].alias("parts"), kept["total"].alias("total"), F.lit(False).alias("more")))
 
-        start = F.struct(nothing.alias("open"), F.lit(0).alias("total"), F.lit(True).alias("more"))
-        return F.aggregate(F.reverse(parts), start, back)
+        return F.aggregate(F.reverse(s["now"]["parts"]), current(F.array(part), n), back)
 
-    def add(state: Column, p: Column) -> Column:
+    def add(s: Column, p: Column) -> Column:
         part, n = p["part"], F.length(p["part"])
-        over = state["total"] + n > size
-        room = F.least(F.lit(overlap), F.lit(size) - n)
-        kept = tail(state["open"], room)
+        joined = current(F.array_append(s["now"]["parts"], part), s["now"]["total"] + n)
         return (
-            F.when(p["fresh"], F.struct(closed(state).alias("done"), F.array(part).alias("open"), n.alias("total")))
-            .when(over, F.struct(closed(state).alias("done"), F.array_append(kept["open"], part).alias("open"),
-                                 (kept["total"] + n).alias("total")))
-            .otherwise(F.struct(state["done"].alias("done"), F.array_append(state["open"], part).alias("open"),
-                                (state["total"] + n).alias("total")))
+            F.when(p["parent"] != s["parent"], state(closed(s), p["parent"], current(F.array(part), n)))
+            .when(s["now"]["total"] + n > size, state(closed(s), p["parent"], restart(s, part)))
+            .otherwise(state(s["done"], p["parent"], joined))
         )
 
-    return F.aggregate(_pieces(c, ["\n\n", "\n", " "], size), empty, add, closed)
+    start = state(nothing, F.lit(""), current(nothing, F.lit(0)))
+    return F.aggregate(_pieces(c, ["\n\n", "\n", " "], size, F.lit("")), start, add, closed)
 
 
 def read_aloud(c: Column, size: int = 220) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text
 from tidewell.operators import frames
 from tidewell.plans import views
-from tidewell.plans.registry import query, table
+from tidewell.plans.registry import documents, query, table
 
 
 @query("top_n", "select o_orderkey, o_custkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
@@ -100,7 +100,7 @@ def zscore_outliers(spark, sf):
     select word, count(*) as n
     from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) group by 1""")
 def word_count(spark, sf):
-    return frames.word_count(table(spark, sf, "documents"), "text")
+    return frames.word_count(documents(spark, sf), "text")
 
 
 @query("anagram_groups", """
@@ -108,7 +108,7 @@ def word_count(spark, sf):
          k as (select word, array_to_string(list_sort(string_split(word, '')), '') as letters from w)
     select word, letters, count(*) over (partition by letters) as group_size from k""")
 def anagram_groups(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(text.letter_words(F.col("text"))).alias("word"))
+    words = documents(spark, sf).select(F.explode(text.letter_words(F.col("text"))).alias("word"))
     return frames.anagram_groups(words, "word")
 
 
@@ -180,7 +180,7 @@ def stratified_sample(spark, sf):
                       doc_id) as r, count(*) over () as n from documents)
     select doc_id, r <= round_even(n * 0.2::double, 0) as is_test from r""")
 def train_test_split(spark, sf):
-    return frames.train_test_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.2, "7")
+    return frames.train_test_split(documents(spark, sf).select("doc_id"), "doc_id", 0.2, "7")
 
 
 @query("filter_map_sort", f"""
@@ -197,7 +197,7 @@ def filter_map_sort(spark, sf):
     from documents""")
 def flatten_arrays(spark, sf):
     nested = F.transform(F.split("text", "\n", -1), lambda line: F.split(line, " ", -1))
-    return table(spark, sf, "documents").select("doc_id", F.size(F.flatten(nested)).alias("items"))
+    return documents(spark, sf).select("doc_id", F.size(F.flatten(nested)).alias("items"))
 
 
 @query("palindromes", r"""
@@ -206,7 +206,7 @@ def flatten_arrays(spark, sf):
                            = lower(regexp_replace(word, '[^\p{L}\p{N}]', '', 'g'))""")
 def palindromes(spark, sf):
     found = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}'-]+"), F.lit(0))).alias("word")
-    words = table(spark, sf, "documents").select(found).distinct()
+    words = documents(spark, sf).select(found).distinct()
     return words.where(text.is_palindrome(F.col("word")))
 
 

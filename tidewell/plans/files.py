@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import cleaning
 from tidewell.plans import cleaning as clean_plans
 from tidewell.plans import duck, support, views
-from tidewell.plans.registry import ORACLES, query, table
+from tidewell.plans.registry import ORACLES, documents, query, table
 from tidewell.session import work_dir
 from tidewell.sources import files
 
@@ -40,7 +40,7 @@ def scan_sniff_delimiter(spark, sf):
     union all select 'ISO-8859-1', case when max(cast(text <> regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as integer)) = 1
         then 'windows-1252' else 'UTF-8' end, count(*) from documents""")
 def scan_encoding_detect(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     lines = docs.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value"))
     out = []
     for name in ("UTF-8", "ISO-8859-1"):
@@ -83,7 +83,7 @@ def kb_json_scan(spark, sf):
 def kb_markdown_scan(spark, sf):
     """Documents written as Markdown files of a few notes each, then scanned, cut and titled."""
     path = work_dir(spark, "markdown")
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     note = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n# Note "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
     docs.select(note.alias("value")).write.option("maxRecordsPerFile", 50).text(path)
     whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)

@@ -8,7 +8,7 @@ from tidewell import fixed
 from tidewell.operators import grading, lint
 from tidewell.operators.support import spread_join
 from tidewell.plans import duck, views
-from tidewell.plans.registry import query, table
+from tidewell.plans.registry import documents, query, table
 
 # Code templates, good and bad; part k takes template k % n with its own key in the names.
 SNIPPETS = [
@@ -330,6 +330,6 @@ def interview_summary(spark, sf):
            coalesce(score < 75, false) as needs_review from s""")
 def quality_score(spark, sf):
     """Labels as criteria per source; one source stands for answers that could not be evaluated."""
-    docs = table(spark, sf, "documents").select("doc_id", "source")
+    docs = documents(spark, sf).select("doc_id", "source")
     both = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return grading.quality_score(both, "source", F.col("quality") == 1, F.col("source") != "src0")

@@ -9,8 +9,9 @@ from tidewell import fixed
 from tidewell.functions import text
 from tidewell.operators import packing, search, sequences, skew, support
 from tidewell.plans import duck, views
-from tidewell.plans.registry import query, table
+from tidewell.plans.registry import documents, query, table
 from tidewell.plans.texts import CHUNKS
+from tidewell.session import materialise
 
 # --- retrieval ------------------------------------------------------------------
 
@@ -82,7 +83,7 @@ def hash_embed(spark, sf):
 
 def _chunks(spark, sf):
     """Chunk records of every document: id, company, position, text."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     parts = docs.select("doc_id", F.col("source").alias("company_id"),
                         F.posexplode(packing.chunks(F.col("text"))).alias("pos", "chunk"))
     return parts.withColumn("id", F.concat_ws("_", "company_id", F.col("doc_id").cast("string"), F.col("pos").cast("string")))
@@ -185,7 +186,7 @@ def _sources(spark, sf):
     notes = topics.join(kb, F.col("query_id") == F.col("doc_id")).select(
         F.col("query_id").alias("topic_id"), F.lit(0).alias("rank"), F.lit("Your notes").alias("title"),
         F.substring(text.trim_all(F.col("text")), 1, fixed.NOTES_SIZE).alias("text"))
-    hits = search.keyword_search(topics, kb).select("query_id", "doc_id", "rank")
+    hits = materialise(search.keyword_search(topics, kb).select("query_id", "doc_id", "rank"), "hits")
     found = hits.join(kb, "doc_id").select(F.col("query_id").alias("topic_id"), "rank", "title", "text")
     return notes.unionByName(found)
 
@@ -201,7 +202,7 @@ def gather_sources(spark, sf):
     with t as (select source as topic_id, doc_id as rank, sum(length(text)) over (partition by source order by doc_id) as running from documents)
     select topic_id, rank, cast(running as bigint) as running from t where running <= 14000""")
 def context_budget(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("source").alias("topic_id"), F.col("doc_id").alias("rank"), "text")
+    docs = documents(spark, sf).select(F.col("source").alias("topic_id"), F.col("doc_id").alias("rank"), "text")
     return search.context_budget(docs.where("text <> ''"), fixed.CONTEXT_SIZE).select("topic_id", "rank", "running")
 
 
@@ -310,7 +311,7 @@ def _flow(spark, sf, part_rows=skew.PART_ROWS):
     rows = _found(spark, sf).select(
         "conv_id", "turn", support.escalation_reason(F.col("message"), F.col("billing_current")).alias("reason"),
         text.first_email(F.col("message")).alias("mail"))
-    return sequences.escalation_flow(rows, ["conv_id"], "turn", "reason", "mail", part_rows)
+    return materialise(sequences.escalation_flow(rows, ["conv_id"], "turn", "reason", "mail", part_rows), "flow")
 
 
 @query("escalation_flow", f"with recursive {_FLOW} select conv_id, turn, action, ticket_reason from flow where rn > 0")
@@ -318,8 +319,8 @@ def escalation_flow(spark, sf):
     return _flow(spark, sf).select("conv_id", "turn", "action", "ticket_reason")
 
 
-def _tickets(spark, sf):
-    opened = _flow(spark, sf).where("action = 'ticket'").select("conv_id", "turn", F.col("ticket_reason").alias("reason"))
+def _tickets(spark, sf, flow=None):
+    opened = (flow or _flow(spark, sf)).where("action = 'ticket'").select("conv_id", "turn", F.col("ticket_reason").alias("reason"))
     asked = _found(spark, sf).join(opened, ["conv_id", "turn"])
     named = support.extract_contacts(asked)
     known = F.col("found_customer_id").isNotNull()
@@ -372,14 +373,15 @@ _TOPIC_ROWS = f"""
 
 def _hits(spark, sf):
     found = search.keyword_search(_asked(spark, sf).select("query_id", "message"), views.kb(spark, sf))
+    found = materialise(found, "hits")  # at most three rows per message, read by several steps
     return found.withColumn("conv_id", F.floor(F.col("query_id") / 1000)).withColumn("turn", F.col("query_id") % 1000)
 
 
-def _turn_topics(spark, sf):
+def _turn_topics(spark, sf, flow=None, hits=None):
     # at most three hits per turn, so the list is short
     order = F.transform(F.sort_array(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"])
-    titles = _hits(spark, sf).groupBy("conv_id", "turn").agg(order.alias("titles"))
-    turns = _flow(spark, sf).select("conv_id", "turn", (F.col("action") == "ticket").alias("escalated"))
+    titles = (hits or _hits(spark, sf)).groupBy("conv_id", "turn").agg(order.alias("titles"))
+    turns = (flow or _flow(spark, sf)).select("conv_id", "turn", (F.col("action") == "ticket").alias("escalated"))
     turns = turns.join(titles, ["conv_id", "turn"], "left")
     return turns.withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
 
@@ -398,8 +400,9 @@ def topic_counts(spark, sf):
     select distinct conv_id, 'ASKED_ABOUT' as edge, topic as target from topics
     union all select conv_id, 'CREATED_TICKET', ticket_id from tickets""")
 def topic_edges(spark, sf):
-    asked = support.topic_edges(support.turn_topics(_turn_topics(spark, sf)))
-    made = _tickets(spark, sf).select("conv_id", F.lit("CREATED_TICKET").alias("edge"), F.col("ticket_id").alias("target"))
+    flow = _flow(spark, sf)
+    asked = support.topic_edges(support.turn_topics(_turn_topics(spark, sf, flow)))
+    made = _tickets(spark, sf, flow).select("conv_id", F.lit("CREATED_TICKET").alias("edge"), F.col("ticket_id").alias("target"))
     return asked.select("conv_id", F.lit("ASKED_ABOUT").alias("edge"), F.col("topic").alias("target")).unionByName(made.distinct())
 
 
@@ -418,8 +421,9 @@ def top_topics(spark, sf):
 def tenant_stats(spark, sf):
     docs = _chunks(spark, sf).select("company_id", "doc_id").distinct().groupBy("company_id").agg(
         F.count(F.lit(1)).alias("docs_indexed"))
-    made = _tickets(spark, sf).groupBy("company_id").agg(F.count(F.lit(1)).alias("total_tickets"))
-    topics = support.turn_topics(_turn_topics(spark, sf)).join(
+    flow = _flow(spark, sf)
+    made = _tickets(spark, sf, flow).groupBy("company_id").agg(F.count(F.lit(1)).alias("total_tickets"))
+    topics = support.turn_topics(_turn_topics(spark, sf, flow)).join(
         views.messages(spark, sf).select("conv_id", "turn", "company_id"), ["conv_id", "turn"])
     counts = topics.groupBy("company_id", "topic").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("company_id").agg(F.min_by("topic", F.struct(-F.col("n"), "topic")).alias("top_topic"))
@@ -437,11 +441,11 @@ def learning_queue(spark, sf):
     return support.learning_queue(views.messages(spark, sf), _hits(spark, sf), escalated)
 
 
-def _handled(spark, sf):
+def _handled(spark, sf, flow=None, hits=None):
     """Every user turn with its outcome, reply and source titles."""
     found = _found(spark, sf)
-    flow = _flow(spark, sf).select("conv_id", "turn", "action")
-    best = _hits(spark, sf).where("rank = 1").select("conv_id", "turn", "title", "doc_id")
+    flow = (flow or _flow(spark, sf)).select("conv_id", "turn", "action")
+    best = (hits or _hits(spark, sf)).where("rank = 1").select("conv_id", "turn", "title", "doc_id")
     kb = views.kb(spark, sf).select("doc_id", F.col("text").alias("body"))
     best = best.join(kb, "doc_id").drop("doc_id")
     rows = found.join(flow, ["conv_id", "turn"]).join(best, ["conv_id", "turn"], "left")
@@ -478,8 +482,9 @@ def draft_replies(spark, sf):
            coalesce((select string_agg(k.title, ' | ' order by k.rank) from kept k where k.query_id = replied.query_id), '') as sources
     from replied""")
 def audit_log(spark, sf):
-    titles = _turn_topics(spark, sf).select("conv_id", "turn", "titles")
-    return support.audit_rows(_handled(spark, sf).join(titles, ["conv_id", "turn"]))
+    flow, hits = _flow(spark, sf), _hits(spark, sf)
+    titles = _turn_topics(spark, sf, flow, hits).select("conv_id", "turn", "titles")
+    return support.audit_rows(_handled(spark, sf, flow, hits).join(titles, ["conv_id", "turn"]))
 
 
 # --- history ----------------------------------------------------------------------

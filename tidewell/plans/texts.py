@@ -8,11 +8,11 @@ from tidewell import fixed
 from tidewell.functions import text
 from tidewell.operators import packing
 from tidewell.plans import duck, views
-from tidewell.plans.registry import query, table
+from tidewell.plans.registry import documents, query, table
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return documents(spark, sf)
 
 
 @query("extract_email", f"select doc_id, {duck.first_email('text')} as email from documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.plans.registry import table
+from tidewell.plans.registry import documents, table
 
 # Expressions that read the same in Spark SQL and DuckDB: one text serves both engines.
 _DIRTY = {
@@ -104,7 +104,7 @@ KB = r"""
 
 def kb(spark: SparkSession, sf: str) -> DataFrame:
     first = F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " ", -1), 1, 6), " ")
-    return table(spark, sf, "documents").select("doc_id", first.alias("title"), "text", F.col("source").alias("company_id"))
+    return documents(spark, sf).select("doc_id", first.alias("title"), "text", F.col("source").alias("company_id"))
 
 
 _SERIES = {
@@ -184,7 +184,7 @@ def dialogue(spark: SparkSession, sf: str) -> DataFrame:
         F.split("text", "\n", -1),
         lambda line, i: F.when(i % 3 == 1, F.concat(F.lit("**Host:** "), line))
         .when(i % 3 == 2, F.concat(F.lit("- guest : (laughs) "), line)).otherwise(line))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(tagged, "\n").alias("script"))
+    return documents(spark, sf).select("doc_id", F.array_join(tagged, "\n").alias("script"))
 
 
 DIALOGUE = """
@@ -200,4 +200,4 @@ THINKING = f"select doc_id, {_THINKING} as answer from documents"
 
 
 def thinking(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr("doc_id", f"{_THINKING} as answer")
+    return documents(spark, sf).selectExpr("doc_id", f"{_THINKING} as answer")
