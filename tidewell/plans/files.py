@@ -86,7 +86,7 @@ def kb_markdown_scan(spark, sf):
     docs = documents(spark, sf)
     note = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n# Note "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
     docs.select(note.alias("value")).write.option("maxRecordsPerFile", 50).text(path)
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.markdown_chunks(whole).select("title", F.md5("text").alias("text_md5"))
 
 

@@ -115,7 +115,21 @@ def sentences_abbrev(spark, sf):
     return _docs(spark, sf).select("doc_id", F.posexplode(packing.read_aloud(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("dialogue_turns")
+_TAG = r"[^\p{L}\p{N}_\n]*(?i:host|guest)[^\p{L}\p{N}_\n]*:"
+_TURN_TEXT = _MARKUP.replace("(text,", "(body,").replace(duck.sub("text", r"\A---(?s:.*?)---\s*"), "body")
+
+
+@query("dialogue_turns", f"""
+    with cut as (select doc_id, string_split(regexp_replace(chr(10) || script, '\\n({_TAG})', chr(1) || '\\1', 'g'), chr(1)) as parts from ({views.DIALOGUE})),
+         tagged as (select doc_id, unnest(parts[2:]) as part, generate_subscripts(parts[2:], 1) as pos from cut),
+         said as (select doc_id, pos, lower(regexp_extract(part, '(?i)(host|guest)', 1)) as speaker,
+                         regexp_replace(part, '^{_TAG}\\s*', '') as body from tagged),
+         clean as (select doc_id, pos, speaker, {_TURN_TEXT} as t from said),
+         kept as (select *, cast(row_number() over (partition by doc_id order by pos) - 1 as integer) as turn from clean where t <> ''),
+         p as (select *, {_fold(_split('t'), "a.u <> '' and length(a.u) + length(b.u) + 1 > 420")} as f from kept),
+         q as (select *, case when length(t) <= 420 then [t] else list_transform(
+               case when f.u <> '' then list_append(f.c, f.u) else f.c end, lambda x: substr(x, 1, 420)) end as lines from p)
+    select doc_id, turn, speaker, cast(generate_subscripts(lines, 1) - 1 as integer) as line, unnest(lines) as text from q""".replace("\\\\", "\\"))
 def dialogue_turns(spark, sf):
     turns = packing.dialogue(F.col("script"), views.SPEAKERS)
     rows = views.dialogue(spark, sf).select("doc_id", F.posexplode(turns).alias("turn", "t"))

@@ -121,7 +121,7 @@ def read_json_records(spark: SparkSession, path: str, multi_line: bool = True) -
 
 def read_json_columns(spark: SparkSession, path: str) -> DataFrame:
     """Text frame of column-oriented JSON: {column: {row: value}}."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     cells = whole.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("c", "v")).select(
         "c", F.explode("v").alias("r", "cell"))
     names = [r[0] for r in cells.select("c").distinct().orderBy("c").collect()]
@@ -153,8 +153,7 @@ def read_markdown(spark: SparkSession, folder: str, size: int = 800, overlap: in
     The title is the first top heading of the chunk, else the file name with spaces for hyphens; front matter and top
     headings leave the text; empty chunks go.
     """
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.md").text(folder)
+    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return markdown_chunks(whole, size, overlap)
 
 
