@@ -137,8 +137,7 @@ def sequential(
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
         new, state = run(json.loads(before["_state"].iloc[0]) if len(before) else None, rows)
         out = rows.assign(**new)
-        out["_state"] = None
-        out.loc[len(out) - 1, "_state"] = json.dumps(state)
+        out["_state"] = pd.Series([None] * (len(out) - 1) + [json.dumps(state)], dtype=object)
         return out[[*names, "_state"]]
 
     cut = materialise(cut, "pieces")

@@ -95,10 +95,11 @@ def dialogue_stream(spark, sf):
     """Conversations as scripts that arrive turn by turn."""
     turns = jobs.file_stream(spark, sf, "conversations.parquet")
     pieces = turns.select("conv_id", "turn", F.concat(F.upper("role"), F.lit(": "), "text", F.lit("\n")).alias("piece"))
-    out = stateful(pieces, ["conv_id"], jobs.dialogue_rule("turn", "piece", ["user", "assistant", "system"]))
+    roles = ["user", "assistant", "system"]
+    out = stateful(pieces, ["conv_id"], jobs.dialogue_rule("turn", "piece", roles))
     marks = work_dir(spark, "dialogue-checkpoint")
     done = jobs.released_turns(jobs.run_to_table(out, "dialogue", marks), ["conv_id"])
-    return jobs.spoken(done.unionByName(jobs.open_turns(spark, marks, ["conv_id"])), ["conv_id"])
+    return jobs.spoken(done.unionByName(jobs.open_turns(spark, marks, ["conv_id"], roles)), ["conv_id"])
 
 
 @query("topic_counts_stream", f"""

@@ -47,6 +47,22 @@ def running_counts(stream: DataFrame, key: str, label: str) -> DataFrame:
     return merged.groupBy(key).agg(F.max_by("count", "batch").alias("count"))
 
 
+def _take(state: dict, tag, done: list) -> None:
+    """Read the buffered line: a tag releases the open turn and starts the next, other text continues it."""
+    line, state["buffer"] = state["buffer"], ""
+    found = tag.match(line)
+    if found:
+        if state["open"]:
+            done.append(state["open"])
+        state["open"] = [found.group(1).lower(), found.group(2), str(state["began"])]
+    elif line.strip() and state["open"]:
+        state["open"][1] += " " + line
+
+
+def _tag(speakers: list[str]) -> str:
+    return rf"^\W*({'|'.join(speakers)})\W*\s*:\s*(.*)$"
+
+
 def dialogue_rule(order: str, piece: str, speakers: list[str]) -> Rule:
     """Lines of a script that arrives in pieces: a turn is released when the next speaker starts.
 
@@ -55,23 +71,19 @@ def dialogue_rule(order: str, piece: str, speakers: list[str]) -> Rule:
     """
     import re
 
-    names = "|".join(speakers)
-    tag = re.compile(rf"^\W*({names})\W*\s*:\s*(.*)$", re.IGNORECASE)
+    tag = re.compile(_tag(speakers), re.IGNORECASE)
 
     def run(state, rows):
-        state = state or {"buffer": "", "open": None}
+        state = state or {"buffer": "", "began": None, "open": None}
         out = []
         for chunk, at in zip(rows[piece].tolist(), rows[order].tolist(), strict=True):
             done = []
-            *lines, state["buffer"] = (state["buffer"] + chunk).split("\n")
-            for line in lines:
-                found = tag.match(line)
-                if found:
-                    if state["open"]:
-                        done.append(state["open"])
-                    state["open"] = [found.group(1).lower(), found.group(2), str(at)]
-                elif line.strip() and state["open"]:
-                    state["open"][1] += " " + line
+            for i, part in enumerate(chunk.split("\n")):
+                if i:  # a line break ended the buffered line
+                    _take(state, tag, done)
+                if not state["buffer"]:
+                    state["began"] = at
+                state["buffer"] += part
             out.append(json.dumps(done, ensure_ascii=False))
         return {"released": out}, state
 
@@ -84,14 +96,22 @@ def released_turns(released: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.col("_t")[2].cast("bigint").alias("turn"), F.col("_t")[0].alias("speaker"), F.col("_t")[1].alias("text"))
 
 
-def open_turns(spark: SparkSession, marks: str, keys: list[str]) -> DataFrame:
-    """Turns still open when a dialogue stream stopped, read from its state; the end of the stream releases them."""
+def open_turns(spark: SparkSession, marks: str, keys: list[str], speakers: list[str]) -> DataFrame:
+    """What the end of a dialogue stream releases: the open turn and the unfinished line, read from its state."""
     state = spark.read.format("statestore").option("stateVarName", "state").load(marks)
-    body = F.from_json(F.col("value.body"), "buffer string, open array<string>")
-    rest = state.select(*[F.col(f"key.{k}").alias(k) for k in keys], body.alias("b")).where(F.col("b.open").isNotNull())
-    text_now = F.concat(F.col("b.open")[1], F.when(F.col("b.buffer") != "", F.concat(F.lit(" "), "b.buffer")).otherwise(""))
-    return rest.select(
-        *keys, F.col("b.open")[2].cast("bigint").alias("turn"), F.col("b.open")[0].alias("speaker"), text_now.alias("text"))
+    body = F.from_json(F.col("value.body"), "buffer string, began bigint, open array<string>")
+    rest = state.select(*[F.col(f"key.{k}").alias(k) for k in keys], body.alias("b")).select(*keys, "b.*")
+    tag = "(?i)" + _tag(speakers)
+    own = F.col("buffer").rlike(tag)
+    tail = F.when(own | (F.trim("buffer") == ""), "").otherwise(F.concat(F.lit(" "), "buffer"))
+
+    def turn(at, speaker, words):
+        return F.struct(at.cast("bigint").alias("turn"), speaker.alias("speaker"), words.alias("text"))
+
+    held = F.when(F.col("open").isNotNull(), turn(F.get("open", 2), F.get("open", 0), F.concat(F.get("open", 1), tail)))
+    last = F.when(own, turn(F.col("began"), F.lower(F.regexp_extract("buffer", tag, 1)), F.regexp_extract("buffer", tag, 2)))
+    both = rest.select(*keys, F.explode(F.array(held, last)).alias("t")).where(F.col("t").isNotNull())
+    return both.select(*keys, "t.turn", "t.speaker", "t.text")
 
 
 def spoken(turns: DataFrame, keys: list[str]) -> DataFrame:
