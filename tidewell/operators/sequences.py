@@ -96,6 +96,10 @@ def escalation_step(state: dict, reason: str | None, has_email: bool) -> tuple[s
     return "ask", reason
 
 
+def no_rows(names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 # --- running a step function over a table --------------------------------------
 
 
@@ -133,7 +137,7 @@ def sequential(
 
     def piece(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
-            return pd.DataFrame({n: [] for n in [*names, "_state"]})
+            return no_rows([*names, "_state"])
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
         new, state = run(json.loads(before["_state"].iloc[0]) if len(before) else None, rows)
         out = rows.assign(**new)
@@ -299,7 +303,7 @@ def lru_hits(
 
     def piece(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return no_rows(names)
         return run(rows, held.sort_values("_nth", ascending=False)[item].tolist())
 
     return cut.groupBy(*group).cogroup(start.groupBy(*group)).applyInPandas(piece, schema)
