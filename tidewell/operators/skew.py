@@ -9,6 +9,7 @@ from tidewell.session import materialise
 
 HEAVY_KEYS = 1000
 PART_ROWS = 1_000_000
+MAX_PIECES = 16384
 STEP_BUCKETS = 4096
 
 
@@ -47,16 +48,21 @@ def split_hot(df: DataFrame, keys: list[str], position: str, part_rows: int = PA
     if hot.isEmpty():
         return df.withColumn("_part", F.lit(0)), False
     most = hot.agg(F.max("_n")).first()[0]
-    pieces = min(4096, -(-most // part_rows) + 1)
+    pieces = min(MAX_PIECES, -(-most // part_rows) + 1)
     probabilities = [i / pieces for i in range(1, pieces)]
     bounds = (
         df.join(hot.select(*keys), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx(position, probabilities, 10_000).alias("_bounds"))
+        .agg(F.percentile_approx(position, probabilities, max(10_000, 4 * pieces)).alias("_all"))
+        .join(hot, keys)
     )
-    bounds = materialise(bounds, "hot-bounds").join(hot, keys)
+    # a key with fewer rows than the hottest one keeps every n-th bound only
+    step = F.greatest(F.lit(1), F.floor(F.lit(pieces) / F.ceil(F.col("_n") / part_rows)).cast("int"))
+    bounds = bounds.select(
+        *keys, "_n", F.filter(F.array_distinct("_all"), lambda b, i: (i + 1) % step == 0).alias("_bounds"))
+    bounds = materialise(bounds, "hot-bounds")
     placed = lookup_join(df, bounds, keys, "_n")
-    part = F.coalesce(F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col(position))), F.lit(0))
+    part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(position))), F.lit(0))
     return placed.withColumn("_part", F.greatest(part, F.lit(0))).drop("_bounds"), True
 
 
@@ -107,7 +113,7 @@ def with_carried(df: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
     return df.join(carry, [*keys, "_part"], "left")
 
 
-def order_statistics(df: DataFrame, column: str, ranks: list[int], small: int = 200_000) -> list:
+def order_statistics(df: DataFrame, column: str, ranks: list[int], small: int = 20_000) -> list:
     """Exact values at 0-based ``ranks`` of a numeric column, nulls left out, without one global sort.
 
     Each pass counts rows in ``STEP_BUCKETS`` equal slices of the range that still holds the rank and moves into one
@@ -132,9 +138,9 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int], small: int =
                         break
                     left -= c
                 break
-            width = (float(high) - float(low)) / STEP_BUCKETS
-            slot = F.least(F.floor((F.col("v").cast("double") - F.lit(float(low))) / F.lit(width)),
-                           F.lit(STEP_BUCKETS - 1)).cast("int")
+            width = float(high - low) / STEP_BUCKETS
+            wide = F.col("v").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)") if isinstance(low, int) else F.col("v") - low
+            slot = F.least(F.floor(wide.cast("double") / F.lit(width)), F.lit(STEP_BUCKETS - 1)).cast("int")
             counts = sorted(tuple(r) for r in part.groupBy(slot.alias("s")).count().collect())
             for s, c in counts:
                 if left < c:

@@ -351,12 +351,11 @@ def ticket_contacts(spark, sf):
 
 
 @query("tickets_recent", f"""with recursive {_TICKETS}
-    select company_id, ticket_id, created_at, cast(row_number() over (partition by company_id order by asked_at desc, ticket_id) as integer) as place from tickets""")
+    select company_id, ticket_id, created_at from tickets order by company_id, asked_at desc, ticket_id""")
 def tickets_recent(spark, sf):
-    """Newest first per tenant; ``place`` is that order."""
-    order = Window.partitionBy("company_id").orderBy(F.desc("asked_at"), "ticket_id")
-    listed = _tickets(spark, sf).withColumn("place", F.row_number().over(order))
-    return listed.select("company_id", "ticket_id", "created_at", "place").orderBy("company_id", "place")
+    """Newest first per tenant: a range-partitioned sort, so a large tenant is spread over tasks."""
+    listed = _tickets(spark, sf).orderBy("company_id", F.desc("asked_at"), "ticket_id")
+    return listed.select("company_id", "ticket_id", "created_at")
 
 
 # --- topics, queue, log ----------------------------------------------------------
