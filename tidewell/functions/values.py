@@ -104,6 +104,12 @@ def parse_date(c: Column, day_first) -> Column:
     )
 
 
+def utc_moment(seconds: Column) -> Column:
+    """Time-zone-free UTC time of seconds since 1970, whatever the session's time zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def date_order(c: Column) -> Column:
     """'day', 'month' or 'either' for a text such as 07/08/2025; null when it says nothing."""
     a, b = _part(c, fixed.DMY, 1), _part(c, fixed.DMY, 2)

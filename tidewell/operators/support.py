@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell import fixed
-from tidewell.functions import contact, text
+from tidewell.functions import contact, text, values
 from tidewell.operators import skew
 
 
@@ -64,7 +64,7 @@ def tickets(escalated: DataFrame, prefix: str = "TICKET") -> DataFrame:
     return escalated.select(
         "company_id", ticket_id(prefix, F.col("conv_id"), F.col("turn")).alias("ticket_id"), "conv_id", "turn",
         F.lit("open").alias("status"), "reason", "asked_at",
-        F.date_format(F.timestamp_seconds("asked_at").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        F.date_format(values.utc_moment(F.col("asked_at")), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
         F.coalesce("customer_name", F.lit("Customer")).alias("customer_name"),
         F.coalesce("customer_email", F.lit("")).alias("customer_email"),
         F.substring(text.trim_all(F.col("message")), 1, 200).alias("issue"),
@@ -120,7 +120,7 @@ def learning_queue(messages: DataFrame, hits: DataFrame, escalated: DataFrame) -
 def audit_rows(messages: DataFrame) -> DataFrame:
     """One redacted log row per handled message."""
     return messages.select(
-        F.date_format(F.timestamp_seconds("asked_at").cast("timestamp_ntz"), "yyyy-MM-dd").alias("day"),
+        F.date_format(values.utc_moment(F.col("asked_at")), "yyyy-MM-dd").alias("day"),
         "conv_id", "turn", F.coalesce("customer_id", F.lit("unknown")).alias("customer_id"), "escalated",
         F.coalesce("ticket_id", F.lit("")).alias("ticket_id"),
         text.redact(F.col("message")).alias("message"), text.redact(F.col("response")).alias("response"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.functions import text
+from tidewell.functions import text, values
 from tidewell.operators import sequences, support
 from tidewell.plans import duck, requests, texts, views
 from tidewell.plans import support as desk
@@ -17,7 +17,7 @@ from tidewell.streaming.processors import stateful
 def _events(spark, sf, *columns):
     """Request log as a stream with event time and a ten-minute watermark."""
     stream = jobs.file_stream(spark, sf, "events.parquet")
-    stream = stream.withColumn("seen_at", F.col("ts").cast("timestamp")).withWatermark("seen_at", "10 minutes")
+    stream = stream.withColumn("seen_at", F.timestamp_micros(views.micros("ts"))).withWatermark("seen_at", "10 minutes")
     return stream.select(
         *[F.expr(requests._LOG[c]).alias(c) for c in columns], views.micros("ts").alias("at_us"), "seen_at")
 
@@ -115,7 +115,7 @@ def topic_counts_stream(spark, sf):
     from ({views.MESSAGES})""")
 def audit_stream(spark, sf):
     """Messages redacted before they are written; exactly once through the checkpointed file sink."""
-    day = F.date_format(F.timestamp_seconds("asked_at").cast("timestamp_ntz"), "yyyy-MM-dd")
+    day = F.date_format(values.utc_moment(F.col("asked_at")), "yyyy-MM-dd")
     rows = _messages(spark, sf).select(day.alias("day"), "conv_id", "turn", text.redact(F.col("message")).alias("message"))
     return jobs.run_to_table(rows, "audit")
 
