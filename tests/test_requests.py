@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import frames, sequences, skew, support
+from tidewell.operators import frames, sequences, skew
 
 S = sequences.SECOND
 
@@ -108,8 +108,8 @@ def test_order_statistics(spark):
 
 def test_spread_join_on_hot_keys(spark, log):
     dim = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, w int")
-    plain = sorted(map(repr, support.spread_join(log, dim, "k").select("id", "w").collect()))
-    assert sorted(map(repr, support.spread_join(log, dim, "k", part_rows=50).select("id", "w").collect())) == plain
+    plain = sorted(map(repr, skew.spread_join(log, dim, "k").select("id", "w").collect()))
+    assert sorted(map(repr, skew.spread_join(log, dim, "k", part_rows=50).select("id", "w").collect())) == plain
 
 
 def test_two_sum(spark):

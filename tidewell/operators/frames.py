@@ -182,11 +182,12 @@ def two_sum(df: DataFrame, key: str, position: str, value: str, target: float) -
     classes = typed.groupBy(key, "_low", "_twin").agg(
         F.min(F.when(F.col("_is_low"), F.col(position))).alias("_a"),
         F.min(F.when(~F.col("_is_low"), F.col(position))).alias("_b"),
+        F.count(F.lit(1)).alias("_n"),
     )
     # a class of equal halves needs its second position; the others need both sides
-    halves = typed.where("_twin").select(key, "_low", position).join(
-        classes.where("_twin").select(key, "_low", "_a"), [key, "_low"]
-    )
+    halves = skew.lookup_join(
+        typed.where("_twin").select(key, "_low", position), classes.where("_twin").select(key, "_low", "_a", "_n"),
+        [key, "_low"], "_n")
     seconds = halves.where(F.col(position) > F.col("_a")).groupBy(key).agg(F.min(position).alias("j"))
     firsts = classes.where(~F.col("_twin") & F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(
         key, F.greatest("_a", "_b").alias("j")
@@ -194,7 +195,7 @@ def two_sum(df: DataFrame, key: str, position: str, value: str, target: float) -
     best = firsts.unionByName(seconds).groupBy(key).agg(F.min("j").alias("j"))
     at_j = df.select(key, F.col(position).alias("j"), F.col(value).alias("_vj")).join(best, [key, "j"], "left_semi")
     return (
-        df.join(at_j, key)
+        skew.spread_join(df, at_j, key)
         .where((F.col(value) == F.lit(target) - F.col("_vj")) & (F.col(position) < F.col("j")))
         .groupBy(key, "j")
         .agg(F.max(position).alias("i"))

@@ -9,7 +9,7 @@ from tidewell import fixed
 from tidewell.functions import text
 from tidewell.functions.values import alias
 from tidewell.operators import lint
-from tidewell.operators.support import spread_join
+from tidewell.operators.skew import spread_join
 
 PRIVATE = ["solution", "answer", "rubric", "explanation"]
 # fixed values: where each track's review lesson lives

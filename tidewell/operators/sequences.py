@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidewell import fixed
 from tidewell.operators import skew
-from tidewell.session import materialise
+from tidewell.session import materialise, work_dir
 
 SECOND = 1_000_000
 
@@ -144,11 +144,16 @@ def sequential(
         out["_state"] = pd.Series([None] * (len(out) - 1) + [json.dumps(state)], dtype=object)
         return out[[*names, "_state"]]
 
-    cut = materialise(cut, "pieces")
-    state = cut.select(*keys).limit(0).withColumn("_state", F.lit(None).cast("string"))
+    # one folder per piece, so every round reads its own rows only; the many normal keys of piece 0 get many files
+    path, spark = work_dir(df.sparkSession, "pieces"), df.sparkSession
+    files = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.when(F.col("_part") == 0, 1024).otherwise(8))
+    cut.withColumn("_file", files).withColumn("piece", F.col("_part")).drop("_part").repartition("piece", "_file").drop("_file").write.partitionBy(
+        "piece").parquet(path)
+    numbers = spark.read.parquet(path).select("piece").distinct().orderBy("piece").collect()
+    state = df.select(*keys).limit(0).withColumn("_state", F.lit(None).cast("string"))
     done = None
-    for p in [r[0] for r in cut.select("_part").distinct().orderBy("_part").collect()]:
-        rows = cut.where(F.col("_part") == p).drop("_part")
+    for p in [r[0] for r in numbers]:
+        rows = spark.read.schema(df.schema).parquet(f"{path}/piece={p}")
         out = materialise(
             rows.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(piece, linked), "piece-out"
         )

@@ -12,16 +12,6 @@ from tidewell.functions import contact, text, values
 from tidewell.operators import skew
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, part_rows: int = skew.PART_ROWS) -> DataFrame:
-    """Left join to a table unique by ``on``; keys that hold very many left rows are served by a small broadcast."""
-    weights = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_weight"))
-    hot = weights.where(F.col("_weight") > part_rows).orderBy(F.desc("_weight")).limit(skew.HEAVY_KEYS)
-    if hot.isEmpty():
-        return left.join(right, on, "left")
-    weighted = right.join(F.broadcast(hot), on, "left").withColumn("_weight", F.coalesce("_weight", F.lit(0)))
-    return skew.lookup_join(left, weighted, [on], "_weight")
-
-
 def lookup_customer(requests: DataFrame, customers: DataFrame) -> DataFrame:
     """Customer of a request: by id when one is given (unknown ids stay empty), else by the first e-mail in the text."""
     dim = customers.select(*[F.col(c).alias(f"found_{c}") for c in customers.columns])
@@ -30,7 +20,7 @@ def lookup_customer(requests: DataFrame, customers: DataFrame) -> DataFrame:
         F.concat(F.lit("id:"), "customer_id"), F.concat(F.lit("mail:"), email)))
     by_id = dim.withColumn("_key", F.concat(F.lit("id:"), "found_customer_id"))
     by_mail = dim.withColumn("_key", F.concat(F.lit("mail:"), F.lower("found_email")))
-    return spread_join(keyed, by_id.unionByName(by_mail), "_key").drop("_key")
+    return skew.spread_join(keyed, by_id.unionByName(by_mail), "_key").drop("_key")
 
 
 def account_status(found: DataFrame) -> DataFrame:

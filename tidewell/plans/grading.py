@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell import fixed
 from tidewell.operators import grading, lint
-from tidewell.operators.support import spread_join
+from tidewell.operators.skew import spread_join
 from tidewell.plans import duck, views
 from tidewell.plans.registry import documents, query, table
 

@@ -13,11 +13,11 @@ from tidewell.operators.sequences import Rule
 from tidewell.session import work_dir
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """Stream of the parquet files called ``name`` in a folder; the batch size bounds what a trigger reads."""
+def file_stream(spark: SparkSession, folder: str, name: str, bytes_per_batch: int = 1 << 30) -> DataFrame:
+    """Stream of the parquet files called ``name`` in a folder; the size of a batch bounds what one key can bring."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch)
+        spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxBytesPerTrigger", bytes_per_batch)
         .parquet(folder)
     )
 
