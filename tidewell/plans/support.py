@@ -187,7 +187,7 @@ def _sources(spark, sf):
         F.col("query_id").alias("topic_id"), F.lit(0).alias("rank"), F.lit("Your notes").alias("title"),
         F.substring(text.trim_all(F.col("text")), 1, fixed.NOTES_SIZE).alias("text"))
     hits = materialise(search.keyword_search(topics, kb).select("query_id", "doc_id", "rank"), "hits")
-    found = hits.join(kb, "doc_id").select(F.col("query_id").alias("topic_id"), "rank", "title", "text")
+    found = skew.spread_join(hits, kb, "doc_id").select(F.col("query_id").alias("topic_id"), "rank", "title", "text")
     return notes.unionByName(found)
 
 
@@ -446,7 +446,7 @@ def _handled(spark, sf, flow=None, hits=None):
     flow = (flow or _flow(spark, sf)).select("conv_id", "turn", "action")
     best = (hits or _hits(spark, sf)).where("rank = 1").select("conv_id", "turn", "title", "doc_id")
     kb = views.kb(spark, sf).select("doc_id", F.col("text").alias("body"))
-    best = best.join(kb, "doc_id").drop("doc_id")
+    best = skew.spread_join(best, kb, "doc_id").drop("doc_id")
     rows = found.join(flow, ["conv_id", "turn"]).join(best, ["conv_id", "turn"], "left")
     escalated = F.col("action") == "ticket"
     ticket = F.when(escalated, support.ticket_id("TICKET", F.col("conv_id"), F.col("turn")))
