@@ -1,0 +1,153 @@
+"""Personal data, secrets and decontamination against plain loops over regular expressions."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from tidewell.llm import decontaminate, pii, secrets
+
+ODD = ["", None, " ", "é" * 50, "İıſK token", "\x00\x1f"]
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def luhn(d):
+    s = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d)))
+    return s % 10 == 0
+
+
+def personal(text):
+    text = text or ""
+    digits = lambda m: re.sub(r"[^0-9]", "", m.group())
+    found = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+              if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+    found += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text)
+              if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    found += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+    return [(k, m.start(), m.end()) for k, m in found]
+
+
+def made(alphabet, seed, count=300):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(count)]
+
+
+def cards():
+    rng = random.Random(4)
+    out = []
+    for size in (15, 16, 17, 19, 20):
+        for _ in range(6):
+            body = "".join(rng.choice("0123456789") for _ in range(size - 1))
+            out += [f"pay {body}{d} now {body[:4]}-{body[4:8]} {body[8:]}{d}" for d in "0123456789"]
+    return out
+
+
+@pytest.mark.parametrize("texts", [
+    made(list("ab.1@-") + ["@x.", "é", "25"], 1), made(list("0123456789.. ") + ["255."], 2), made(list("+0123 ().-"), 3), cards(),
+    ODD + ["a@b@c.com a@b.c@d.e x@y.z.", "1.2.3.4.5.6.7.8 " + "0" * 5000 + ".1.1.1 256.1.1.1", "+1 (980) 555-6268."],
+])
+def test_personal_data(docs, texts):
+    got = {r.doc_id: r for r in pii.report(docs(texts)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        want = personal(text)
+        assert got[i].base_sha256 == digest(want), text
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(k == x for k, *_ in want) for x in pii.BASE]
+        assert not want or set(got[i].spans.split(",")) >= {f"{k}:{a}:{b}" for k, a, b in want}
+
+
+def test_added_personal_data(docs):
+    texts = ["see ftp://ann:pw@host.example/x", "IBAN GB82 WEST 1234 5698 7654 32.", "IBAN GB83 WEST 1234 5698 7654 32.",
+             "account no: 4471-99821", "the account of it"]
+    got = [r.spans for r in pii.report(docs(texts)).orderBy("doc_id").collect()]
+    assert "login:10:16" in got[0]
+    assert "iban:5:32" in got[1] and "iban" not in got[2]
+    assert got[3] == "account:12:22" and got[4] == ""
+
+
+def hidden(text):
+    text = text or ""
+    assign = r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(assign, text) if len(m.group(2)) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+@pytest.mark.parametrize("texts", [
+    made(["token", "API_KEY", "apikey", "=", ":", " ", '"', "abc123", "f00d", "AKIA", "Z9", "é"], 5),
+    made(list("0123456789abcdefg"), 6), ODD + ["ſecret=abcdefgh", "toKen = abcdefgh", "AKIA" + "A1" * 8, "AKIA" * 6],
+])
+def test_secrets(docs, texts):
+    got = {r.doc_id: r for r in secrets.report(docs(texts)).collect()}
+    for i, text in enumerate(texts):
+        want = hidden(text)
+        assert got[i].base_sha256 == digest(want), text
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for k, *_ in want) for x in ("assign", "access", "hex")]
+
+
+def test_random_strings(docs):
+    texts = ["key q7Rk2LzX9vTb4NwYc8JpM3sD here", "see 123e4567-e89b-12d3-a456-426614174000 and 9" * 2,
+             "the internationalisation_of_long_words and SomeReasonablyNamedClassName", "2024-01-01/backup-files-2024/part-0001"]
+    got = [r.spans for r in secrets.report(docs(texts)).orderBy("doc_id").collect()]
+    assert got == ["token:4:28", "", "", ""]
+
+
+def test_redact(docs):
+    texts = ['x token = "abcdef123456" y', None, "", "clean"]
+    rows = secrets.redact(docs(texts)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ['x [SECRET]" y', None, "", "clean"]
+    assert rows[0].score == 0.5 and rows[0].spans == "x"
+
+
+def overlaps(texts, items, size=10):
+    word = re.compile(decontaminate.WORD)
+    low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    patterns = {}
+    for item, text in items:
+        w = low(text)
+        for i in range(max(1, len(w) - size + 1)) if w else ():
+            patterns.setdefault(tuple(w[i:i + size]), set()).add(str(item))
+    out = []
+    for text in texts:
+        w = low(text)
+        hit, found = set(), set()
+        for length in {len(p) for p in patterns}:
+            for i in range(len(w) - length + 1):
+                if (key := tuple(w[i:i + length])) in patterns:
+                    hit |= set(range(i, i + length))
+                    found |= patterns[key]
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("block_windows", [100_000, 7])
+def test_decontamination(spark, docs, block_windows):
+    rng = random.Random(9)
+    words = ["a", "B", "c9", "é", "Ü"]
+    phrase = lambda n: rng.choice([" ", "-", ", "]).join(rng.choice(words) for _ in range(n))
+    items = [(i, phrase(rng.choice([2, 3, 10, 11, 14]))) for i in range(12)] + [(3, phrase(3)), (50, None), (51, ""), (52, "--")]
+    texts = ODD + [phrase(rng.randint(1, 40)) for _ in range(80)] + [f"{phrase(3)} {t} {phrase(4)}" for _, t in items]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.report(docs(texts), table, block_windows=block_windows).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got] == overlaps(texts, items)
+    clean = decontaminate.remove_contaminated(docs(texts), table, block_windows=block_windows)
+    assert clean.columns == docs(texts).columns
+    assert sorted(r.doc_id for r in clean.collect()) == [r.doc_id for r in got if not r.contaminated]
+
+
+def test_spans_of_overlaps(spark, docs):
+    items = spark.createDataFrame([(1, "one TWO three")], "item_id long, text string")
+    got = decontaminate.find_overlaps(docs(["é One, two;three! four", "x"]), items).orderBy("doc_id").collect()
+    assert [tuple(s) for s in got[0].spans] == [(2, 16)] and got[0].items == ["1"] and got[1].spans == []
+
+
+def test_empty_tables(spark, docs):
+    none, items = docs(["x"]).where("false"), spark.createDataFrame([], "item_id long, text string")
+    assert pii.report(none).count() == secrets.report(none).count() == decontaminate.report(none, items).count() == 0
+    assert decontaminate.report(docs(["x y"]), items).collect()[0].n_hit == 0
