@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, mixing, pii, secrets, urls
+from tidewell.llm import decontaminate, mixing, neardup, pii, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,13 @@ def op8(spark, folder):
 @query("op9_secrets")
 def op9(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
+
+
+@query("op10_near_duplicates", neardup.oracle())
+def op10(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=2)
+
+
+@query("op1_toxicity")
+def op1(spark, folder):
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))

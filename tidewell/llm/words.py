@@ -1,6 +1,7 @@
 """Words of many texts at once, as 64-bit hashes computed with numpy over the raw bytes of an Arrow column.
 
-A word is a run of bytes other than white space (0x20, 0x09-0x0D); A-Z count as a-z.
+A word is a run of bytes other than white space (0x20, 0x09-0x0D); A-Z count as a-z.  With ``letters`` it is a run of ASCII
+letters, digits and bytes beyond ASCII.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ def series(seed: int, count: int) -> np.ndarray:
 class WordHasher:
     """Hash the words of byte strings: a sum over the word of (value of the byte) * (odd value of its place)."""
 
-    def __init__(self) -> None:
+    def __init__(self, letters: bool = False) -> None:
         fold = np.arange(256)
         fold[65:91] += 32
+        self.fold = fold.astype(np.uint8)
         self.space = np.zeros(256, bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
+        if letters:
+            self.space[:128] = [not chr(i).isalnum() for i in range(128)]
         self.values = series(1, 256)[fold]
         self.values[self.space] = 0
         self.places = series(2, 256) | np.uint64(1)
@@ -52,10 +56,10 @@ class WordHasher:
         starts = np.flatnonzero(start)
         if not len(starts):
             return np.zeros(0, np.uint64), starts, np.zeros(len(texts), np.int64)
-        place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))[
-            np.maximum(np.arange(len(data)) - starts[0], 0)] if starts[0] else np.arange(len(data)) - np.repeat(
-            starts, np.diff(np.append(starts, len(data))))
-        place = np.where(word, place, 0)
+        first = int(starts[0])
+        place = np.zeros(len(data), np.int64)
+        place[first:] = np.arange(first, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+        place[~word] = 0
         longest = int(place.max()) + 1
         if longest > len(self.places):
             self.places = series(2, max(longest, 2 * len(self.places))) | np.uint64(1)
