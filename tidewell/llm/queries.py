@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, mixing, neardup, pii, secrets, toxicity, urls
+from tidewell.llm import decontaminate, mixing, nearest, neardup, pii, resample, secrets, suffix_tree, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,18 @@ def op10(spark, folder):
 @query("op1_toxicity")
 def op1(spark, folder):
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_language_model")
+def op4(spark, folder):
+    return suffix_tree.score(table(spark, folder, "documents"))
+
+
+@query("op6_nearest_neighbours")
+def op6(spark, folder):
+    return nearest.search(table(spark, folder, "embeddings"))
+
+
+@query("op2_quality_resampling")
+def op2(spark, folder):
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -1,7 +1,7 @@
 """Words of many texts at once, as 64-bit hashes computed with numpy over the raw bytes of an Arrow column.
 
 A word is a run of bytes other than white space (0x20, 0x09-0x0D); A-Z count as a-z.  With ``letters`` it is a run of ASCII
-letters, digits and bytes beyond ASCII.
+letters, digits and bytes beyond ASCII; with ``signs`` runs of other signs are words of their own.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def series(seed: int, count: int) -> np.ndarray:
 class WordHasher:
     """Hash the words of byte strings: a sum over the word of (value of the byte) * (odd value of its place)."""
 
-    def __init__(self, letters: bool = False) -> None:
+    def __init__(self, letters: bool = False, signs: bool = False) -> None:
         fold = np.arange(256)
         fold[65:91] += 32
         self.fold = fold.astype(np.uint8)
@@ -37,6 +37,9 @@ class WordHasher:
         self.space[[0x20, *range(0x09, 0x0E)]] = True
         if letters:
             self.space[:128] = [not chr(i).isalnum() for i in range(128)]
+        self.kind = (~self.space).astype(np.uint8)  # a word ends where the kind changes
+        if signs:
+            self.kind[:128] += [not self.space[i] and not chr(i).isalnum() for i in range(128)]
         self.values = series(1, 256)[fold]
         self.values[self.space] = 0
         self.places = series(2, 256) | np.uint64(1)
@@ -48,9 +51,10 @@ class WordHasher:
         """
         if not len(data):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        word = ~self.space[data]
+        kind = self.kind[data]
+        word = kind > 0
         start = word.copy()
-        start[1:] &= ~word[:-1]
+        start[1:] &= kind[1:] != kind[:-1]
         inner = texts[(texts > 0) & (texts < len(data))]
         start[inner] |= word[inner]
         starts = np.flatnonzero(start)
