@@ -87,8 +87,8 @@ def test_groups(docs, words):
     assert [(r.n_shingles, r.component_id, r.kept) for r in got] == brute(texts, words)
 
 
-def test_more_hubs(docs, monkeypatch):
-    """One common bucket for everything: only the rounds with more hubs can find the groups."""
+def test_one_bucket(docs, monkeypatch):
+    """One common bucket for everything: only the exact join of open buckets can find the groups."""
     rng = random.Random(8)
     texts = []
     for _ in range(5):

@@ -4,12 +4,15 @@ A document's set holds the hashes (64 bits) of its shingles.  Documents with one
 node per class goes on.  MinHash signatures are cut into ``BANDS`` bands of ``ROWS`` values; a pair at the least similarity 0.8
 meets in no band with probability (1 - 0.8 ** 5) ** 36, below 1e-6.
 
-Inside a band bucket all members are first compared with the bucket's smallest member, so a large group of copies costs one
-pair a member.  Where that leaves a bucket in several components, more members become hubs, four times as many in each round,
-until the bucket is one component or every pair of different components has been compared: no cap, and no pair within a
-known group.  Candidates are judged by batches of signature values: with a uniform prior, the similarity after m matches of n
-has a Beta posterior, and a pair goes as soon as its chance of reaching the threshold falls below ``MISS``.  Survivors
-are verified exactly on their full sets, which only their documents send through a shuffle.
+Inside a band bucket members are compared with the bucket's smallest member, so a large group of copies costs a few pairs a
+member: first each node with the smallest hub of all its buckets, then, across components only, with its other hubs.  Candidates
+are judged by batches of signature values: with a uniform prior, the similarity after m matches of n has a Beta
+posterior, and a pair goes as soon as its chance of reaching the threshold falls below ``MISS``.  Survivors are verified exactly on
+their full sets, which only their documents send through a shuffle.
+
+Buckets that still hold several components are left to an exact join of their documents: shingles are ordered from rare to
+common, and a pair needs a common shingle in both prefixes, early enough in both sets.  A group of loose variants of one text thus
+yields the few pairs that share their rarer parts, not all pairs, and none is missed: no cap on buckets or candidates.
 
 Components come from alternating joins that pull every node to its smallest neighbour; group counts are aggregated before each
 shuffle and hot keys meet only in joins that Spark can split.  Nothing about documents reaches the driver but row counts.
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.words import WordHasher, mix, series, shingles
@@ -36,7 +39,6 @@ SIMILARITY = 80  # percent
 ROWS, BANDS = 5, 36
 CHECKED, BATCH = 128, 16  # signature values that verification reads, and how many at a time
 MISS = 1e-6
-SPREAD = 4  # hubs of a bucket grow by this factor
 
 
 def least_matches(similarity: int = SIMILARITY, miss: float = MISS) -> list[int]:
@@ -190,6 +192,11 @@ def near_duplicates(
             frame = frame.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
         return frame
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that are near duplicates."""
+        left = materialise(plausible(pairs, nodes, similarity), "candidates")
+        return verified(left, materialise(_sets_of(texts, left, words), "sets"), similarity)
+
     def take(found: DataFrame) -> DataFrame:
         """The components with more links."""
         edges = found.select(F.least("hub", "rep").alias("low"), F.greatest("hub", "rep").alias("high"))
@@ -197,44 +204,57 @@ def near_duplicates(
             edges = edges.unionByName(roots.select(F.col("root").alias("low"), F.col("node").alias("high")))
         return materialise(components(edges), "components")
 
-    # first the bucket's smallest member: for every node its smallest hub, then the hubs of other components
-    pairs = placed.where("rep != first").select(F.col("first").alias("hub"), "rep").distinct()
-    left = materialise(plausible(pairs, nodes, similarity), "candidates")
-    sets = materialise(_sets_of(texts, left, words), "sets")
-    nearest = left.groupBy("rep").agg(F.min("hub").alias("hub"))
-    found = verified(nearest, sets, similarity).unionByName(_same_id(usable, nodes))
-    roots = take(materialise(found, "links"))
-    rest = with_roots(left.join(nearest, ["rep", "hub"], "left_anti"), "hub", "rep").where(root("hub") != root("rep"))
-    rest = materialise(rest.select("hub", "rep"), "candidates")
-    if not rest.isEmpty():
-        roots = take(materialise(verified(rest, sets, similarity), "links"))
-
-    # then more hubs in the buckets that still hold several components
-    share = F.pmod(F.xxhash64("bucket", "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    hubs = 1
-    while True:
-        open_ = with_roots(placed.where("n > 2"), "rep").withColumn("root", root("rep")).drop("rep_root")
-        several = open_.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-        open_ = materialise(open_.join(several, "bucket").withColumn("share", share * F.col("n")), "open")
-        most = open_.agg(F.max("n")).first()[0]
-        if most is None or hubs > most:
-            break
-        earlier = F.col("rep") == F.col("first")
-        if hubs > 1:
-            earlier = earlier | (F.col("share") < hubs)
-        hubs *= SPREAD
-        chosen = open_.where(~earlier & (F.col("share") < hubs)).select(
-            "bucket", F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
-        others = open_.where(~earlier).select("bucket", "rep", "root")
-        pairs = chosen.join(others, "bucket").where(F.col("hub_root") != F.col("root"))
-        pairs = pairs.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct()
-        left = materialise(plausible(pairs, nodes, similarity), "candidates")
-        if not left.isEmpty():
-            more = _sets_of(texts, left, words)
-            roots = take(materialise(verified(left, more, similarity), "links"))
+    # first the bucket's smallest member: the smallest of them for every node, then those that are in other components
+    starred = placed.where("rep != first").select(F.col("first").alias("hub"), "rep")
+    nearest = materialise(starred.groupBy("rep").agg(F.min("hub").alias("hub")), "nearest")
+    roots = take(materialise(linked(nearest).unionByName(_same_id(usable, nodes)), "links"))
+    others = starred.distinct().join(nearest.withColumnRenamed("hub", "own"), "rep").where("hub != own").drop("own")
+    others = with_roots(others, "hub", "rep").where(root("hub") != root("rep")).select("hub", "rep")
+    others = materialise(others, "pairs")
+    if not others.isEmpty():
+        roots = take(materialise(linked(others), "links"))
+
+    # what is left are buckets of several components: an exact join of their documents
+    open_ = materialise(_open(with_roots(placed, "rep").select("bucket", "rep", root("rep").alias("root"))), "open")
+    if not open_.isEmpty():
+        ids = open_.select(F.col("rep").alias("doc_id"))
+        sets = materialise(shingle_sets(texts.join(ids, "doc_id", "left_semi"), words).distinct(), "sets")
+        close = materialise(_prefix_pairs(open_, sets, similarity), "pairs")
+        left = materialise(plausible(close, nodes, similarity), "candidates")
+        roots = take(materialise(verified(left, sets, similarity), "links"))
     return _labelled(rows, nodes, roots, key)
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """Documents of buckets that hold several components: ``rep``, ``root`` and ``odd`` (outside the largest one somewhere)."""
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    here = placed.join(main.where("parts > 1"), "bucket")
+    return here.groupBy("rep", "root").agg(F.max(F.col("root") != F.col("main")).alias("odd"))
+
+
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Every pair (hub, rep) of different components, one of them odd, that the prefixes of their sets allow.
+
+    Shingles are ordered by their number of documents here, rarest first.  Two sets of sizes a and b that reach the
+    similarity t share at least t / (1 + t) * (a + b) shingles, so the first one they share leaves that many in both.
+    """
+    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("doc_id", "n").orderBy("df", "shingle")
+    placed = each.join(common, "shingle").withColumn("at", F.row_number().over(order))
+    prefix = placed.where((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * similarity)
+    prefix = prefix.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "root", "odd", "n", "at", "shingle")
+    prefix = materialise(prefix, "prefixes")
+    left = prefix.where("odd").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "root", "n", "at")])
+    right = prefix.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "root", "n", "at", "odd")])
+    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + 1
+    fits = (rest * (100 + similarity) >= (F.col("a_n") + F.col("b_n")) * similarity) & (F.col("a_root") != F.col("b_root"))
+    once = ~F.col("b_odd") | (F.col("a_doc_id") < F.col("b_doc_id"))  # two odd ones meet from both sides
+    pairs = left.join(right, "shingle").where(fits & once)
+    return pairs.select(F.least("a_doc_id", "b_doc_id").alias("hub"), F.greatest("a_doc_id", "b_doc_id").alias("rep")).distinct()
+
+
 def _same_id(usable: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the classes that hold rows of one id."""
     key = F.struct("k1", "k2")
