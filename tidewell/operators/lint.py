@@ -332,7 +332,7 @@ def code_structure(snippets: DataFrame) -> DataFrame:
                         lambda s: F.regexp_extract(s, r"^\s*(\w+)", 1))
     imports = F.concat(plain, names(r"(?m)^\s*from\s+([\w.]+)\s+import\b"))
     java = F.col("language").isin("java", "spring")
-    methods = names(r"(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\], ?]+\s+(\w+)\s*\([^)]*\)")
+    methods = names(fixed.JAVA_METHOD)
     notes = F.array_sort(F.array_distinct(F.filter(names(r"@(\w+)"), lambda a: a != "Override")))
 
     def count(pattern: str) -> Column:
@@ -342,7 +342,7 @@ def code_structure(snippets: DataFrame) -> DataFrame:
         "snippet_id", "language",
         F.when(java, "").otherwise(F.array_join(F.array_sort(F.array_distinct(imports)), ",")).alias("imports"),
         F.when(java, 0).otherwise(count(r"(?m)^\s*(?:async\s+)?def\s+\w+")).alias("functions"),
-        F.when(java, count(r"\b(?:class|interface|record|enum)\s+\w+"))
+        F.when(java, count(fixed.JAVA_TYPE))
         .otherwise(count(r"(?m)^\s*class\s+\w+")).alias("classes"),
         F.when(java, 0).otherwise(count(r"(?m)^\s*(?:async\s+for|for|while)\b")).alias("loops"),
         F.when(java, 0).otherwise(count(r"(?m)^\s*(?:if|elif)\b")).alias("branches"),
@@ -353,5 +353,5 @@ def code_structure(snippets: DataFrame) -> DataFrame:
 
 def code_todos(snippets: DataFrame) -> DataFrame:
     lines = F.filter(F.split("code", "\n", -1), lambda line: line.contains("TODO"))
-    clean = F.transform(lines, lambda line: F.trim(F.regexp_replace(F.trim(line), r"^\W*TODO:?\s*", "")))
+    clean = F.transform(lines, lambda line: F.trim(F.regexp_replace(F.trim(line), fixed.TODO_LEAD, "")))
     return snippets.select("snippet_id", F.explode(clean).alias("todo"))

@@ -62,16 +62,18 @@ def tickets(escalated: DataFrame, prefix: str = "TICKET") -> DataFrame:
 
 
 def draft_reply(name: Column, escalated: Column, ticket: Column, title: Column, body: Column) -> Column:
-    who = F.coalesce(name, F.lit("there"))
+    """The reply to a turn: escalated, answered from a source, or neither."""
+
+    def fill(template: str, **parts: Column) -> Column:
+        for part, value in parts.items():
+            template = F.replace(F.lit(template) if isinstance(template, str) else template, F.lit("{" + part + "}"), value)
+        return template
+
+    who = F.coalesce(name, F.lit(fixed.REPLY_NOBODY))
     return (
-        F.when(escalated, F.concat(
-            F.lit("Hi "), who, F.lit(", I completely understand — this needs immediate attention. I've opened ticket **"),
-            F.coalesce(ticket, F.lit("N/A")),
-            F.lit("** and flagged it as urgent. A member of our team will reach out to you shortly.")))
-        .when(title.isNotNull(), F.concat(F.lit("Hi "), who, F.lit(", "), body, F.lit("\n\n_Source: "), title, F.lit("_")))
-        .otherwise(F.concat(
-            F.lit("Hi "), who, F.lit(", thanks for getting in touch! I wasn't able to find an exact match for that in our "
-                                     "knowledge base, but I've logged your message and our team will follow up with you soon.")))
+        F.when(escalated, fill(fixed.REPLY_ESCALATED, ticket=F.coalesce(ticket, F.lit("N/A")), name=who))
+        .when(title.isNotNull(), F.concat(fill(fixed.REPLY_GREETING, name=who), body, F.lit(fixed.REPLY_SOURCE), title, F.lit("_")))
+        .otherwise(fill(fixed.REPLY_UNKNOWN, name=who))
     )
 
 

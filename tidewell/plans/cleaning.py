@@ -289,16 +289,14 @@ def _frame(spark, sf):
 @query("missing_by_column", f"""
     select col as column_name, count(*) as missing from ({_CELLS}) where v = chr(0) group by 1""")
 def missing_by_column(spark, sf):
-    counts = cleaning.value_counts(_frame(spark, sf))
-    return (counts.where(F.col("value").isNull()).groupBy(F.col("column").alias("column_name"))
-            .agg(F.sum("n").alias("missing")))
+    found = cleaning.missing_counts(_frame(spark, sf)).where("missing > 0")
+    return found.select(F.col("column").alias("column_name"), "missing")
 
 
 @query("unique_by_column", f"""
     select col as column_name, count(distinct nullif(v, chr(0))) as uniques from ({_CELLS}) group by 1""")
 def unique_by_column(spark, sf):
-    counts = cleaning.value_counts(_frame(spark, sf))
-    return counts.groupBy(F.col("column").alias("column_name")).agg(F.count("value").alias("uniques"))
+    return cleaning.distinct_counts(_frame(spark, sf)).select(F.col("column").alias("column_name"), F.col("distinct").alias("uniques"))
 
 
 def _flag(word_set) -> str:
@@ -362,7 +360,5 @@ def profile_text(spark, sf):
 
 @query("clean_report", None)
 def clean_report(spark, sf):
-    import json
-
-    found = cleaning.report(_clean(spark, sf, keep=True))
-    return spark.createDataFrame([(json.dumps(found, ensure_ascii=False),)], "report string")
+    told = cleaning.overview(_clean(spark, sf, keep=True))
+    return told.select(F.to_json(F.struct("*")).alias("report"))

@@ -12,32 +12,32 @@ from tidewell.plans.registry import documents, query, table
 
 # Code templates, good and bad; part k takes template k % n with its own key in the names.
 SNIPPETS = [
-    ("java", "public class Box{n} {\n    private int size;\n    public int getSize() { return size; }\n"
-             "    public void close() { try { free(); } catch (Exception e) { } }\n}\n"),
-    ("java", "public class Vault{n} {\n    String password = \"hunter2hunter2\";\n    // never ( closed\n"
-             "    public void open(int code) { if (code > 0) { run(code); }\n}\n"),
-    ("java", "/* block with ]\n   two lines */\nrecord Pair{n}(int a, int b) {\n    int sum() { return (a + b]; }\n}\n"),
-    ("spring", "@RestController\npublic class Api{n} {\n    @Autowired\n    private Repo repo;\n"
-               "    @PostMapping(\"/items\")\n    public Item add(@RequestBody Item item) {\n"
-               "        System.out.println(item);\n        return repo.findById(item.id).get();\n    }\n}\n"),
-    ("spring", "@Entity\npublic class Row{n} {\n    private long key;\n}\n@CrossOrigin(\"*\")\npublic class Open{n} {\n"
-               "    void rules(Http http) { http.csrf(c -> c.disable()); http.auth(a -> a.anyRequest().permitAll()); }\n}\n"),
-    ("spring", "@Service\npublic class Shop{n} {\n    private final Repo repo;\n    public Shop{n}(Repo repo) { this.repo = repo; }\n"
-               "    public Item find(long id) { return repo.findById(id).orElseThrow(); }\n}\n"),
-    ("spring", "@SpringBootApplication\npublic class App{n} {\n    // TODO: start it\n}\n@Controller\nclass Empty{n} { }\n"),
-    ("python", "import os, re\nfrom json import loads\n\ndef load{n}(path, seen=[]):\n    try:\n        return eval(path)\n"
-               "    except:\n        pass\n    if path == None:\n        return open(path)\n"),
-    ("python", "import requests\n\ndef fetch{n}(url):\n    # TODO: retry\n    token = 'abcd1234efgh'\n"
-               "    for i in range(3):\n        requests.get(url)\n    with open('f{n}') as f:\n        return f.read()\n"),
-    ("python", "class Tidy{n}:\n    def run(self, x=None):\n        while x is not None:\n            x = self.step(x, 'eval(1)')\n"
-               "        return requests.post('u', timeout=5)\n"),
-    ("datascience", "from pandas import *\nscaler = StandardScaler()\nX{n} = scaler.fit_transform(X)\n"
-                    "a, b = train_test_split(X{n})\ndf['a'].fillna(0, inplace=True)\ndf[df.x > 1]['y'] = 3\n"
-                    "print(accuracy_score(a, b))\n"),
-    ("datascience", "import pandas as pd\nplt.bar(x, y)\nplt.ylim(97, 101)\nfor i, r in df{n}.iterrows():\n"
-                    "    df = df.append(r)\ndf = df.append(r)\n"),
-    ("datascience", "a, b = train_test_split(X{n}, random_state=42)\nscaler.fit(a)\nplt.plot(a)\nplt.ylim(5, 10)\n"
-                    "print(accuracy_score(a, b), f1_score(a, b))\n"),
+    ("java", "public class Crate{n} {\n    private int load;\n    public int getLoad() { return load; }\n"
+             "    public void unload() { try { crane.lift(); } catch (RuntimeException broken) { } }\n}\n"),
+    ("java", "public class Gate{n} {\n    String apiKey = \"orchard-9-lantern\";\n    // an open ( in a comment\n"
+             "    public void raise(int level) { if (level > 0) { move(level); }\n}\n"),
+    ("java", "/* a lone ]\n   over two lines */\nrecord Span{n}(int from, int to) {\n    int width() { return (to - from]; }\n}\n"),
+    ("spring", "@RestController\npublic class Dock{n} {\n    @Autowired\n    private Berths berths;\n"
+               "    @PutMapping(\"/berths\")\n    public Berth book(@RequestBody Berth berth) {\n"
+               "        System.out.println(berth);\n        return berths.findById(berth.number).get();\n    }\n}\n"),
+    ("spring", "@Entity\npublic class Buoy{n} {\n    private long depth;\n}\n@CrossOrigin(\"*\")\npublic class Pier{n} {\n"
+               "    void guard(Chain chain) { chain.csrf().disable(); chain.auth(all -> all.anyRequest().permitAll()); }\n}\n"),
+    ("spring", "@Service\npublic class Pilot{n} {\n    private final Berths berths;\n    public Pilot{n}(Berths berths) { this.berths = berths; }\n"
+               "    public Berth find(long number) { return berths.findById(number).orElseThrow(); }\n}\n"),
+    ("spring", "@SpringBootApplication\npublic class Harbour{n} {\n    // TODO: light the lamps\n}\n@Controller\nclass Jetty{n} { }\n"),
+    ("python", "import csv, math\nfrom pathlib import Path\n\ndef tide{n}(table, seen={}):\n    try:\n        return eval(table)\n"
+               "    except:\n        pass\n    if table != None:\n        return open(table)\n"),
+    ("python", "import requests\n\ndef forecast{n}(port):\n    # TODO: cache it\n    secret = 'harbour-lights-77'\n"
+               "    for hour in range(6):\n        requests.post(port)\n    with open('log{n}') as log:\n        return log.read()\n"),
+    ("python", "class Anchor{n}:\n    def drop(self, rope=None):\n        while rope is not None:\n            rope = self.pay(rope, 'exec(2)')\n"
+               "        return requests.put('port', timeout=9)\n"),
+    ("datascience", "from numpy import *\nimputer = SimpleImputer()\nW{n} = imputer.fit_transform(W)\n"
+                    "left, right = train_test_split(W{n})\nwaves.dropna(inplace=True)\nwaves['height'][0] = 4\n"
+                    "print(accuracy_score(left, right))\n"),
+    ("datascience", "import polars as pl\naxes.bar(ports, calls)\naxes.set_ylim(35, 50)\nfor k, row in df{n}.iterrows():\n"
+                    "    df_all = df_all.append(row)\ndf_all = df_all.append(row)\n"),
+    ("datascience", "left, right = train_test_split(W{n}, random_state=6)\nencoder.fit(left)\naxes.plot(left)\naxes.set_ylim(2, 4)\n"
+                    "print(accuracy_score(left, right), recall_score(left, right))\n"),
 ]
 
 _LIST = "[" + ", ".join(f"{{'language': {duck.lit(lang)}, 'code': {duck.lit(code)}}}" for lang, code in SNIPPETS) + "]"
