@@ -4,7 +4,8 @@ Vectors are dealt into blocks of about ``BLOCK`` rows, queries into groups of ab
 block, so its memory is bounded, and every row is indexed.  In a block each of ``PROJECTIONS`` random projections is a sorted
 array.  Around a query every array opens a window of half-width ``WIDTH / 2`` times a radius; the radius grows by ``GROWTH``
 (virtual rehashing: windows only expand, nothing is hashed again).  A vector met in ``THRESHOLD`` windows or more is verified with its
-exact distance.  A query stops when its k-th verified distance is within the radius: a neighbour that near is in each
+exact distance.  The first radius is half the
+distance to the k-th nearest of a bounded sample of the block.  A query stops when its k-th verified distance is within the radius: a neighbour that near is in each
 window with probability 0.68, so it misses the threshold in about one case of a hundred.  Blocks' best lists are merged by query.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an
@@ -26,7 +27,9 @@ from tidewell.session import materialise
 K = 10
 PROJECTIONS, THRESHOLD = 48, 23
 WIDTH, GROWTH = 2.0, 1.2
-BLOCK, GROUP = 4096, 2048
+BLOCK, GROUP = 8192, 2048
+TOGETHER = 128  # queries of a group that widen their windows in step
+PROBES = 512
 SEED = 17
 
 
@@ -41,45 +44,50 @@ class Index:
         self.order = np.argsort(values, axis=1, kind="stable")
         self.values = np.take_along_axis(values, self.order, axis=1)
 
-    def search(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of the nearest found, nearest first; the vector at place ``own`` is left out."""
+    def first_radius(self, queries: np.ndarray, most: int) -> np.ndarray:
+        """Half the distance to the k-th nearest of ``PROBES`` rows, a bounded sample: windows only grow from there."""
+        rows = self.vectors[np.linspace(0, len(self.vectors) - 1, min(PROBES, len(self.vectors))).astype(int)]
+        gaps = (queries**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1) - 2 * queries @ rows.T
+        near = np.sqrt(np.maximum(np.partition(gaps, min(most, len(rows)) - 1, axis=1)[:, min(most, len(rows)) - 1], 0))
+        return np.maximum(near / 2, 1e-9)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and distances of the nearest found, nearest first; the vector at ``own`` is left out."""
         count = len(self.vectors)
-        most = min(k, count - (own >= 0))
-        at = query @ self.lines
-        low = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at)])
+        at = queries @ self.lines
+        most = np.minimum(k, count - (own >= 0))
+        radius = self.first_radius(queries, k)
+        low = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at.T)]).T
         high = low.copy()
-        # the first radius lets a typical window hold k vectors
-        reach = np.minimum(low + most, count - 1), np.maximum(low - most, 0)
-        lines = np.arange(PROJECTIONS)
-        radius = max(float(np.median(np.maximum(
-            np.abs(self.values[lines, reach[0]] - at), np.abs(self.values[lines, reach[1]] - at)))) * 2 / WIDTH, 1e-9)
-        met = np.zeros(count, np.int64)
-        seen = np.zeros(count, bool)
-        if own >= 0:
-            seen[own] = True
-        places, distances = np.zeros(0, np.int64), np.zeros(0)
-        while len(places) < most or distances[most - 1] > radius:
-            half = WIDTH / 2 * radius
-            fresh = []
-            for j in range(PROJECTIONS):
-                a = int(np.searchsorted(self.values[j], at[j] - half, "left"))
-                b = int(np.searchsorted(self.values[j], at[j] + half, "right"))
-                a, b = min(a, low[j]), max(b, high[j])
-                fresh += [self.order[j, a:low[j]], self.order[j, high[j]:b]]
-                low[j], high[j] = a, b
-            met += np.bincount(np.concatenate(fresh), minlength=count)
-            new = np.flatnonzero((met >= THRESHOLD) & ~seen)
-            seen[new] = True
-            if len(new):
-                gap = self.vectors[new] - query
-                places = np.concatenate([places, new])
-                distances = np.concatenate([distances, np.sqrt((gap * gap).sum(axis=1))])
-                order = np.lexsort((places, distances))[:most]
-                places, distances = places[order], distances[order]
-            if low.max(initial=0) == 0 and high.min(initial=count) == count:
-                break
-            radius *= GROWTH
-        return places, distances
+        met = [np.zeros(count, np.int16) for _ in queries]
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        seen = [np.arange(count) == o for o in own]
+        active = np.flatnonzero(most > 0)
+        while len(active):
+            half = WIDTH / 2 * radius[active]
+            wide_low, wide_high = low[active], high[active]
+            for j, values in enumerate(self.values):
+                wide_low[:, j] = np.minimum(np.searchsorted(values, at[active, j] - half, "left"), low[active, j])
+                wide_high[:, j] = np.maximum(np.searchsorted(values, at[active, j] + half, "right"), high[active, j])
+            going = []
+            for i, a, b in zip(active, wide_low, wide_high):
+                fresh = [o[x:y] for o, x, y in zip(self.order, a, low[i])] + [o[x:y] for o, x, y in zip(self.order, high[i], b)]
+                met[i] += np.bincount(np.concatenate(fresh), minlength=count).astype(np.int16)
+                new = np.flatnonzero((met[i] >= THRESHOLD) & ~seen[i])
+                places, distances = best[i]
+                if len(new):
+                    seen[i][new] = True
+                    gap = self.vectors[new] - queries[i]
+                    places = np.concatenate([places, new])
+                    distances = np.concatenate([distances, np.sqrt((gap * gap).sum(axis=1))])
+                    order = np.lexsort((places, distances))[:most[i]]
+                    best[i] = places, distances = places[order], distances[order]
+                if (len(places) < most[i] or distances[-1] > radius[i]) and (a.max() > 0 or b.min() < count):
+                    going.append(i)
+            low[active], high[active] = wide_low, wide_high
+            radius[active] *= GROWTH
+            active = np.array(going, np.int64)
+        return best
 
 
 def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
@@ -97,12 +105,13 @@ def _answer(key: tuple, block: pa.Table, asked: pa.Table) -> pa.Table:
         order = np.argsort(ids)
         ids = ids[order]
         index = Index(_matrix(block["vector"], size)[order])
-        for query_id, query in zip(asked["q_id"].to_pylist(), _matrix(asked["q_vector"], size)):
-            own = int(np.searchsorted(ids, query_id))
-            own = own if own < len(ids) and ids[own] == query_id else -1
-            if len(ids) - (own >= 0) > 0:
-                places, distances = index.search(query, K, own)
-                out += [(query_id, int(ids[p]), float(d)) for p, d in zip(places, distances)]
+        asked_ids, queries = asked["q_id"].to_numpy(), _matrix(asked["q_vector"], size)
+        own = np.minimum(np.searchsorted(ids, asked_ids), len(ids) - 1)
+        own = np.where(ids[own] == asked_ids, own, -1)
+        for start in range(0, len(queries), TOGETHER):
+            part = slice(start, start + TOGETHER)
+            for query_id, (places, distances) in zip(asked_ids[part], index.search(queries[part], own[part], K)):
+                out += [(int(query_id), int(ids[p]), float(d)) for p, d in zip(places, distances)]
     columns = list(zip(*out)) or [(), (), ()]
     types = (pa.int64(), pa.int64(), pa.float64())
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "vec_id", "score"])
