@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import fold
-from tidewell.llm.words import CHUNK, WordHasher, mix, series
+from tidewell.llm.words import WordHasher, mix, series
 
 WINDOW, STEP = 20, 10
 WORD_ROWS, WORD_SIZE = 1 << 14, 6
@@ -33,7 +33,8 @@ GRAM_ROWS, GRAM_SIZE, GRAMS = 1 << 15, 14, (3, 4, 5)
 STATE = 8
 SAMPLE, TRAIN_BYTES = 1500, 8000
 PASSES, EARLY = 8, 3
-BATCH = 4096
+BATCH = 2048
+CHUNK = 1 << 20  # bytes of text looked at together
 
 
 class Words:

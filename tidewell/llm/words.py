@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes looked at together; a longer text is cut at white space
+CHUNK = 1 << 19  # bytes looked at together; a longer text is cut at white space
 
 
 def mix(x: np.ndarray) -> np.ndarray:
