@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -70,7 +71,7 @@ def main() -> int:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     folder = f"/root/testdata/sf{sf}"
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("check", "local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"), "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     plans, sqls = entry.queries(), entry.oracle_sql()
     wanted = sys.argv[2:]

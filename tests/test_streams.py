@@ -1,4 +1,6 @@
-"""Streams over several small batches against the batch operators, and restart from a checkpoint."""
+"""Streams over folders in several batches against the batch operators, late rows, state that goes, restart."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,69 +10,133 @@ from tidewell.streaming import jobs
 from tidewell.streaming.processors import stateful
 
 S = sequences.SECOND
+START = 1_700_000_000 * S
+
+
+def write_files(spark, folder, rows, groups):
+    """One part file per group of ids, in this order, so that one file a batch makes as many batches."""
+    import os
+    import time
+
+    for i, ids in enumerate(groups):
+        rows.where(F.col("id").isin(ids)).coalesce(1).write.mode("append").parquet(folder)
+        for name in os.listdir(folder):
+            path = os.path.join(folder, name)
+            if os.path.getmtime(path) > time.time() - 1000:  # the source takes files by age
+                os.utime(path, (time.time() - 5000 + i * 10,) * 2)
+    return folder
 
 
 @pytest.fixture(scope="module")
 def calls(spark, tmp_path_factory):
-    """Rows in time order over six files, so a trigger of one file makes six batches."""
-    folder = str(tmp_path_factory.mktemp("calls"))
+    """300 calls; eight files of neighbours with their rows mixed across up to 24 places."""
     rows = spark.range(0, 300, 1, 1).selectExpr(
-        "id", "concat('k', id % 3) as k", f"{1_700_000_000 * S} + id * {7 * S} + (id % 5) * {S} as at",
-        "case when id % 4 = 0 then 'ok' else 'failure' end as outcome")
-    rows = rows.withColumn("ts", F.timestamp_micros("at"))
-    for i in range(6):
-        rows.where(f"id div 50 = {i}").coalesce(1).write.parquet(f"{folder}/part{i}.parquet")
-    return spark, folder, rows
+        "id", "concat('k', id % 3) as k", f"{START} + id * {7 * S} + (id % 5) * {S} as at",
+        "case when id % 4 = 0 then 'ok' else 'failure' end as outcome").withColumn("ts", F.timestamp_micros("at"))
+    order = sorted(range(300), key=lambda i: i + random.Random(i).uniform(0, 24))
+    root = tmp_path_factory.mktemp("calls")
+    return str(root), rows, write_files(spark, str(root / "calls.parquet"), rows, [order[i * 38:(i + 1) * 38] for i in range(8)])
 
 
-def one_by_one(spark, folder):
-    schema = spark.read.parquet(f"{folder}/part0.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part*.parquet")
-
-
-@pytest.mark.parametrize("name", ["limit", "breaker", "hold"])
-def test_stream_equals_batch(calls, name):
-    spark, folder, rows = calls
+def rule_of(name):
     rule = {"limit": sequences.limit_rule("at", "id", 3, 60), "breaker": sequences.breaker_rule("at", "id", "outcome"),
             "hold": sequences.hold_rule("at", "id", 45)}[name]
-    keep = {"limit": 60, "breaker": None, "hold": 45}[name]
-    stream = one_by_one(spark, folder).withWatermark("ts", "1 minute")
-    got = jobs.run_to_table(stateful(stream, ["k"], rule, "at", keep), name)
-    want = sequences.sequential(rows.drop("ts"), ["k"], rule)
+    return rule, {"limit": 60, "breaker": None, "hold": 45}[name]
+
+
+def same(got, want):
     columns = sorted(want.columns)
-    assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+    return sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+
+
+@pytest.mark.parametrize("name", ["limit", "breaker", "hold"])
+def test_rows_out_of_order(spark, calls, name):
+    folder, rows, _ = calls
+    rule, keep = rule_of(name)
+    stream = jobs.file_stream(spark, folder, "calls.parquet", 1).withWatermark("ts", "5 minutes")
+    run = jobs.run_rule(stream, ["k"], rule, "at", keep, name)
+    assert run.batches >= 8 and run.late == 0
+    assert same(run.table, sequences.sequential(rows.drop("ts"), ["k"], rule))
+
+
+def test_late_rows_are_counted(spark, calls, tmp_path):
+    _, rows, _ = calls
+    rule, keep = rule_of("limit")
+    late = [3, 4, 50, 51, 52]
+    groups = [[i for i in range(0, 150) if i not in late], range(150, 299), late, [299]]
+    write_files(spark, str(tmp_path / "calls.parquet"), rows, [list(g) for g in groups])
+    stream = jobs.file_stream(spark, str(tmp_path), "calls.parquet", 1).withWatermark("ts", "1 minute")
+    run = jobs.run_rule(stream, ["k"], rule, "at", keep, "late")
+    assert run.late == len(late)
+    assert same(run.table, sequences.sequential(rows.where(~F.col("id").isin(late)).drop("ts"), ["k"], rule))
+
+
+def test_one_file_and_one_batch(spark, calls, tmp_path):
+    _, rows, _ = calls
+    rule, keep = rule_of("hold")
+    rows.coalesce(1).write.parquet(str(tmp_path / "w"))
+    import os
+
+    part = next(n for n in os.listdir(tmp_path / "w") if n.startswith("part"))
+    os.link(tmp_path / "w" / part, tmp_path / "one.parquet")
+    stream = jobs.file_stream(spark, str(tmp_path), "one.parquet").withWatermark("ts", "1 minute")
+    assert same(jobs.run_rule(stream, ["k"], rule, "at", keep, "one").table, sequences.sequential(rows.drop("ts"), ["k"], rule))
+
+
+def test_empty_state_goes(spark, tmp_path):
+    """Conversations in which nothing is pending leave no state."""
+    rows = spark.range(50).selectExpr("id as conv_id", "1L as turn", "cast(null as string) as reason", "cast(null as string) as mail")
+    rows = rows.unionAll(spark.sql("select 99L, 1L, 'asked for a person', cast(null as string)"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    stream = jobs.file_stream(spark, str(tmp_path), "t.parquet")
+    run = jobs.run_stream(stateful(stream, ["conv_id"], sequences.escalation_rule("turn", "reason", "mail")), "flow")
+    left = spark.read.format("statestore").option("stateVarName", "state").load(run.marks)
+    assert [r[0] for r in left.select("key.conv_id").collect()] == [99] and run.table.count() == 51
 
 
 def test_dialogue_in_any_pieces(spark, tmp_path):
-    script = "Intro\nHOST: Welcome to the show.\nStill me.\nGUEST: Thanks!\n\nHOST: Bye"
-    for size in (3, 17, 200):
+    script = "Opening music\nMARA: Good evening.\nAnd welcome back.\nPIET: Evening!\n\nMARA: That is all"
+    for size in (2, 19, 300):
         folder = tmp_path / f"s{size}"
         pieces = [("e", i, script[i * size:(i + 1) * size]) for i in range(-(-len(script) // size))]
-        ordered = spark.createDataFrame(pieces, "k string, n bigint, piece string").coalesce(1)
-        path = str(folder)
-        ordered.write.parquet(path)
-        stream = spark.readStream.schema(ordered.schema).parquet(path)
-        marks = str(tmp_path / f"marks{size}")
-        out = stateful(stream, ["k"], jobs.dialogue_rule("n", "piece", ["host", "guest"]))
-        done = jobs.released_turns(jobs.run_to_table(out, "d", marks), ["k"])
-        turns = jobs.spoken(done.unionByName(jobs.open_turns(spark, marks, ["k"], ["host", "guest"])), ["k"])
+        spark.createDataFrame(pieces, "k string, n bigint, piece string").coalesce(1).write.parquet(str(folder / "p.parquet"))
+        stream = jobs.file_stream(spark, str(folder), "p.parquet")
+        out = stateful(stream, ["k"], jobs.dialogue_rule("n", "piece", ["mara", "piet"]))
+        run = jobs.run_stream(out, "d")
+        done = jobs.released_turns(run.table, ["k"])
+        turns = jobs.spoken(done.unionByName(jobs.open_turns(spark, run.marks, ["k"], ["mara", "piet"])), ["k"])
         said = [(r["speaker"], r["text"]) for r in turns.collect()]
-        assert sorted(said) == [("guest", "Thanks!"), ("host", "Bye"), ("host", "Welcome to the show. Still me.")]
+        assert sorted(said) == [("mara", "Good evening. And welcome back."), ("mara", "That is all"), ("piet", "Evening!")]
 
 
-def test_running_counts(calls):
-    spark, folder, rows = calls
-    got = {r["k"]: r["count"] for r in jobs.running_counts(one_by_one(spark, folder), "k", "counts").collect()}
+def test_running_counts(spark, calls):
+    folder, _, _ = calls
+    stream = jobs.file_stream(spark, folder, "calls.parquet", 1)
+    got = {r["k"]: r["count"] for r in jobs.running_counts(stream, "k", "counts").collect()}
     assert got == {"k0": 100, "k1": 100, "k2": 100}
 
 
-def test_restart_reads_only_new_files(calls):
-    spark, folder, _ = calls
+def test_restart_reads_only_new_files(spark, calls):
     from tidewell.session import work_dir
 
+    folder, _, _ = calls
     marks, out = work_dir(spark, "restart"), work_dir(spark, "restart-out")
-    stream = one_by_one(spark, folder).select("id")
+    stream = jobs.file_stream(spark, folder, "calls.parquet", 1).select("id")
     for _ in range(2):
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(
             availableNow=True).start().awaitTermination()
     assert spark.read.parquet(out).count() == 300
+
+
+@pytest.mark.parametrize("name", ["rate_limit_stream", "ttl_reuse_stream", "single_flight_stream", "rate_limit_two_level_stream",
+                                  "circuit_state_stream", "escalation_stream", "dialogue_stream", "topic_counts_stream",
+                                  "audit_stream", "event_feed"])
+def test_queries_on_folders(spark, tmp_path_factory, name):
+    """Every stream query on tables that are folders of eight files gives what it gives on single files."""
+    from tidewell.plans.registry import QUERIES
+
+    source = "/root/testdata/sf0.001"
+    root = tmp_path_factory.mktemp("folders")
+    for t in ("events", "conversations"):
+        spark.read.parquet(f"{source}/{t}.parquet").repartition(8).write.parquet(str(root / f"{t}.parquet"))
+    assert same(QUERIES[name](spark, str(root)), QUERIES[name](spark, source))

@@ -26,23 +26,21 @@ def _events(spark, sf, *columns):
 def rate_limit_stream(spark, sf):
     stream = _events(spark, sf, "event_id", "user_id")
     rule = sequences.limit_rule("at_us", "event_id", 2, 86_400)
-    out = stateful(stream, ["user_id"], rule, "at_us", 86_400)
-    return jobs.run_to_table(out, "rate-limit").select("event_id", "allowed")
+    return jobs.run_rule(stream, ["user_id"], rule, "at_us", 86_400, "rate-limit").table.select("event_id", "allowed")
 
 
 @query("ttl_reuse_stream", ORACLES["ttl_reuse"])
 def ttl_reuse_stream(spark, sf):
     stream = _events(spark, sf, "event_id", "question")
-    out = stateful(stream, ["question"], sequences.hold_rule("at_us", "event_id"), "at_us", 1800)
-    return jobs.run_to_table(out, "ttl-reuse").select("event_id", "hit")
+    rule = sequences.hold_rule("at_us", "event_id")
+    return jobs.run_rule(stream, ["question"], rule, "at_us", 1800, "ttl-reuse").table.select("event_id", "hit")
 
 
 @query("single_flight_stream", ORACLES["single_flight"])
 def single_flight_stream(spark, sf):
     stream = _events(spark, sf, "event_id", "question", "seconds")
     rule = sequences.hold_rule("at_us", "event_id", "seconds", "shared")
-    out = stateful(stream, ["question"], rule, "at_us", 3600)
-    return jobs.run_to_table(out, "single-flight").select("event_id", "shared")
+    return jobs.run_rule(stream, ["question"], rule, "at_us", 3600, "single-flight").table.select("event_id", "shared")
 
 
 @query("rate_limit_two_level_stream", ORACLES["rate_limit_two_level"])
@@ -51,15 +49,15 @@ def rate_limit_two_level_stream(spark, sf):
     stream = stream.select("event_id", "network", "at_us", "seen_at",
                            text.client_key(F.lit("co"), F.col("browser"), F.col("address")).alias("client"))
     rule = sequences.two_level_rule("client", "at_us", "event_id", 3, 2, 86_400)
-    out = stateful(stream, ["network"], rule, "at_us", 86_400)
-    return jobs.run_to_table(out, "two-level").select("event_id", "client", "verdict")
+    run = jobs.run_rule(stream, ["network"], rule, "at_us", 86_400, "two-level")
+    return run.table.select("event_id", "client", "verdict")
 
 
 @query("circuit_state_stream", ORACLES["circuit_state"])
 def circuit_state_stream(spark, sf):
     stream = _events(spark, sf, "event_id", "network", "outcome")
-    out = stateful(stream, ["network"], sequences.breaker_rule("at_us", "event_id", "outcome"))
-    return jobs.run_to_table(out, "circuit").select("event_id", "allowed", "status", "retry_in")
+    run = jobs.run_rule(stream, ["network"], sequences.breaker_rule("at_us", "event_id", "outcome"), "at_us", None, "circuit")
+    return run.table.select("event_id", "allowed", "status", "retry_in")
 
 
 def _messages(spark, sf):

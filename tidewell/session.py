@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def build_session(app: str = "tidewell", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -28,18 +30,28 @@ def build_session(app: str = "tidewell", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings for what is started inside; dots are written as double underscores."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder for one intermediate table, under the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session without that setting (tests) gets a
-    temporary folder of this machine.
+    The folder comes from ``spark.checkpoint.dir``; there is no machine-local stand-in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,25 +11,59 @@ from pyspark.sql import functions as F
 from tidewell.functions import text
 from tidewell.operators import packing
 from tidewell.operators.sequences import Rule
-from tidewell.session import work_dir
+from tidewell.session import ROCKSDB, settings, work_dir
+from tidewell.streaming.processors import stateful, waiting
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, bytes_per_batch: int = 1 << 30) -> DataFrame:
-    """Stream of the parquet files called ``name`` in a folder; the size of a batch bounds what one key can bring."""
+def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of a parquet table that is one file or a folder of part files.
+
+    A run takes all that is there in one batch unless ``files_per_batch`` divides it.
+    """
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxBytesPerTrigger", bytes_per_batch)
-        .parquet(folder)
-    )
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a glob stands for a file as well as for a folder
 
 
-def run_to_table(stream: DataFrame, label: str, marks: str | None = None) -> DataFrame:
-    """Run a stream over all data that is there now into a parquet table; exactly once, restartable from ``marks``."""
+@dataclass
+class Run:
+    """What a finished stream leaves: its table, its checkpoint, batches, and rows dropped behind the watermark."""
+
+    table: DataFrame
+    marks: str
+    batches: int
+    late: int
+
+
+def run_stream(stream: DataFrame, label: str, marks: str | None = None) -> Run:
+    """Run a stream over all data that is there now into a parquet table; exactly once, restartable from ``marks``.
+
+    ``late`` sums the progress reports that Spark keeps (``spark.sql.streaming.numRecentProgressUpdates``, 100 by default).
+    """
     spark = stream.sparkSession
     out, marks = work_dir(spark, label), marks or work_dir(spark, f"{label}-checkpoint")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(
-        availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(
+            availableNow=True).start()
+    query.awaitTermination()
+    reports = [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+    late = sum(o.get("numRowsDroppedByWatermark", 0) for p in reports for o in p.get("stateOperators", []))
+    return Run(spark.read.schema(stream.schema).parquet(out), marks, len(reports), late)
+
+
+def run_to_table(stream: DataFrame, label: str, marks: str | None = None) -> DataFrame:
+    return run_stream(stream, label, marks).table
+
+
+def run_rule(
+    stream: DataFrame, keys: list[str], rule: Rule, time: str, keep_seconds: int | None, label: str
+) -> Run:
+    """Run a rule in event-time order; rows that still wait for the watermark at the end are added."""
+    run = run_stream(stateful(stream, keys, rule, time, keep_seconds), label)
+    run.table = run.table.unionByName(waiting(stream, rule, run.marks))
+    return run
 
 
 def running_counts(stream: DataFrame, key: str, label: str) -> DataFrame:
@@ -47,18 +82,6 @@ def running_counts(stream: DataFrame, key: str, label: str) -> DataFrame:
     return merged.groupBy(key).agg(F.max_by("count", "batch").alias("count"))
 
 
-def _take(state: dict, tag, done: list) -> None:
-    """Read the buffered line: a tag releases the open turn and starts the next, other text continues it."""
-    line, state["buffer"] = state["buffer"], ""
-    found = tag.match(line)
-    if found:
-        if state["open"]:
-            done.append(state["open"])
-        state["open"] = [found.group(1).lower(), found.group(2), str(state["began"])]
-    elif line.strip() and state["open"]:
-        state["open"][1] += " " + line
-
-
 def _tag(speakers: list[str]) -> str:
     return rf"^\W*({'|'.join(speakers)})\W*\s*:\s*(.*)$"
 
@@ -66,26 +89,35 @@ def _tag(speakers: list[str]) -> str:
 def dialogue_rule(order: str, piece: str, speakers: list[str]) -> Rule:
     """Lines of a script that arrives in pieces: a turn is released when the next speaker starts.
 
-    State is the unfinished physical line and the open turn; ``released`` is a JSON list of [speaker, text, position of
-    the piece the turn began in].
+    A piece is glued to the line left unfinished by the one before and split into lines; all but the last are complete.
+    Tags open turns, and counting them tells which turn every line belongs to.  State is the unfinished line with the
+    position it began at, and the open turn; ``released`` is a JSON list of [speaker, text, position].
     """
     import re
 
     tag = re.compile(_tag(speakers), re.IGNORECASE)
 
+    def complete(lines: list[tuple[str, int]], turn: list | None) -> list[list]:
+        """The turns that lines belong to, the open one first; lines ahead of any tag belong to none."""
+        turns = [turn] if turn else []
+        for line, at in lines:
+            if head := tag.match(line):
+                turns.append([head[1].lower(), head[2], str(at)])
+            elif turns and line.strip():
+                turns[-1] = [turns[-1][0], f"{turns[-1][1]} {line}", turns[-1][2]]
+        return turns
+
     def run(state, rows):
-        state = state or {"buffer": "", "began": None, "open": None}
+        held = state or {"buffer": "", "began": None, "open": None}
         out = []
-        for chunk, at in zip(rows[piece].tolist(), rows[order].tolist(), strict=True):
-            done = []
-            for i, part in enumerate(chunk.split("\n")):
-                if i:  # a line break ended the buffered line
-                    _take(state, tag, done)
-                if not state["buffer"]:
-                    state["began"] = at
-                state["buffer"] += part
+        for text_, at in zip(rows[piece].tolist(), rows[order].tolist(), strict=True):
+            began = held["began"] if held["buffer"] else at
+            *whole, rest = (held["buffer"] + text_).split("\n")
+            lines = [(line, began if i == 0 else at) for i, line in enumerate(whole)]
+            *done, last = complete(lines, held["open"]) or [None]
+            held = {"buffer": rest, "began": at if whole else began, "open": last}
             out.append(json.dumps(done, ensure_ascii=False))
-        return {"released": out}, state
+        return {"released": out}, held
 
     return Rule(run, "released string", (order,))
 
@@ -99,8 +131,8 @@ def released_turns(released: DataFrame, keys: list[str]) -> DataFrame:
 def open_turns(spark: SparkSession, marks: str, keys: list[str], speakers: list[str]) -> DataFrame:
     """What the end of a dialogue stream releases: the open turn and the unfinished line, read from its state."""
     state = spark.read.format("statestore").option("stateVarName", "state").load(marks)
-    body = F.from_json(F.col("value.body"), "buffer string, began bigint, open array<string>")
-    rest = state.select(*[F.col(f"key.{k}").alias(k) for k in keys], body.alias("b")).select(*keys, "b.*")
+    body = F.from_json(F.col("value.body"), "state struct<buffer:string,began:bigint,open:array<string>>")
+    rest = state.select(*[F.col(f"key.{k}").alias(k) for k in keys], body["state"].alias("b")).select(*keys, "b.*")
     tag = "(?i)" + _tag(speakers)
     own = F.col("buffer").rlike(tag)
     tail = F.when(own | (F.trim("buffer") == ""), "").otherwise(F.concat(F.lit(" "), "buffer"))

@@ -12,49 +12,124 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.operators.sequences import Rule
-from tidewell.session import ROCKSDB
+
+
+def _frame(rows: list, names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+
+
+def _plain(chunk: pd.DataFrame, names: list[str]) -> list[list]:
+    """Rows as lists that JSON can hold."""
+    columns = [[None if pd.isna(v) else v for v in chunk[n].tolist()] for n in names]
+    return [list(r) for r in zip(*columns, strict=True)]
+
+
+def is_empty(state: Any) -> bool:
+    return not state or isinstance(state, dict) and not any(state.values())
+
+
+def apply_rule(rule: Rule, state: Any, rows: list, names: list[str]) -> tuple[pd.DataFrame, Any]:
+    """Rows in the rule's order with its new columns, and the state after them."""
+    frame = _frame(rows, names).sort_values(list(rule.order), kind="stable").reset_index(drop=True)
+    new, after = rule.run(state, frame)
+    return frame.assign(**new), after
 
 
 class RuleProcessor(StatefulProcessor):
-    """Applies a rule to the new rows of a key and keeps its state between micro-batches.
+    """Applies a rule to the rows of a key and keeps its state between micro-batches.
 
-    State is dropped ``keep_ms`` of event time after the key's last row, when the watermark has passed it.
+    With event time, rows wait until the watermark has passed them and are then taken in time order, whatever batch brought
+    them; rows behind the watermark never come here (Spark counts them).  State goes ``keep_ms`` after the key's last
+    row, or as soon as the rule leaves it empty.  Without event time rows are taken batch by batch, and state
+    goes when the rule leaves it empty.
     """
 
-    def __init__(self, rule: Rule, names: list[str], time: str, keep_ms: int | None) -> None:
-        self.rule, self.names, self.time, self.keep_ms = rule, names, time, keep_ms
+    def __init__(self, rule: Rule, names: list[str], out: list[str], time: str | None, keep_ms: int | None) -> None:
+        self.rule, self.names, self.out, self.time, self.keep_ms = rule, names, out, time, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "body string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(list(self.rule.order), kind="stable").reset_index(drop=True)
-        before = json.loads(self.state.get()[0]) if self.state.exists() else None
-        new, after = self.rule.run(before, batch)
-        self.state.update((json.dumps(after),))
-        if self.keep_ms is not None:
+    def _load(self) -> dict:
+        return json.loads(self.state.get()[0]) if self.state.exists() else {"state": None, "pending": [], "last": None}
+
+    def _store(self, held: dict) -> None:
+        """Write the state, or drop it if nothing is in it, and set the timer of the next thing to do."""
+        over = is_empty(held["state"]) and not held["pending"]
+        if over:
+            self.state.clear()
+        else:
+            self.state.update((json.dumps(held, ensure_ascii=False),))
+        if self.time:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(batch[self.time].max()) // 1000 + self.keep_ms)
-        yield batch.assign(**new)[self.names]
+            if held["pending"]:
+                at = self.names.index(self.time)
+                self.handle.registerTimer(min(r[at] for r in held["pending"]) // 1000 + 1)
+            elif not over and self.keep_ms is not None:
+                self.handle.registerTimer(held["last"] // 1000 + self.keep_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self._load()
+        if self.time:
+            for chunk in rows:
+                held["pending"] += _plain(chunk, self.names)
+            self._store(held)
+            return
+        fresh = [r for chunk in rows for r in _plain(chunk, self.names)]
+        done, held["state"] = apply_rule(self.rule, held["state"], fresh, self.names)
+        self._store(held)
+        yield done[self.out]
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
+        held, upto = self._load(), timerValues.getCurrentWatermarkInMs()
+        if held["pending"]:
+            at = self.names.index(self.time)
+            ready = [r for r in held["pending"] if r[at] // 1000 < upto]
+            held["pending"] = [r for r in held["pending"] if r[at] // 1000 >= upto]
+            if ready:
+                done, held["state"] = apply_rule(self.rule, held["state"], ready, self.names)
+                held["last"] = max(r[at] for r in ready)
+                self._store(held)
+                yield done[self.out]
+                return
+        elif self.keep_ms is not None and held["last"] is not None and held["last"] // 1000 + self.keep_ms <= upto:
+            held["state"] = None
+        self._store(held)
 
     def close(self) -> None:
         pass
 
 
-def stateful(stream: DataFrame, keys: list[str], rule: Rule, time: str | None = None, keep_seconds: int | None = None) -> DataFrame:
-    """A rule over a stream.  With ``time`` (microseconds) and ``keep_seconds`` the stream needs a watermark."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _columns(stream: DataFrame, rule: Rule) -> tuple[list[str], T.StructType]:
     fields = [f for f in stream.schema.fields if not isinstance(f.dataType, T.TimestampType)]
-    schema = T.StructType(fields + T.StructType.fromDDL(rule.added).fields)
+    return [f.name for f in fields], T.StructType(fields + T.StructType.fromDDL(rule.added).fields)
+
+
+def stateful(stream: DataFrame, keys: list[str], rule: Rule, time: str | None = None, keep_seconds: int | None = None) -> DataFrame:
+    """A rule over a stream.  With ``time`` (a column of microseconds) the stream needs a watermark on the same moment.
+
+    Queries on it need the RocksDB state store (``jobs.run_stream`` sets it for the query it starts).
+    """
+    names, schema = _columns(stream, rule)
     keep_ms = keep_seconds * 1000 if keep_seconds is not None else None
-    processor = RuleProcessor(rule, [f.name for f in schema.fields], time or rule.order[0], keep_ms)
-    mode = "none" if keep_ms is None else "EventTime"
+    processor = RuleProcessor(rule, names, schema.names, time, keep_ms)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=mode)
+        statefulProcessor=processor, outputStructType=schema, outputMode="append",
+        timeMode="EventTime" if time else "none")
+
+
+def waiting(stream: DataFrame, rule: Rule, marks: str) -> DataFrame:
+    """Rows that still wait for the watermark when a stream has stopped, with the rule applied; read from its checkpoint."""
+    names, schema = _columns(stream, rule)
+    state = stream.sparkSession.read.format("statestore").option("stateVarName", "state").load(marks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for body in batch["body"]:
+                held = json.loads(body)
+                if held["pending"]:
+                    yield apply_rule(rule, held["state"], held["pending"], names)[0][schema.names]
+
+    return state.select("value.body").mapInPandas(run, schema)
