@@ -57,7 +57,7 @@ def rate_by_group(df: DataFrame, group: str, flag: Column) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, spread and exact quartiles in one row, with the gap between mean and median."""
     n = df.select(F.count(column)).first()[0]
-    q25, q50, q75 = (skew.quantile(df, column, p, n) for p in (0.25, 0.5, 0.75))
+    q25, q50, q75 = skew.quantiles(df, column, [0.25, 0.5, 0.75], n)
     row = df.agg(
         F.count(column).alias("n"),
         F.round(exact_sum(column) / F.count(column), 6).alias("mean"),

@@ -9,8 +9,6 @@ from tidewell.session import materialise
 
 HEAVY_KEYS = 1000
 PART_ROWS = 1_000_000
-MAX_PIECES = 16384
-STEP_BUCKETS = 4096
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], weight: str | None = None) -> DataFrame:
@@ -58,7 +56,7 @@ def split_hot(df: DataFrame, keys: list[str], position: str, part_rows: int = PA
     if hot.isEmpty():
         return df.withColumn("_part", F.lit(0)), False
     most = hot.agg(F.max("_n")).first()[0]
-    pieces = min(MAX_PIECES, -(-most // part_rows) + 1)
+    pieces = -(-most // part_rows) + 1
     probabilities = [i / pieces for i in range(1, pieces)]
     bounds = (
         df.join(hot.select(*keys), keys, "left_semi")
@@ -124,48 +122,74 @@ def with_carried(df: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, column: str, ranks: list[int], small: int = 20_000) -> list:
-    """Exact values at 0-based ``ranks`` of a numeric column, nulls left out, without one global sort.
+    """Exact values at 0-based ``ranks`` of a numeric column, nulls left out, without a global sort.
 
-    Each pass counts rows in ``STEP_BUCKETS`` equal slices of the range that still holds the rank and moves into one
-    slice; once few rows are left, their value counts decide.  The driver sees slice counts only.
+    All ranks share the passes.  A pass asks for approximate quantiles around each rank (values that occur) and counts the
+    rows below, at and above them exactly; the part that holds the rank goes on.  A part of ``small`` rows or fewer is
+    decided by its value counts, and a value that fills the rank itself ends the search, so ties and
+    infinities cost nothing.  NaN counts as the largest value.  The driver sees counts only.
     """
-    found = {}
     base = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
-    for rank in sorted(set(ranks)):
-        part, left = base, rank
-        while True:
-            low, high, n = part.agg(F.min("v"), F.max("v"), F.count("v")).first()
-            if n == 0:
-                found[rank] = None
-                break
-            if low == high:
-                found[rank] = low
-                break
-            if n <= small:
-                for v, c in sorted(tuple(r) for r in part.groupBy("v").count().collect()):
-                    if left < c:
-                        found[rank] = v
+    v = F.col("v")
+    floats = dict(base.dtypes)["v"] in ("double", "float")
+    nan = F.count_if(F.isnan("v")) if floats else F.lit(0)
+    n, n_nan = base.agg(F.count("v"), nan).first()
+    numbers = base.where(~F.isnan("v")) if floats else base
+    found = {r: float("nan") if n - n_nan <= r < n else None for r in set(ranks)}
+    # a part: rank inside it, its rows, and conditions that bound it
+    parts = {r: (r, n - n_nan, F.lit(True)) for r in found if r < n - n_nan}
+    while parts:
+        few = {r: p for r, p in parts.items() if p[1] <= small}
+        if few:
+            inside = [p[2] for p in few.values()]
+            marks = F.array(*[F.when(c, F.lit(r)) for r, c in zip(few, inside, strict=True)])
+            counts = numbers.where(F.array_max(marks).isNotNull()).groupBy("v", marks.alias("m")).count().collect()
+            for r, (left, _, _) in few.items():
+                for value, k in sorted((row["v"], row["count"]) for row in counts if r in row["m"]):
+                    if left < k:
+                        found[r] = value
                         break
-                    left -= c
-                break
-            width = float(high - low) / STEP_BUCKETS
-            wide = F.col("v").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)") if isinstance(low, int) else F.col("v") - low
-            slot = F.least(F.floor(wide.cast("double") / F.lit(width)), F.lit(STEP_BUCKETS - 1)).cast("int")
-            counts = sorted(tuple(r) for r in part.groupBy(slot.alias("s")).count().collect())
-            for s, c in counts:
-                if left < c:
-                    part = part.where(slot == s)
+                    left -= k
+        parts = {r: p for r, p in parts.items() if p[1] > small}
+        if not parts:
+            break
+        around = numbers.agg(*[
+            F.percentile_approx(F.when(c, v), [max(0.0, left / rows - 2e-4), left / rows, min(1.0, left / rows + 2e-4)], 10_000)
+            for left, rows, c in parts.values()]).first()
+        tests = []
+        for (_, _, c), (low, mid, high) in zip(parts.values(), around, strict=True):
+            low, mid, high = F.lit(low), F.lit(mid), F.lit(high)
+            tests += [c & (v < low), c & (v >= low) & (v < mid), c & (v == mid), c & (v > mid) & (v <= high), c & (v > high)]
+        counted = numbers.agg(*[F.count_if(t) for t in tests]).first()
+        after = {}
+        for i, (r, (left, _, _)) in enumerate(parts.items()):
+            for test, rows in zip(tests[5 * i:5 * i + 5], counted[5 * i:5 * i + 5], strict=True):
+                if left < rows:
+                    after[r] = (left, rows, test)
                     break
-                left -= c
+                left -= rows
+            if test is tests[5 * i + 2]:
+                found[r] = around[i][1]
+                del after[r]
+        parts = after
     return [found[r] for r in ranks]
 
 
-def quantile(df: DataFrame, column: str, probability: float, total: int | None = None) -> float | None:
-    """Exact quantile with linear interpolation between neighbours."""
+def quantiles(df: DataFrame, column: str, probabilities: list[float], total: int | None = None) -> list[float | None]:
+    """Exact quantiles with linear interpolation between neighbours, all from the same passes."""
     n = total if total is not None else df.select(F.count(column)).first()[0]
     if n == 0:
-        return None
-    at = probability * (n - 1)
-    lo = int(at)
-    a, b = order_statistics(df, column, [lo, min(lo + 1, n - 1)])
-    return float(a) + (float(b) - float(a)) * (at - lo)
+        return [None] * len(probabilities)
+    at = [p * (n - 1) for p in probabilities]
+    pairs = [(int(a), min(int(a) + 1, n - 1)) for a in at]
+    ranks = sorted({r for pair in pairs for r in pair})
+    value = dict(zip(ranks, order_statistics(df, column, ranks), strict=True))
+    out = []
+    for a, (low, high) in zip(at, pairs, strict=True):
+        x, y = float(value[low]), float(value[high])
+        out.append(x if x == y or a == low else x + (y - x) * (a - low))
+    return out
+
+
+def quantile(df: DataFrame, column: str, probability: float, total: int | None = None) -> float | None:
+    return quantiles(df, column, [probability], total)[0]

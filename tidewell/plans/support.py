@@ -27,7 +27,8 @@ def _scored(queries: str, documents: str) -> str:
 
 
 _TOPICS = "select item_id as query_id, text as message from benchmark"
-_ASKED = f"select conv_id * 1000 + turn as query_id, * from ({views.MESSAGES})"
+_QUERY_ID = "cast(conv_id as varchar) || ':' || cast(turn as varchar)"
+_ASKED = f"select {_QUERY_ID} as query_id, * from ({views.MESSAGES})"
 
 
 def _topics(spark, sf):
@@ -35,7 +36,8 @@ def _topics(spark, sf):
 
 
 def _asked(spark, sf):
-    return views.messages(spark, sf).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return views.messages(spark, sf).withColumn(
+        "query_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
 
 
 @query("faq_search", f"""with {_scored(_TOPICS, views.KB)}
@@ -134,11 +136,13 @@ def _rag_hits(spark, sf, least: float):
                            search.hash_embedding(F.col("message")).alias("vector"))
     corpus = chunks.select(F.col("company_id").alias("tenant"), F.col("id").alias("doc_id"),
                            search.hash_embedding(F.col("chunk")).alias("vector"))
-    near = search.vector_search(queries, corpus, k=5, least=least)
+    # at most five rows per message, written once: they are a result and tell who still needs a keyword search
+    near = materialise(search.vector_search(queries, corpus, k=5, least=least), "near")
+    asked = asked.join(near.select("query_id").distinct(), "query_id", "left_anti")
     near = near.select("query_id", F.col("doc_id").alias("hit"), F.lit("vector").alias("origin"), "rank", "score")
     words = search.keyword_search(asked.select("query_id", "message"), views.kb(spark, sf))
     words = words.select("query_id", F.col("doc_id").cast("string").alias("hit"), F.lit("keyword").alias("origin"), "rank", "score")
-    return search.fallback(near, words, "query_id")
+    return near.unionByName(words)
 
 
 @query("rag_or_faq", f"with {_RAG.replace('{least}', '0.9')} select query_id, hit, origin, rank, round(score, 3) as score from rag")
@@ -367,13 +371,14 @@ _TOPIC_ROWS = f"""
     topics as (select distinct m.conv_id, m.turn, k.title as topic from m join kept k using (query_id)
                union all
                select conv_id, turn, 'escalation' from flow where action = 'ticket'
-               and conv_id * 1000 + turn not in (select query_id from kept))"""
+               and {_QUERY_ID} not in (select query_id from kept))"""
 
 
 def _hits(spark, sf):
     found = search.keyword_search(_asked(spark, sf).select("query_id", "message"), views.kb(spark, sf))
     found = materialise(found, "hits")  # at most three rows per message, read by several steps
-    return found.withColumn("conv_id", F.floor(F.col("query_id") / 1000)).withColumn("turn", F.col("query_id") % 1000)
+    part = F.split("query_id", ":")
+    return found.withColumn("conv_id", part[0].cast("bigint")).withColumn("turn", part[1].cast("bigint"))
 
 
 def _turn_topics(spark, sf, flow=None, hits=None):
@@ -434,7 +439,7 @@ def tenant_stats(spark, sf):
 @query("learning_queue", f"""with recursive {_TOPIC_ROWS}
     select conv_id, turn, 'needs-review' as status, 'Proposed knowledge: ' || substr(message, 1, 70) as title, message from m
     where query_id not in (select query_id from kept)
-      and query_id not in (select conv_id * 1000 + turn from flow where action = 'ticket')""")
+      and query_id not in (select {_QUERY_ID} from flow where action = 'ticket')""")
 def learning_queue(spark, sf):
     escalated = _flow(spark, sf).where("action = 'ticket'")
     return support.learning_queue(views.messages(spark, sf), _hits(spark, sf), escalated)

@@ -9,8 +9,8 @@ from tidewell.plans.registry import documents, table
 
 # Expressions that read the same in Spark SQL and DuckDB: one text serves both engines.
 _DIRTY = {
-    "row_id": "k + copy * 1000000",
-    "id": "cast(k + copy * 1000000 as string)",
+    "row_id": "k * 2 + copy",
+    "id": "cast(k * 2 + copy as string)",
     "full_name": "case when copy = 1 then upper(c_name) when k % 5 = 0 then '  ' || lower(c_name) || ' ' "
                  "when k % 5 = 1 then upper(c_name) when k % 5 = 2 then 'N/A' else c_name end",
     "email": "case k % 7 when 0 then 'User' || cast(k as string) || '@Example.COM' "
