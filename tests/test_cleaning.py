@@ -125,6 +125,11 @@ def test_semicolon_and_legacy_encoding(load):
     assert [tuple(r)[1:] for r in frame.orderBy(cleaning.ROW).collect()] == [("Brugge", "Café-wal"), ("Genève", "Öst")]
 
 
+def test_quoted_line_breaks(load):
+    frame = load('ref,remark\nr1,"first\nsecond, ""third"""\nr2,plain\n')
+    assert [tuple(r) for r in frame.orderBy(cleaning.ROW).collect()] == [(0, "r1", 'first\nsecond, "third"'), (1, "r2", "plain")]
+
+
 def test_byte_order_mark(load):
     assert load("\ufeffcity,code\nOslo,q\n".encode()).columns == [cleaning.ROW, "city", "code"]
 

@@ -134,3 +134,21 @@ def test_error_kinds(spark):
     df = spark.createDataFrame(rows, "status int, name string")
     out = [r[0] for r in df.select(sequences.classify_error(F.col("status"), F.col("name"))).collect()]
     assert out == ["auth", "model", "transient", "transient", "other", "transient", "network", "other"]
+
+
+@pytest.mark.parametrize("small", [20_000, 50])
+def test_order_statistics_of_odd_numbers(spark, small):
+    """Infinities, NaN, nulls and one value that fills half the column."""
+    import math
+
+    rnd = random.Random(3)
+    values = [rnd.gauss(0, 1e9) for _ in range(9_000)] + [7.5] * 12_000 + [math.inf] * 60 + [-math.inf] * 40 + [1e-300, 1e300]
+    table = spark.createDataFrame([(v,) for v in values + [math.nan] * 30 + [None] * 20], "v double")
+    want = sorted(values)
+    ranks = [0, 39, 40, 41, 4_000, 9_000, 12_345, len(want) - 61, len(want) - 1, len(want), len(want) + 29]
+    got = skew.order_statistics(table, "v", ranks, small)
+    assert got[:-2] == [want[r] for r in ranks[:-2]] and all(math.isnan(x) for x in got[-2:])
+    whole = spark.range(30_000).selectExpr("id % 100 as v")
+    assert skew.order_statistics(whole, "v", [0, 15_000, 29_999], small) == [0, 50, 99]
+    assert skew.quantiles(whole, "v", [0.5, 0.75], 30_000) == [49.5, 74.25]
+    assert skew.quantile(table.where("v is null"), "v", 0.5) is None

@@ -52,6 +52,59 @@ def scan_encoding_detect(spark, sf):
     return out[0].unionAll(out[1])
 
 
+_CELL = "c_name || chr(10) || '\"' || c_mktsegment || '\", ' || chr(10) || cast(c_custkey as {text})"
+
+
+@query("scan_csv_breaks", f"select cast(c_custkey as varchar) as id, {_CELL.format(text='varchar')} as note from customer")
+def scan_csv_breaks(spark, sf):
+    """Cells with quotes, delimiters and line breaks; eight files, read one per task."""
+    path = work_dir(spark, "breaks") + ".csv"
+    rows = table(spark, sf, "customer").selectExpr("cast(c_custkey as string) as id", f"{_CELL.format(text='string')} as note")
+    rows.repartition(8).write.option("header", True).option("escape", '"').csv(path)
+    return files.read_delimited(spark, path).drop(cleaning.ROW)
+
+
+@query("scan_legacy_text", "select cast(c_custkey as varchar) as id, c_name || ' – café „Österreich“ €' || cast(c_custkey as varchar) as note from customer")
+def scan_legacy_text(spark, sf):
+    """Files in windows-1252: the signs that ISO-8859-1 lacks come back."""
+    path = work_dir(spark, "legacy") + ".csv"
+    note = F.concat("c_name", F.lit(" – café „Österreich“ €"), F.col("c_custkey").cast("string"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), note.alias("note"))
+    rows = rows.withColumn("note", F.translate("note", files.LEGACY_SIGNS, files.LATIN_CONTROLS))
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return files.read_delimited(spark, path).drop(cleaning.ROW)
+
+
+@query("scan_repeated_headers", 'select cast(c_custkey as varchar) as code, c_name as "code.1", c_mktsegment as "code.2" from customer')
+def scan_repeated_headers(spark, sf):
+    path = work_dir(spark, "headers") + ".csv"
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias(" code"), F.col("c_mktsegment").alias("code "))
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return files.read_delimited(spark, path).drop(cleaning.ROW)
+
+
+@query("scan_json_columns", "select c_custkey as row, c_name as name, cast(c_nationkey as varchar) as nation from customer")
+def scan_json_columns(spark, sf):
+    """Column-form JSON, {column: {row: value}}, in documents of at most a hundred rows."""
+    path = work_dir(spark, "columns")
+    key = F.col("c_custkey").cast("string")
+    one = lambda c: F.map_from_entries(F.collect_list(F.struct(key, F.col(c).cast("string"))))
+    docs = table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 100)).agg(
+        F.to_json(F.struct(one("c_name").alias("name"), one("c_nationkey").alias("nation"))).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_json_columns(spark, path).withColumnRenamed(cleaning.ROW, "row")
+
+
+@query("kb_array_scan", f"select title, md5(text) as text_md5 from ({views.KB})")
+def kb_array_scan(spark, sf):
+    """A knowledge base in files that hold an array of records each."""
+    path = work_dir(spark, "kb-arrays")
+    lists = views.kb(spark, sf).groupBy(F.floor(F.col("doc_id") / 50)).agg(
+        F.to_json(F.collect_list(F.struct("title", "text"))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_knowledge_json(spark, path).select("title", F.md5("text").alias("text_md5"))
+
+
 @query("scan_json_text", "select cast(o_orderkey as varchar) as o_orderkey, o_orderstatus, cast(o_custkey as varchar) as o_custkey from orders")
 def scan_json_text(spark, sf):
     path = work_dir(spark, "json")
@@ -68,7 +121,7 @@ def scan_guard(spark, sf):
     kind = F.element_at(F.array(F.lit("csv"), F.lit("json"), F.lit("exe"), F.lit("CSV")), (F.col("page_id") % 4 + 1).cast("int"))
     size = F.when(F.col("page_id") % 5 == 0, 0).otherwise(F.length("html") * 1000)
     named = table(spark, sf, "pages").select("page_id", F.concat(F.lit("page."), kind).alias("name"), size.alias("size"))
-    return named.select("page_id", files.file_verdict(F.col("name"), F.col("size")).alias("rejected"))
+    return named.select("page_id", files.file_verdict(F.col("name"), F.col("size"), 10_485_760).alias("rejected"))
 
 
 @query("kb_json_scan", f"select title, md5(text) as text_md5 from ({views.KB})")

@@ -11,13 +11,12 @@ from tidewell.operators.cleaning import ROW, text_frame
 
 # fixed values: what uploads may be
 EXTENSIONS = ["csv", "json"]
-MAX_BYTES = 10 * 1024 * 1024
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_CHARACTERS = 8192
 
 
-def file_verdict(name: Column, size: Column, max_bytes: int = MAX_BYTES) -> Column:
-    """Why a file is refused, or null."""
+def file_verdict(name: Column, size: Column, max_bytes: int) -> Column:
+    """Why a file is refused, or null.  ``max_bytes`` is the caller's own limit."""
     extension = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
     return (
         F.when(~extension.isin(EXTENSIONS), "unsupported file type")
@@ -26,18 +25,31 @@ def file_verdict(name: Column, size: Column, max_bytes: int = MAX_BYTES) -> Colu
     )
 
 
-def encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding) per file: UTF-8 when every line is valid, else windows-1252, else ISO-8859-1.
+def file_traits(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding, breaks) per file.
 
-    Files are read line by line in parallel; lines keep their raw bytes, so any size works.
+    The encoding is UTF-8 when every line is valid, else windows-1252, else ISO-8859-1.  ``breaks`` tells whether a quoted
+    cell may run over a line break: some line holds an odd number of quotes.  Files are read line by line in parallel; lines
+    keep their raw bytes, so any size works.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     # bytes that windows-1252 leaves undefined
     holes = F.hex(F.col("value").cast("binary")).rlike(r"^(?:..)*(?:81|8D|8F|90|9D)")
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     return lines.groupBy("file").agg(
         F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").when(F.bool_or(holes), "ISO-8859-1")
-        .otherwise("windows-1252").alias("encoding")
-    )
+        .otherwise("windows-1252").alias("encoding"),
+        F.bool_or(quotes % 2 == 1).alias("breaks"))
+
+
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    return file_traits(spark, path).drop("breaks")
+
+
+# the 27 characters that windows-1252 has in place of ISO-8859-1 control characters
+_CONTROLS = [i for i in range(0x80, 0xA0) if bytes([i]).decode("cp1252", "replace") != "\ufffd"]
+LATIN_CONTROLS = "".join(map(chr, _CONTROLS))
+LEGACY_SIGNS = bytes(_CONTROLS).decode("cp1252")
 
 
 def common_encoding(found: DataFrame) -> DataFrame:
@@ -53,7 +65,8 @@ def delimiters(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
         F.regexp_replace("value", '"[^"]*"', "").alias("value"))
     few = Window.partitionBy("file").orderBy("at")
-    head = head.withColumn("n", F.row_number().over(few)).where(F.col("n") <= 200)
+    # a line takes a character at least, so no more lines than characters can matter
+    head = head.withColumn("n", F.row_number().over(few)).where(F.col("n") <= SNIFF_CHARACTERS)
     head = head.withColumn("seen", F.sum(F.length("value") + 1).over(few)).where(
         (F.col("seen") <= SNIFF_CHARACTERS) | (F.col("n") == 1))
     marks = F.explode(F.array(*[F.lit(d) for d in DELIMITERS])).alias("delimiter")
@@ -84,23 +97,30 @@ def with_row_numbers(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Text frame of delimited files that share one header line; delimiter and encoding are found when not given."""
+    """Text frame of delimited files that share one header line; delimiter and encoding are found when not given.
+
+    Files are split over tasks unless a quoted cell runs over a line break; then each file is read by one task.
+    """
     if sep is None:
         sep = delimiters(spark, path).agg(F.min_by("delimiter", "file")).first()[0] or ","
-    if encoding is None:
-        encoding = common_encoding(encodings(spark, path)).first()[0] or "UTF-8"
-    if encoding == "windows-1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    base = spark.read.option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"')
+    traits = file_traits(spark, path)
+    found = common_encoding(traits).crossJoin(traits.agg(F.bool_or("breaks").alias("breaks"))).first()  # one row each
+    encoding = encoding or found["encoding"] or "UTF-8"
+    legacy = encoding == "windows-1252"
+    base = spark.read.option("sep", sep).option("encoding", "ISO-8859-1" if legacy else encoding).option("quote", '"').option(
+        "escape", '"').option("multiLine", bool(found["breaks"]))
     top = base.option("header", "false").csv(path)
     first = top.where(F.col("_metadata.file_block_start") == 0).limit(1).collect()
     if not first:
         raise ValueError("No data rows found in this file.")
-    header = [(c or "").lstrip("﻿") for c in first[0]]
+    header = [(c or "").lstrip("\ufeff") for c in first[0]]
+    if legacy:
+        header = [c.translate(str.maketrans(LATIN_CONTROLS, LEGACY_SIGNS)) for c in header]
     schema = ", ".join(f"c{i} string" for i in range(len(header)))
     rows = with_row_numbers(base.option("header", "true").option("enforceSchema", "true").schema(schema).csv(path))
     names = unique_names(header)
-    return rows.select(ROW, *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    cell = lambda i: F.translate(F.col(f"c{i}"), LATIN_CONTROLS, LEGACY_SIGNS) if legacy else F.col(f"c{i}")
+    return rows.select(ROW, *[cell(i).alias(n) for i, n in enumerate(names)])
 
 
 def unique_names(names: list[str]) -> list[str]:
