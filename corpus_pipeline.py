@@ -7,6 +7,7 @@ masked; sources are mixed to their target shares.  Every stage but the last retu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, mixing, neardup, secrets, toxicity
 from tidewell.session import materialise
@@ -25,7 +26,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+    masked = secrets.redact(docs)
+    length = F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))
+    return masked.withColumn("n_chars", length)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
