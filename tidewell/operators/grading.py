@@ -26,12 +26,23 @@ def round_half_up(c: Column) -> Column:
 
 
 def public_view(challenges: DataFrame) -> DataFrame:
-    """What a learner may see before answering."""
+    """What a learner may see before answering; ``rubric`` is the number of checks of an exercise that has them."""
     return challenges.select(
         *[c for c in challenges.columns if c not in [*PRIVATE, "hints"]],
         points(F.col("difficulty")).alias("points"), F.col("hints").alias("hint_count"),
         alias(F.col("track"), REVIEW_LESSONS).alias("review_lesson"),
         F.when(F.col("kind") == "code", "browser").otherwise("server").alias("graded"),
+        F.when(F.col("kind") == "rubric", F.col("rubric")).alias("check_count"),
+    )
+
+
+def rejected_answer(kind: Column, options: Column, choice: Column, code: Column) -> Column:
+    """Why an answer cannot be graded here, or null."""
+    blank = text.trim_all(F.coalesce(code, F.lit(""))) == ""
+    return (
+        F.when(kind == "code", fixed.ANSWER_BROWSER)
+        .when((kind == "mcq") & (choice.isNull() | (choice >= options)), fixed.ANSWER_OPTION)
+        .when((kind == "rubric") & blank, fixed.ANSWER_BLANK)
     )
 
 

@@ -314,12 +314,14 @@ def lru_hits(
     return cut.groupBy(*group).cogroup(start.groupBy(*group)).applyInPandas(piece, schema)
 
 
-def cache_stats(reused: DataFrame, keys: list[str], flag: str = "hit") -> DataFrame:
+def cache_stats(reused: DataFrame, keys: list[str], entry: str, flag: str = "hit", most: int = fixed.MAX_ENTRIES) -> DataFrame:
+    """Use of a cache per group: requests, hits, misses, hit rate and the entries it holds at the end (``most`` at most)."""
     hits = F.count_if(F.col(flag))
     total = F.count(F.lit(1))
     return reused.groupBy(*keys).agg(
         total.alias("requests"), hits.alias("hits"), (total - hits).alias("misses"),
         F.round(F.coalesce(F.try_divide(hits.cast("double"), total.cast("double")), F.lit(0.0)), 2).alias("hit_rate"),
+        F.least(F.count_distinct(F.when(~F.col(flag), F.col(entry))), F.lit(most).cast("bigint")).alias("entries"),
     )
 
 

@@ -241,7 +241,8 @@ _POINTS = "case difficulty when 'easy' then 10 when 'medium' then 20 else 30 end
 _LESSON = "case track when 'python' then 'python-1' when 'datascience' then 'ds-3' when 'java' then 'java-1' else 'spring-3' end"
 _PUBLIC = f"""
     select challenge_id, track, kind, difficulty, title, prompt, cast({_POINTS} as integer) as points, hints as hint_count,
-           {_LESSON} as review_lesson, case when kind = 'code' then 'browser' else 'server' end as graded from ({views.CHALLENGE})"""
+           {_LESSON} as review_lesson, case when kind = 'code' then 'browser' else 'server' end as graded,
+           case when kind = 'rubric' then rubric end as check_count from ({views.CHALLENGE})"""
 
 
 @query("challenge_public", _PUBLIC)
@@ -249,6 +250,25 @@ def challenge_public(spark, sf):
     return grading.public_view(views.challenge(spark, sf))
 
 
+_ANSWER = ["case when l_linenumber % 3 = 0 then null else cast(l_orderkey % 6 as integer) end as choice",
+           "case when l_orderkey % 4 = 0 then '  ' else 'x = 1' end as code"]
+
+
+@query("validate_answers", f"""
+    select submission_id, case when kind = 'code' then '{fixed.ANSWER_BROWSER}'
+        when kind = 'mcq' and (choice is null or choice >= 4) then '{fixed.ANSWER_OPTION}'
+        when kind = 'rubric' and {duck.trim('code')} = '' then '{fixed.ANSWER_BLANK}' end as rejected
+    from (select l_orderkey * 10 + l_linenumber as submission_id, l_partkey as challenge_id, {', '.join(_ANSWER)} from lineitem)
+    join (select challenge_id, kind from ({views.CHALLENGE})) using (challenge_id)""")
+def validate_answers(spark, sf):
+    """Answers with a choice out of range, blank code, or for the browser; every question has four options."""
+    answers = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber as submission_id", "l_partkey as challenge_id", *_ANSWER)
+    known = views.challenge(spark, sf).select("challenge_id", "kind")
+    why = grading.rejected_answer(F.col("kind"), F.lit(4), F.col("choice"), F.col("code"))
+    return answers.join(known, "challenge_id").select("submission_id", why.alias("rejected"))
+
+
 @query("challenge_list", f"select * from ({_PUBLIC}) where track = 'java'")
 def challenge_list(spark, sf):
     return grading.challenge_list(views.challenge(spark, sf), "java")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell import fixed
 from tidewell.functions import text
 from tidewell.operators import sequences
 from tidewell.plans import views
@@ -91,11 +92,13 @@ def ttl_reuse(spark, sf):
 
 @query("cache_stats", replay(
     LOG, "question", "event_id, at_us, question", "cast(null as bigint) as until", "false as hit", *_held("1800000000"))
-    + """ select k as question, count(*) as requests, count_if(hit)::bigint as hits, count_if(not hit)::bigint as misses,
-          round(count_if(hit)::double / count(*)::double, 2) as hit_rate from r where rn > 0 group by 1""")
+    + f""" select 'all' as cache, count(*) as requests, count_if(hit)::bigint as hits, count_if(not hit)::bigint as misses,
+          round(count_if(hit)::double / count(*)::double, 2) as hit_rate,
+          least(count(distinct case when not hit then k end), {fixed.MAX_ENTRIES}) as entries from r where rn > 0""")
 def cache_stats(spark, sf):
     rows = log(spark, sf).select("event_id", "question", "at_us")
-    return sequences.cache_stats(sequences.ttl_reuse(rows, ["question"], "at_us", "event_id"), ["question"])
+    reused = sequences.ttl_reuse(rows, ["question"], "at_us", "event_id").withColumn("cache", F.lit("all"))
+    return sequences.cache_stats(reused, ["cache"], "question")
 
 
 @query("single_flight", replay(

@@ -169,12 +169,22 @@ def kb_union(spark, sf):
     return both.select("origin", "doc_id", "title", F.md5("text").alias("text_md5"))
 
 
+# Topics belong to companies like the documents do; vector hits come between the notes and the keyword hits.
+_VECTOR_HITS = 4
+_TOPIC_COMPANY = "'src' || cast(item_id % 20 as varchar)"
 _SOURCES = f"""
     {_scored(_TOPICS, views.KB)},
+    tv as (select item_id as query_id, company_id, {_VECTORS} as v
+           from (select item_id, {_TOPIC_COMPANY} as company_id, {_embed_sql('text')} as slots from benchmark)),
+    cv as (select id, doc_id, company_id, chunk, {_VECTORS} as v from (select *, {_embed_sql('chunk')} as slots from ({_CHUNK_IDS}))),
+    sim as (select query_id, id, doc_id, chunk, list_cosine_similarity(tv.v, cv.v) as score from tv join cv using (company_id)),
+    near as (select *, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from sim where score > 0.4),
     src as (select b.item_id as topic_id, 0 as rank, 'Your notes' as title, substr({duck.trim('d.text')}, 1, 8000) as text
             from benchmark b join documents d on d.doc_id = b.item_id
             union all
-            select query_id, cast(h.rank as integer), d.title, d.text from hits h join ({views.KB}) d using (doc_id)
+            select query_id, n.rank, d.title, n.chunk from near n join ({views.KB}) d using (doc_id) where n.rank <= {_VECTOR_HITS}
+            union all
+            select query_id, cast(h.rank + {_VECTOR_HITS} as integer), d.title, d.text from hits h join ({views.KB}) d using (doc_id)
             where h.rank <= 3 and h.score >= 1.5),
     trimmed as (select topic_id, rank, coalesce(nullif({duck.trim('title')}, ''), 'Document') as title, {duck.trim('text')} as text from src),
     once as (select *, row_number() over (partition by topic_id, lower(title || substr(text, 1, 80)) order by rank) as nth
@@ -191,8 +201,19 @@ def _sources(spark, sf):
         F.col("query_id").alias("topic_id"), F.lit(0).alias("rank"), F.lit("Your notes").alias("title"),
         F.substring(text.trim_all(F.col("text")), 1, fixed.NOTES_SIZE).alias("text"))
     hits = materialise(search.keyword_search(topics, kb).select("query_id", "doc_id", "rank"), "hits")
-    found = skew.spread_join(hits, kb, "doc_id").select(F.col("query_id").alias("topic_id"), "rank", "title", "text")
-    return notes.unionByName(found)
+    found = hits.join(kb, "doc_id").select(
+        F.col("query_id").alias("topic_id"), (F.col("rank") + _VECTOR_HITS).alias("rank"), "title", "text")
+    chunks = _chunks(spark, sf)
+    asked = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("tenant"), F.col("item_id").alias("query_id"),
+        search.hash_embedding(F.col("text")).alias("vector"))
+    corpus = chunks.select(F.col("company_id").alias("tenant"), F.col("id").alias("doc_id"),
+                           search.hash_embedding(F.col("chunk")).alias("vector"))
+    near = materialise(search.vector_search(asked, corpus, k=_VECTOR_HITS, least=0.4), "near")
+    near = near.select("query_id", F.col("doc_id").alias("id"), "rank").join(chunks.select("id", "doc_id", "chunk"), "id")
+    near = near.join(kb.select("doc_id", "title"), "doc_id").select(
+        F.col("query_id").alias("topic_id"), "rank", "title", F.col("chunk").alias("text"))
+    return notes.unionByName(near).unionByName(found)
 
 
 @query("gather_sources", f"""with {_SOURCES}

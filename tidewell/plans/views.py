@@ -142,11 +142,12 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
 _CHALLENGE = {
     "challenge_id": "p_partkey",
     "track": "case p_partkey % 4 when 0 then 'python' when 1 then 'datascience' when 2 then 'java' else 'spring' end",
-    "kind": "case when p_partkey % 2 = 0 then 'mcq' else 'code' end",
+    "kind": "case when p_partkey % 2 = 0 then 'mcq' when p_partkey % 5 = 0 then 'rubric' else 'code' end",
     "difficulty": "case p_size % 3 when 0 then 'easy' when 1 then 'medium' else 'hard' end",
     "title": "p_name",
     "prompt": "p_brand || ' ' || p_type",
     "answer": "cast(p_partkey % 4 as integer)",
+    "rubric": "cast(2 + p_size % 4 as integer)",
     "explanation": "'Because of ' || p_brand",
     "solution": "p_type",
     "hints": "cast(p_size % 3 as integer)",
