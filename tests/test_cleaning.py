@@ -179,7 +179,7 @@ def test_large_spelling_table_and_hot_values(load, monkeypatch):
     """The join for large spelling tables gives what the small one gives, also when one value fills the column."""
     body = "id,city\n" + "".join(f"{i},{'Cape Town' if i % 3 else 'cape town' if i % 2 else f'town {i % 7}'}\n" for i in range(300))
     small = rows(cleaning.clean(load(body), dedupe=False))
-    monkeypatch.setattr(cleaning, "SMALL_TABLE_ROWS", 0)
+    monkeypatch.setattr(cleaning, "SMALL_TABLE_BYTES", 0)
     assert rows(cleaning.clean(load(body), dedupe=False)) == small
     monkeypatch.setattr(cleaning.skew, "HEAVY_KEYS", 1)
     assert rows(cleaning.clean(load(body), dedupe=False)) == small

@@ -35,14 +35,15 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], weight: str |
     return both.select(*[F.col(c) for c in left.columns], *out)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Left join to a table unique by ``on``; keys that hold very many left rows are served by a small broadcast."""
-    weights = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_weight"))
-    hot = weights.where(F.col("_weight") > part_rows).orderBy(F.desc("_weight")).limit(HEAVY_KEYS)
-    if hot.isEmpty():
-        return left.join(right, on, "left")
-    weighted = right.join(F.broadcast(hot), on, "left").withColumn("_weight", F.coalesce("_weight", F.lit(0)))
-    return lookup_join(left, weighted, [on], "_weight")
+def spread_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Left join to a table unique by ``on``.
+
+    Spark splits a key that holds very many left rows when it sees the shuffle; rows without a key match nothing and
+    would all meet in one place, so they are spread by a second, salted key.
+    """
+    salt = F.when(F.col(on).isNull(), 1 + F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(4096))).otherwise(0)
+    keyed = left.withColumn("_salt", salt.cast("int"))
+    return keyed.join(right.withColumn("_salt", F.lit(0)), [on, "_salt"], "left").drop("_salt")
 
 
 def split_hot(df: DataFrame, keys: list[str], position: str, part_rows: int = PART_ROWS) -> tuple[DataFrame, bool]:

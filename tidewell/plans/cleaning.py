@@ -264,6 +264,28 @@ def clean_metrics(spark, sf):
     return cleaning.metrics(_clean(spark, sf, keep=True))
 
 
+_CELL_COUNT = " + ".join(f"count(*) filter ({duck.null_tokens(c)} is null)" for c in TEXT_COLUMNS)
+
+
+@query("profile_totals", f"""{_CHANGES},
+    kept as (select * from ({_FIRST}) where nth = 1),
+    a as (select count(*) as rows, {_CELL_COUNT} as null_count from ({views.DIRTY_RECORDS})),
+    b as (select count(*) as rows_after from kept),
+    c as (select count(distinct reason) as reasons,
+                 coalesce(array_to_string(list_sort(list_distinct(list("column") filter (reason = '{fixed.R_WS}'))), ','), '') as whitespace_columns
+          from log),
+    e as (select count(*) as n from kept where {_NULLS} >= {_MISSING_LIMIT}),
+    f as (select count(*) as n from stripped where {duck.has('signup_date', fixed.DMY)}
+          and {_DAY.replace('(v,', '(signup_date,')} <= 12 and {_MONTH.replace('(v,', '(signup_date,')} <= 12
+          and {_DAY.replace('(v,', '(signup_date,')} <> {_MONTH.replace('(v,', '(signup_date,')})
+    select rows, {len(TEXT_COLUMNS)}::bigint as columns, null_count, rows - rows_after as duplicate_rows, whitespace_columns,
+           reasons + case when rows > rows_after then 1 else 0 end + case when e.n > 0 then 1 else 0 end
+           + case when f.n > 0 then 1 else 0 end as issue_count
+    from a, b, c, e, f""")
+def profile_totals(spark, sf):
+    return cleaning.totals(_clean(spark, sf, keep=True))
+
+
 @query("clean_idempotent", f"{_sql_stages(views.DIRTY_RECORDS)} select 0::bigint as changed_rows, count(*) as rows from ({_FIRST}) where nth = 1")
 def clean_idempotent(spark, sf):
     from tidewell.session import materialise
