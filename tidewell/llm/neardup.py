@@ -136,7 +136,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
                 alive, matches = alive[matches >= least], matches[matches >= least]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], ["hub", "rep"])
 
-    return both.mapInArrow(run, f"hub {id_type}, rep {id_type}").distinct()
+    return both.mapInArrow(run, f"hub {id_type}, rep {id_type}")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -145,7 +145,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     both = pairs.join(side("rep"), "rep").join(side("hub"), "hub")
     shared = F.size(F.array_intersect("hub_set", "rep_set")).cast("long")
     union = F.size("hub_set") + F.size("rep_set") - shared
-    return both.where(shared * 100 >= union * similarity).select("hub", "rep").distinct()
+    # not made distinct here: an aggregate by hub would keep Spark from splitting a hub that many pairs name
+    return both.where(shared * 100 >= union * similarity).select("hub", "rep")
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
