@@ -148,9 +148,13 @@ def rolling_mean(
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str, part_rows: int = skew.PART_ROWS) -> DataFrame:
-    """Join touching or overlapping intervals of each key.  ``start`` and ``end`` are numbers."""
-    rows, was_split = skew.split_hot(df.select(key, start, end), [key], start, part_rows)
-    before = Window.partitionBy(key, "_part").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    """Join touching or overlapping intervals of each key.  ``start`` and ``end`` are numbers.
+
+    Intervals that start together are one from the outset, so a key has one row per start and can be cut anywhere.
+    """
+    starts = df.groupBy(key, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("_same"))
+    rows, was_split = skew.split_hot(starts, [key], start, part_rows)
+    before = Window.partitionBy(key, "_part").orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(end).over(before)
     if was_split:
         rows = skew.with_carried(rows, [key], skew.carried(rows, [key], max_end=F.max(end)))
@@ -158,16 +162,16 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str, part_rows: in
     rows = rows.withColumn("_reach", reach)
     opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
     rows = rows.withColumn("_open", F.when(opens, F.col(start)))
-    upto = Window.partitionBy(key, "_part").orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(key, "_part").orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
     group = F.max("_open").over(upto)
     if was_split:
-        again = rows.select(key, "_part", start, end, "_open")
+        again = rows.select(key, "_part", start, end, "_same", "_open")
         rows = skew.with_carried(again, [key], skew.carried(again, [key], max_open=F.max("_open")))
         group = F.coalesce(group, F.col("_before_max_open"))
     return (
         rows.withColumn("_group", group)
         .groupBy(key, F.col("_group").alias(start))
-        .agg(F.max(end).alias(end), F.count(F.lit(1)).alias("parts"))
+        .agg(F.max(end).alias(end), F.sum("_same").alias("parts"))
     )
 
 

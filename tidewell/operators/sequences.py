@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,11 +105,15 @@ def no_rows(names: list[str]) -> pd.DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``run(state, rows) -> (new columns, state)`` over the ordered rows of one key, and the columns it adds."""
+    """``run(state, rows) -> (new columns, state)`` over the ordered rows of one key, and the columns it adds.
+
+    After a gap of more than ``quiet`` in the first order column the state is as good as empty.
+    """
 
     run: Callable
     added: str
     order: tuple[str, ...]
+    quiet: int | None = None
 
 
 def sequential(
@@ -117,8 +121,9 @@ def sequential(
 ) -> DataFrame:
     """Apply a rule to each key's rows in order.
 
-    The rule gets at most about ``part_rows`` rows at a time.  Keys with more are cut into consecutive pieces along the
-    first order column; piece after piece is run, and the state of each key, written out, links them.
+    The rule gets at most about ``part_rows`` rows at a time.  Keys with more are cut at quiet gaps, where the rule forgets
+    everything: the stretches between are independent and run side by side.  Only what has no such gap (or a rule that
+    never forgets) is cut into consecutive pieces; piece after piece is run, and the state, written out, links them.
     """
     schema = T.StructType(df.schema.fields + T.StructType.fromDDL(rule.added).fields)
     names = [f.name for f in schema.fields]
@@ -132,6 +137,16 @@ def sequential(
     cut, was_split = skew.split_hot(df, keys, order[0], part_rows)
     if not was_split:
         return df.groupBy(*keys).applyInPandas(once, schema)
+    if rule.quiet is not None:
+        groups = [*keys, "_session"]
+        rows = materialise(skew.sessions(df, keys, order[0], order[1], rule.quiet, part_rows), "sessions")
+        long = rows.groupBy(*groups).count().where(F.col("count") > part_rows).drop("count")
+        long = materialise(long, "long-sessions")
+        if not long.isEmpty():
+            rest = sequential(rows.join(long, groups, "left_semi").select(*rows.columns), groups, replace(rule, quiet=None), part_rows)
+            short = rows.join(long, groups, "left_anti").select(*rows.columns)
+            return short.groupBy(*groups).applyInPandas(once, schema).unionByName(rest.select(*names))
+        return rows.groupBy(*groups).applyInPandas(once, schema)
 
     linked = T.StructType([*schema.fields, T.StructField("_state", T.StringType())])
 
@@ -171,7 +186,7 @@ def limit_rule(time: str, tie: str, limit: int = fixed.RATE_LIMIT, window_second
         hits = state or []
         return {"allowed": [limit_step(hits, t, limit, window_seconds * SECOND) for t in rows[time].tolist()]}, hits
 
-    return Rule(run, "allowed boolean", (time, tie))
+    return Rule(run, "allowed boolean", (time, tie), window_seconds * SECOND)
 
 
 def two_level_rule(
@@ -186,7 +201,7 @@ def two_level_rule(
         return {"verdict": [
             two_level_step(state, b, t, limit, limit * factor, window_seconds * SECOND) for b, t in pairs]}, state
 
-    return Rule(run, "verdict string", (time, tie))
+    return Rule(run, "verdict string", (time, tie), window_seconds * SECOND)
 
 
 def hold_rule(time: str, tie: str, seconds: int | str = fixed.TTL_SECONDS, flag: str = "hit") -> Rule:
@@ -200,7 +215,7 @@ def hold_rule(time: str, tie: str, seconds: int | str = fixed.TTL_SECONDS, flag:
             out.append(hit)
         return {flag: out}, expires
 
-    return Rule(run, f"{flag} boolean", (time, tie))
+    return Rule(run, f"{flag} boolean", (time, tie), seconds * SECOND if isinstance(seconds, int) else None)
 
 
 def breaker_rule(

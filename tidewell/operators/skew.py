@@ -122,6 +122,24 @@ def with_carried(df: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
     return df.join(carry, [*keys, "_part"], "left")
 
 
+def sessions(df: DataFrame, keys: list[str], position: str, tie: str, quiet: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Add ``_session``, the position at which the row's stretch without a gap of more than ``quiet`` began.
+
+    Hot keys are cut into pieces; every piece sees the last row before it and the last stretch that began before it.
+    """
+    rows = with_lookback(df, keys, position, tie, 1, part_rows)
+    if "_part" not in rows.columns:
+        rows = rows.withColumn("_part", F.lit(0))
+    order = Window.partitionBy(*keys, "_part").orderBy(position, tie)
+    gap = F.col(position) - F.lag(position).over(order)
+    rows = rows.withColumn("_open", F.when(gap.isNull() | (gap > quiet), F.col(position))).where(~F.col("_extra"))
+    rows = materialise(rows.drop("_extra"), "stretches")
+    rows = with_carried(rows, keys, carried(rows, keys, max_open=F.max("_open")))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    began = F.coalesce(F.max("_open").over(upto), F.col("_before_max_open"))
+    return rows.withColumn("_session", began).drop("_open", "_before_max_open", "_part")
+
+
 def order_statistics(df: DataFrame, column: str, ranks: list[int], small: int = 20_000) -> list:
     """Exact values at 0-based ``ranks`` of a numeric column, nulls left out, without a global sort.
 
