@@ -264,6 +264,36 @@ def clean_metrics(spark, sf):
     return cleaning.metrics(_clean(spark, sf, keep=True))
 
 
+_NOTES = "select doc_id as row_id, case when doc_id % 7 = 0 then '=' || text else text end as note, source as origin from documents"
+
+
+@query("clean_free_text", f"""
+    select row_id, md5({duck.formula('note')}) as note_md5, origin
+    from (select row_id, {duck.null_tokens('note')} as note, origin from ({_NOTES}))""")
+def clean_free_text(spark, sf):
+    """Long texts keep their words; what a spreadsheet would run as a formula is neutralised."""
+    notes = table(spark, sf, "documents").selectExpr(
+        f"doc_id as {cleaning.ROW}", "case when doc_id % 7 = 0 then '=' || text else text end as note", "source as origin")
+    out = cleaning.clean(notes, dedupe=False).table
+    return out.select(F.col(cleaning.ROW).alias("row_id"), F.md5("note").alias("note_md5"), "origin")
+
+
+@query("review_notes", f"""{_CHANGES},
+    kept as (select * from ({_FIRST}) where nth = 1),
+    sparse as (select row_id + 2 as row from kept where {_NULLS} >= {_MISSING_LIMIT}),
+    f as (select count(*) as n from stripped where {duck.has('signup_date', fixed.DMY)}
+          and {_DAY.replace('(v,', '(signup_date,')} <= 12 and {_MONTH.replace('(v,', '(signup_date,')} <= 12
+          and {_DAY.replace('(v,', '(signup_date,')} <> {_MONTH.replace('(v,', '(signup_date,')})
+    select replace('{fixed.N_AMBIGUOUS.format(column='signup_date', count='#', order=fixed.N_DAY_FIRST)}', '#', n::varchar) as note from f where n > 0
+    union all
+    select replace(replace('{fixed.N_SPARSE.format(total='#', rows='@')}', '#', count(*)::varchar), '@',
+        (select string_agg(row::varchar, ', ' order by row) from (select row from sparse order by row limit 10))
+        || case when count(*) > 10 then '…' else '' end) from sparse having count(*) > 0""")
+def review_notes(spark, sf):
+    """What a reader should look at: ambiguous dates, and mostly empty rows with the first ten named."""
+    return spark.createDataFrame([(n,) for n in cleaning.flag_lines(_clean(spark, sf, keep=True))], "note string")
+
+
 _CELL_COUNT = " + ".join(f"count(*) filter ({duck.null_tokens(c)} is null)" for c in TEXT_COLUMNS)
 
 
