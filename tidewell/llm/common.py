@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tidewell.session import materialise, settings
+
 FOLDS = 5
+BATCH_BYTES = 4 << 20  # of one Arrow batch of texts
+
+
+def small_batches(spark: SparkSession):
+    """Inside, tasks hand texts to Python in small Arrow batches: both sides buffer a batch, and an executor runs several."""
+    return settings(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES))
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder with small Arrow batches and read it back."""
+    with small_batches(df.sparkSession):
+        return materialise(df, label)
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of a class of this package, by value: executors need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(value: Broadcast) -> object:
+    return pickle.loads(value.value)
 
 
 def fold(doc_id: Column) -> Column:

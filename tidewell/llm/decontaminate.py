@@ -20,8 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_digest, map_rows
-from tidewell.session import materialise
+from tidewell.llm.common import as_digest, map_rows, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 100_000
@@ -89,7 +88,7 @@ def _scan(docs: DataFrame, items: DataFrame, carry: list[str], text: str, window
     spark = docs.sparkSession
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text).alias("_text"))
     kept = ", ".join(f"_c{i} {rows.schema[i].dataType.simpleString()}" for i in range(len(carry)))
-    all_windows = materialise(windows(items, window=window), "windows")
+    all_windows = written(windows(items, window=window), "windows")
     blocks = max(1, -(-all_windows.count() // block_windows))
     block_of = F.pmod(F.xxhash64("window"), F.lit(blocks))
 
@@ -104,7 +103,7 @@ def _scan(docs: DataFrame, items: DataFrame, carry: list[str], text: str, window
     texts = rows.select(digest.alias("_digest"), "_text")
     hits = None
     for block in range(blocks):
-        part = materialise(map_rows(texts, f"_digest string, {FOUND}", _scanner(patterns(block), True)), "hits")
+        part = written(map_rows(texts, f"_digest string, {FOUND}", _scanner(patterns(block), True)), "hits")
         hits = part if hits is None else hits.unionByName(part)
     hits = hits.groupBy("_digest").agg(*[F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("items", "spans")])
     joined = rows.withColumn("_digest", digest).join(hits, "_digest", "left").drop("_digest")
@@ -141,7 +140,7 @@ def find_overlaps(
 
     Spans are code points of the original text, end exclusive; neighbouring hit words share a span.
     """
-    return _scan(docs, items, [key], text, window, block_windows).withColumnRenamed("_c0", key)
+    return written(_scan(docs, items, [key], text, window, block_windows).withColumnRenamed("_c0", key), "overlaps")
 
 
 def report(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
@@ -156,4 +155,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", *
     """The documents without a single hit word, with all their columns."""
     more = {"window": WINDOW, "block_windows": BLOCK_WINDOWS} | more
     clean = _scan(docs, items, docs.columns, text, **more).where("n_hit = 0")
+    clean = written(clean.drop("n_words", "n_hit", "items", "spans"), "clean")
     return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import written as materialise
 from tidewell.llm.words import WordHasher, mix, series, shingles
-from tidewell.session import materialise
 
 WORDS = 5
 SIMILARITY = 80  # percent

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_digest, map_rows
+from tidewell.llm.common import as_digest, map_rows, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban", "account")
@@ -147,7 +147,7 @@ def _scan(rows: Iterator[tuple]) -> Iterator[tuple]:
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``spans`` (kind, start, end in code points; kinds in their order, then by start) for every row."""
     rows = docs.select(F.col(key), F.col(text).alias("_text"))
-    return map_rows(rows, f"`{key}` {rows.schema[0].dataType.simpleString()}, {FOUND}", _scan)
+    return written(map_rows(rows, f"`{key}` {rows.schema[0].dataType.simpleString()}, {FOUND}", _scan), "personal-data")
 
 
 def _is(kind: str):

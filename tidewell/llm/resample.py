@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import small_batches, written
 from tidewell.llm.mixing import uniform
 from tidewell.llm.words import WordHasher, mix
 from tidewell.operators.skew import order_statistics
-from tidewell.session import materialise
 
 BUCKETS = 10_000
 SAMPLE = 20_000
@@ -64,7 +64,8 @@ def log_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), *map(pa.array, counts)], ["bucket", "raw", "target"])
 
     parts = rows.select("text", "target").mapInArrow(run, "bucket long, raw long, target long")
-    sums = parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # BUCKETS rows
+    with small_batches(docs.sparkSession):
+        sums = parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # BUCKETS rows
     counts = np.zeros((2, BUCKETS))
     for bucket, raw, target in sums:
         counts[:, bucket] = raw, target
@@ -103,7 +104,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, key
         share = labels.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or 1.0
     u = uniform(F.lit(seed), F.col(key)) + F.lit(2.0**-53)
     keyed = weigh(docs, labels, key, text, label=label).withColumn("sample_key", F.col("log_ratio") - F.ln(-F.ln(u)))
-    keyed = materialise(keyed, "keys")
+    keyed = written(keyed, "keys")
     count = keyed.count()
     if not count:
         return keyed.withColumn("kept", F.lit(True))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import as_digest, map_rows
+from tidewell.llm.common import as_digest, map_rows, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 16 << 20
@@ -103,7 +103,8 @@ def find_secrets(
     docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO
 ) -> DataFrame:
     """``key`` and ``spans`` (kind, start, end in code points; by start, then kind) for every row."""
-    return _scan(docs, [key], text, vocabulary, ratio).drop("_text").withColumnRenamed("_c0", key)
+    found = _scan(docs, [key], text, vocabulary, ratio).drop("_text").withColumnRenamed("_c0", key)
+    return written(found, "secrets")
 
 
 def _scan(docs: DataFrame, carry: list[str], text: str, vocabulary: str, ratio: float) -> DataFrame:
@@ -147,5 +148,5 @@ def redact(
                 key[at] = "".join(out) + body[reach:]
             yield tuple(key)
 
-    clean = map_rows(found, kept, cut)
+    clean = written(map_rows(found, kept, cut), "masked")
     return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

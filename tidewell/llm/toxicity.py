@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fold
+from tidewell.llm.common import fold, share, shared, written
 from tidewell.llm.words import WordHasher, mix, series
 
 WINDOW, STEP = 20, 10
@@ -321,13 +321,13 @@ def _scored(rows: DataFrame, net: Network | None) -> DataFrame:
     """All columns, the last of which is the text, and ``_score``."""
     if net is None:
         return rows.withColumn("_score", F.lit(0.0))
-    shared = rows.sparkSession.sparkContext.broadcast(net)  # under 4 MB by the sizes above
+    model = share(rows.sparkSession, net)  # under 4 MB by the sizes above
     schema = rows.withColumn("_score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, net = Words(), shared(model)
         for batch in batches:
-            for first, scores in score_texts(shared.value, words, batch.column(batch.num_columns - 1)):
+            for first, scores in score_texts(net, words, batch.column(batch.num_columns - 1)):
                 part = batch.slice(first, len(scores))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*batch.schema.names, "_score"])
 
@@ -336,7 +336,7 @@ def _scored(rows: DataFrame, net: Network | None) -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Held-out flag, score and prediction of every document."""
-    scored = score(docs, fit(docs, labels))
+    scored = written(score(docs, fit(docs, labels)), "toxicity")
     return scored.select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -345,5 +345,5 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> Data
     """The documents that score under 0.5, with all their columns."""
     net = fit(docs, labels)
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(text).alias("_text"))
-    clean = _scored(rows, net).where("_score < 0.5")
+    clean = written(_scored(rows, net).where("_score < 0.5").drop("_text", "_score"), "clean")
     return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
