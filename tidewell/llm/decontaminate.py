@@ -155,5 +155,4 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", *
     """The documents without a single hit word, with all their columns."""
     more = {"window": WINDOW, "block_windows": BLOCK_WINDOWS} | more
     clean = _scan(docs, items, docs.columns, text, **more).where("n_hit = 0")
-    clean = written(clean.drop("n_words", "n_hit", "items", "spans"), "clean")
     return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

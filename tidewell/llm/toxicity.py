@@ -52,6 +52,32 @@ class Words:
         word_rows = (distinct % np.uint64(WORD_ROWS)).astype(np.int64)
         return number, before, starts, word_rows, *self.grams(data, texts, starts[first])
 
+    def read_many(self, texts: list[bytes]):
+        """The same for a list of texts, read a chunk at a time: (word numbers, words before each text, rows, grams, begins)."""
+        known: dict[int, int] = {}
+        numbers, before, word_rows, gram_rows, begins = [], [], [], [], []
+        words = grams = at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (size == 0 or size + len(texts[stop]) <= CHUNK):
+                size += len(texts[stop])
+                stop += 1
+            data = np.frombuffer(b"".join(texts[at:stop]), np.uint8)
+            offsets = np.cumsum([0] + [len(t) for t in texts[at:stop]])[:-1]
+            hashes, starts, first_words = self.hasher.hash(data, offsets)
+            distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+            old = len(known)
+            ids = np.array([known.setdefault(h, len(known)) for h in distinct.tolist()], np.int32)
+            new = ids >= old
+            rows, begin = self.grams(data, offsets, starts[first[new]])
+            numbers.append(ids[number])
+            before.append(first_words + words)
+            word_rows.append((distinct[new] % np.uint64(WORD_ROWS)).astype(np.int32))
+            gram_rows.append(rows.astype(np.int32))
+            begins.append(begin + grams)
+            words, grams, at = words + len(hashes), grams + len(rows), stop
+        return tuple(np.concatenate(x) for x in (numbers, before, word_rows, gram_rows, begins))
+
     def grams(self, data: np.ndarray, texts: np.ndarray, starts: np.ndarray):
         """Hashed character sequences of the words that begin at ``starts``."""
         if not len(starts):
@@ -206,9 +232,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network | No
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.cumsum([0] + [len(t) for t in texts])[:-1]
-    number, before, _, word_rows, gram_rows, begin = Words().read(data, offsets)
+    number, before, word_rows, gram_rows, begin = Words().read_many(texts)
     first, sizes, text = windows_of(before, len(number))
     if not len(first):
         return None
@@ -345,5 +369,5 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> Data
     """The documents that score under 0.5, with all their columns."""
     net = fit(docs, labels)
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(text).alias("_text"))
-    clean = written(_scored(rows, net).where("_score < 0.5").drop("_text", "_score"), "clean")
+    clean = _scored(rows, net).where("_score < 0.5")
     return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
