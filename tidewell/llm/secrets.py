@@ -133,12 +133,13 @@ def redact(
     docs: DataFrame, text: str = "text", mark: str = "[SECRET]", vocabulary: str = VOCABULARY, ratio: float = RATIO
 ) -> DataFrame:
     """Every found span replaced by ``mark`` (overlapping spans by one); other columns and null texts stay."""
-    found = _scan(docs, docs.columns, text, vocabulary, ratio)
+    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col(text).alias("_text"))
     at = docs.columns.index(text)
     kept = ", ".join(f"_c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
+    scan = _finder(load_vocabulary(docs.sparkSession, vocabulary), ratio)
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for *key, body, spans in rows:
+        for *key, body, spans in scan(rows):
             out, reach = [], 0
             for s in spans:
                 if s["start"] >= reach:
@@ -148,5 +149,5 @@ def redact(
                 key[at] = "".join(out) + body[reach:]
             yield tuple(key)
 
-    clean = map_rows(found, kept, cut)
+    clean = map_rows(rows, kept, cut)  # one pass, so one Python worker a task
     return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
