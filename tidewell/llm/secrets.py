@@ -3,8 +3,8 @@
 Prose and identifiers cost few tokens for their length, random strings cost many.  Every run of 20 or more token characters
 (``A-Z a-z 0-9 + / _ -`` and closing ``=``) is encoded with a public byte-level vocabulary; at ``ratio`` characters a token
 or less it is a finding of kind ``token``, unless it is a known digest or identifier: all digits, one hexadecimal digest (the
-``hex`` kind or a commit number), a UUID, a dated or numbered name, or words joined by ``_ - / +`` (each part letters only or
-digits only).  Runs that touch a finding of a base kind are left out.
+``hex`` kind or a commit number), a UUID, or words and numbers joined by ``_ - / +``, where every part of letters is itself
+over ``ratio`` characters a token.  What a run shares with a finding of a base kind is cut out; the rest of it is scanned.
 
 Base kinds (contract): ``assign``, ``access``, ``hex``, each leftmost without overlap; a match that is too short is dropped.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -57,17 +58,43 @@ def load_vocabulary(spark, path: str = VOCABULARY):
 
 
 def _finder(vocabulary, ratio: float):
+    def merged(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        return out
+
+    def outside(taken: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[int, int]]:
+        """The parts of a span between those taken, which are apart and in order."""
+        for a, b in taken[bisect_right(taken, start, key=lambda s: s[1]):]:
+            if a >= end:
+                break
+            if a > start:
+                yield start, a
+            start = b
+        if start < end:
+            yield start, end
+
     def scan(rows: Iterator[tuple]) -> Iterator[tuple]:
         import tiktoken
 
         encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocabulary.value, special_tokens={})
         kinds = {kind: (order, re.compile(pattern), group, least) for order, (kind, pattern, group, least) in enumerate(BASE)}
         long_piece, run = re.compile(r"\S{%d,}" % LEAST), re.compile(RUN)
-        known = re.compile(f"(?:{UUID}|{DIGEST}|{NAME})={{0,2}}")
+        known, name, letters = re.compile(f"(?:{UUID}|{DIGEST})={{0,2}}"), re.compile(NAME + "={0,2}"), re.compile("[A-Za-z]+")
 
         def tokens(body: str) -> int:
             return sum(len(encoding.encode_ordinary(body[i:i + PIECE])) for i in range(0, len(body), PIECE))
 
+        def is_random(body: str) -> bool:
+            if len(body) > ratio * tokens(body) or known.fullmatch(body):
+                return False
+            # the vocabulary holds most words in small letters after a space
+            return not name.fullmatch(body) or any(len(w) <= ratio * tokens(" " + w.lower()) for w in letters.findall(body))
+
         for *key, text in rows:
             text = text or ""
             low = text.lower()
@@ -86,14 +113,13 @@ def _finder(vocabulary, ratio: float):
             pieces = [m.span() for m in long_piece.finditer(text)]  # a run holds no white space
             for start, end in pieces:
                 look("hex", start, end)
-            taken = [(f[0], f[2]) for f in found]
+            taken = merged((f[0], f[2]) for f in found)
             for start, end in pieces:
                 for m in run.finditer(text, start, end):
-                    whole = m.group()
-                    if known.fullmatch(whole) or any(a < m.end() and m.start() < b for a, b in taken):
-                        continue
-                    if len(whole) <= ratio * tokens(whole):
-                        found.append((m.start(), len(BASE), m.end(), "token"))
+                    for a, b in outside(taken, *m.span()):
+                        for part in run.finditer(text, a, b):
+                            if is_random(part.group()):
+                                found.append((part.start(), len(BASE), part.end(), "token"))
             yield (*key, text, [{"kind": k, "start": a, "end": b} for a, _, b, k in sorted(found)])
 
     return scan
