@@ -90,3 +90,33 @@ def test_long_text():
     dirty = long[:cut] + " zorkthan zorkre zorkonon " + long[cut:]
     score = lambda t: float(next(tox.score_texts(net, tox.Words(), pa.array([t])))[1][0])
     assert score(dirty) >= score(long) and score(dirty) > 0.5
+
+
+def test_drawn():
+    words = [f"w{i}" for i in range(5000)]
+    text = ", ".join(words).encode()
+    assert tox.drawn(text, len(text)) == [text]
+    parts = tox.drawn(text, 6000)
+    assert 3000 < sum(map(len, parts)) <= 6000 and parts == tox.drawn(text, 6000) != tox.drawn(text, 6000, 1)
+    at = [words.index(p.decode().split()[0]) for p in parts]
+    assert at == sorted(at) and at[0] < 1000 and at[-1] > 4000
+    assert all(p.decode().split() == words[i:i + tox.WINDOW] for i, p in zip(at, parts))
+    assert tox.drawn("é".encode() * 5000, 300) == ["é".encode() * 150]
+
+
+def test_labelled_texts_are_long(spark):
+    """Every labelled text is over the limit, and most of the first labels have no text."""
+    rng = random.Random(8)
+    clean = [t.split() for t, x in zip(*made(400, 6)) if not x]
+    texts, toxic = [], []
+    for i in range(160):
+        words = [w for _ in range(30) for w in rng.choice(clean)]
+        toxic.append(i % 2)
+        texts.append(" ".join(w for i, x in enumerate(words) for w in ([x, f"Zork{x}"] if toxic[-1] and i % 6 == 0 else [x])))
+    assert min(map(len, texts)) > tox.TRAIN_BYTES
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, t) for i, t in enumerate(toxic)] + [(i, i % 2) for i in range(1000, 4000)], "doc_id long, toxic int")
+    net = tox.fit(docs, labels, sample=60)
+    rows = tox.score(docs, net).collect()
+    assert net is not None and sum((r.score >= 0.5) == toxic[r.doc_id] for r in rows) / len(rows) > 0.93

@@ -6,8 +6,9 @@ pools their states, a logistic unit scores the window.  A text's score is the hi
 of ``WINDOW`` words, ``STEP`` apart.  The same word has the same input anywhere, so inputs are computed once per distinct word
 of a chunk of text, and windows run through the network in batches.
 
-Training uses at most ``SAMPLE`` toxic and twice as many other labelled texts of at most ``TRAIN_BYTES`` bytes, chosen by a
-hash of their id; this bounded sample is fitted on the driver.  Labels belong to texts, not windows: the first passes take random
+Training uses at most ``SAMPLE`` toxic and twice as many other labelled rows that have a text with words, chosen by a hash of
+their id.  A text of up to ``TRAIN_BYTES`` bytes is taken whole; of a longer one, executors draw windows from the whole text by
+a hash of their place, as many as fit in those bytes.  This bounded sample is fitted on the driver.  Labels belong to texts, not windows: the first passes take random
 windows, later ones the highest window of a toxic text and the highest and some random windows of another one.
 The fitted network (under 4 MB) is broadcast; every text is scored whole on the executors.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fold, share, shared, written
+from tidewell.llm.common import fold, map_rows, share, shared, small_batches, written
 from tidewell.llm.words import WordHasher, mix, series
 
 WINDOW, STEP = 20, 10
@@ -227,8 +228,32 @@ def score_windows(net: Network, number: np.ndarray, first: np.ndarray, sizes: np
     return logits
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network | None:
-    """Fit the network to whole-text labels."""
+def drawn(text: bytes, limit: int, seed: int = 0) -> list[bytes]:
+    """A text of at most ``limit`` bytes; else windows drawn from all of it by hash, that many bytes of them, in order."""
+    if len(text) <= limit:
+        return [text]
+    hasher, at, starts = WordHasher(letters=True), 0, []
+    for piece in hasher._pieces(np.frombuffer(text, np.uint8)):
+        starts.append(hasher.hash(piece, np.zeros(1, np.int64))[1] + at)
+        at += len(piece)
+    starts = np.concatenate(starts)
+    first, sizes, _ = windows_of(np.zeros(1, np.int64), len(starts))
+    ends = np.append(starts, len(text))[first + sizes]
+    apart = bytes(32 if hasher.space[i] else i for i in range(256))
+    order = np.argsort(mix(np.arange(len(first), dtype=np.uint64) + np.uint64(seed) + series(9, 1)), kind="stable")
+    chosen, room = {}, limit
+    for i in order.tolist():
+        window = b" ".join(text[starts[first[i]]:ends[i]].translate(apart).split())
+        if len(window) > room:
+            if not chosen:
+                chosen[i] = window[:limit]
+            break
+        chosen[i], room = window, room - len(window)
+    return [chosen[i] for i in sorted(chosen)]
+
+
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, owner: np.ndarray | None = None) -> Network | None:
+    """Fit the network to whole-text labels; ``owner`` (rising) gives the label's place for each text, if a label has several."""
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
@@ -236,11 +261,13 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network | No
     first, sizes, text = windows_of(before, len(number))
     if not len(first):
         return None
+    if owner is not None:
+        text = owner[text]
     grams_end = np.append(begin[1:], len(gram_rows))
     net = Network()
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.dense.items()}
     squares = {"word": np.full(WORD_ROWS, 1e-4, np.float32), "gram": np.full(GRAM_ROWS, 1e-4, np.float32)}
-    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+    bounds = np.searchsorted(text, np.arange(len(labels) + 1))
     has = np.flatnonzero(np.diff(bounds))
     steps = 0
     for turn in range(PASSES):
@@ -324,16 +351,27 @@ def _best(net: Network, words: Words, data: np.ndarray, offsets: np.ndarray) ->
     return starts, best
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic"):
-    """Train on a bounded sample of the labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic",
+        train_bytes: int = TRAIN_BYTES):
+    """Train on a bounded sample of the labelled rows with a text outside the held-out fold."""
     known = labels.select(F.col(key).alias("_id"), F.col(label).alias("_label")).where("_id is not null and _label is not null")
-    known = known.where(fold(F.col("_id")) > 0).withColumn("_order", F.xxhash64("_id"))
+    known = known.where(fold(F.col("_id")) > 0)
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"))
+    known = written(known.join(rows.select("_id"), "_id", "left_semi"), "labelled").withColumn("_order", F.xxhash64("_id"))
     pick = lambda value, count: known.where(F.col("_label") == value).orderBy("_order", "_id").limit(count)
     chosen = pick(1, sample).unionByName(pick(0, 2 * sample)).select("_id", "_label")  # 3 * sample rows at most
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.octet_length("_text") <= TRAIN_BYTES)
-    found = rows.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).collect()
+    found = rows.join(F.broadcast(chosen), "_id").select("_id", "_label", F.xxhash64("_id").alias("_seed"), "_text")
+
+    def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for id_, label_, seed, body in rows:
+            yield id_, label_, drawn(body.encode(), train_bytes, seed % (1 << 64))
+
+    id_type, label_type = (found.schema[c].dataType.simpleString() for c in ("_id", "_label"))
+    with small_batches(docs.sparkSession):
+        found = map_rows(found, f"_id {id_type}, _label {label_type}, _parts array<binary>", cut).dropDuplicates(["_id"]).collect()
     found.sort(key=lambda r: r["_id"])
-    return train([r["_text"].encode() for r in found], np.array([r["_label"] for r in found], np.int64))
+    owner = np.repeat(np.arange(len(found)), [len(r["_parts"]) for r in found])
+    return train([bytes(t) for r in found for t in r["_parts"]], np.array([r["_label"] for r in found], np.int64), owner=owner)
 
 
 def score(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
