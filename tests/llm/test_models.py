@@ -225,3 +225,12 @@ def test_gumbel(spark):
     keys = [r.sample_key for r in resample.resample(table, labels, share=0.5).collect()]
     assert abs(np.mean(keys) - 0.5772) < 0.03 and abs(np.var(keys) - math.pi**2 / 6) < 0.1
     assert resample.resample(table.where("false"), labels).count() == 0
+
+
+def test_target_model_counts_all_good_texts(spark):
+    table = spark.range(20_200).selectExpr("id as doc_id", "concat('w', id, ' v', id % 7) as text")
+    labels = table.selectExpr("doc_id", "1 as quality")
+    assert np.abs(resample.log_ratio(table, labels)).max() == 0
+    with_missing = table.unionAll(table.limit(1).selectExpr("cast(null as long)", "'only here'"))
+    ratio = resample.log_ratio(with_missing, labels)
+    assert ratio.min() < 0 and (ratio != 0).all()

@@ -1,8 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Features are words, runs of signs and pairs of neighbours, hashed into ``BUCKETS`` buckets.  The raw model counts the buckets over
-all texts; the target model counts them over at most ``SAMPLE`` texts labelled good, chosen by a hash of their id (a bounded
-sample of labelled rows).  A text's weight is the ratio of its chances under both models (the sum of logs over its features).
+all texts, the target model over all texts labelled good.  A text's weight is the ratio of its chances under both models (the sum of logs over its features).
 Each text's log weight plus a Gumbel number from a hash of its id is its key, and the texts with the k largest keys stay:
 sampling without replacement in proportion to the weights.  By default k is the share of good texts among the labelled ones.
 
@@ -24,10 +23,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import small_batches, written
 from tidewell.llm.mixing import uniform
 from tidewell.llm.words import WordHasher, mix
-from tidewell.operators.skew import order_statistics
+from tidewell.operators.skew import order_statistics, spread_join
 
 BUCKETS = 10_000
-SAMPLE = 20_000
 PRIOR = 1.0
 SEED = 31
 
@@ -44,12 +42,11 @@ def features(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return ones, np.where(inner, pairs, -1)
 
 
-def log_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-              sample: int = SAMPLE) -> np.ndarray | None:
+def log_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray | None:
     """log P(bucket | target) - log P(bucket | raw); nothing without target texts."""
     good = labels.where(F.col(label) == 1).select(F.col(key).alias("_id")).where("_id is not null").distinct()
-    good = good.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("target", F.lit(True))  # sample rows at most
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(good), "_id", "left")
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
+    rows = spread_join(rows, good.withColumn("target", F.lit(True)), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = WordHasher(signs=True), np.zeros((2, BUCKETS), np.int64)
