@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, mixing, nearest, neardup, pii, resample, secrets, suffix_tree, toxicity, urls
+from tidewell.llm import (
+    decontaminate, filter_audit, mixing, nearest, neardup, pii, prefix_trie, resample, secrets, suffix_tree, toxicity, urls, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,18 @@ def op6(spark, folder):
 @query("op2_quality_resampling")
 def op2(spark, folder):
     return resample.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_prefix_trie", prefix_trie.oracle())
+def op11(spark, folder):
+    return prefix_trie.report(table(spark, folder, "conversations"))
+
+
+@query("op12_filter_audit", filter_audit.oracle())
+def op12(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_warc_archives", warc.oracle())
+def op13(spark, folder):
+    return warc.report(table(spark, folder, "pages")).drop("archive", "offset", "length")
