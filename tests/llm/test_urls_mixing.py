@@ -73,3 +73,15 @@ def test_mixing_edges(spark, docs):
     assert {r["count"] for r in twice} == {2}
     large = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
     assert abs(mixing.mix(large, epochs=900.0).count() / 45_000 - 1) < 0.03
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    table = spark.createDataFrame(
+        [(i, f"s{i % 2}", f"own {i}", i * 0.5, -i, "x") for i in range(60)],
+        "doc_id long, source string, copy string, _u double, _n long, steps string")
+    mixed = mixing.mix(table, epochs=3.0)
+    assert mixed.columns == [*table.columns, "copy_2"]
+    rows = mixed.collect()
+    assert all(r["copy"] == f"own {r.doc_id}" and r._u == r.doc_id * 0.5 and r._n == -r.doc_id for r in rows)
+    plain = mixing.mix(table.select("doc_id", "source"), epochs=3.0, copy="turn").collect()
+    assert sorted((r.doc_id, r.copy_2) for r in rows) == sorted((r.doc_id, r.turn) for r in plain)

@@ -10,7 +10,8 @@ Target shares come from a table (source, share) or, without one, are proportiona
 source is joined to the documents; Spark broadcasts it only when its written size is small and splits hot sources otherwise.
 
 Defined results: a null source is a source of its own; a source without a target share has none of the mixture; a null id is
-hashed as the empty text; null texts are replicated like others; repeated rows have equal copies; an empty table gives none.
+hashed as the empty text; null texts are replicated like others; repeated rows have equal copies; a column of the input that is
+called like the result column stays, and the result is called ``copy_2`` (or the next free number); an empty table gives none.
 """
 
 from __future__ import annotations
@@ -62,17 +63,20 @@ def poisson_steps(table: DataFrame) -> DataFrame:
     return each.groupBy("source", "rate").agg(steps.alias("steps"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: int = SEED, **more) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: int = SEED, copy: str = "copy", **more) -> DataFrame:
     """The mixture: all columns of ``docs`` and ``copy`` (1, 2, ...), in shuffled order."""
     steps = materialise(poisson_steps(rates(docs, source, **more)), "steps")
-    steps = steps.select(F.col("source").alias("_source"), F.col("steps").alias("_steps"))
-    rows = docs.withColumn("_u", uniform(F.lit(seed), F.col(key)))
-    rows = rows.join(steps, F.col(source).eqNullSafe(F.col("_source")))
-    count = F.size(F.filter("_steps", lambda c: c <= F.col("_u")))
-    rows = rows.withColumn("_n", count).where("_n > 0").drop("_steps", "_source", "_u")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    order = F.md5(_text(F.lit(seed), F.lit("order"), F.col(key), F.col("copy")))
-    return rows.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    steps = steps.select(F.col("source").alias("of"), "steps")
+    # the row travels as one value, so no column of it can meet one of the names here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
+    rows = rows.withColumn("u", uniform(F.lit(seed), F.col("key"))).join(steps, F.col("source").eqNullSafe(F.col("of")))
+    count = F.size(F.filter("steps", lambda c: c <= F.col("u")))
+    rows = rows.select("row", "key", count.alias("n")).where("n > 0")
+    rows = rows.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    rows = rows.select("row", "copy", F.md5(_text(F.lit(seed), F.lit("order"), F.col("key"), F.col("copy"))).alias("at"))
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in [copy, *(f"{copy}_{i}" for i in range(2, 3 + len(taken)))] if n.lower() not in taken)
+    return rows.repartition("at").sortWithinPartitions("at").select("row.*", F.col("copy").alias(name))
 
 
 def oracle() -> str:
