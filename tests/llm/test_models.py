@@ -234,3 +234,38 @@ def test_target_model_counts_all_good_texts(spark):
     with_missing = table.unionAll(table.limit(1).selectExpr("cast(null as long)", "'only here'"))
     ratio = resample.log_ratio(with_missing, labels)
     assert ratio.min() < 0 and (ratio != 0).all()
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 8])
+def test_target_texts_are_exact_whatever_the_filter_lets_pass(spark, most_bytes):
+    table = spark.range(3_000).selectExpr("id as doc_id", "concat('t', id) as text").union(
+        spark.createDataFrame([(None, "none"), (7, None), (9, "t9")], "doc_id long, text string"))
+    good = spark.createDataFrame([(i,) for i in [*range(0, 3_000, 7), 9, -4, 99_999]], "_id long")
+    got = [r.text for r in resample.target_texts(table, good, "doc_id", "text", most_bytes).collect()]
+    assert sorted(got) == sorted([f"t{i}" for i in [*range(0, 3_000, 7), 9, 9]])
+
+
+def test_kept_rows_against_a_sort(spark, docs):
+    """The rows kept are those with the largest log weight plus Gumbel number of their id."""
+    import hashlib
+
+    texts, good = quality_rows(400)
+    texts += [None, "", texts[0], texts[0]]
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good) if i % 2] + [(None, 1), (5_000, 0)], "doc_id long, quality int")
+    weights = {r.doc_id: r.log_ratio for r in resample.weigh(docs(texts), labels).collect()}
+    keys = {}
+    for i in range(len(texts)):
+        u = int(hashlib.md5(f"{resample.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52 + 2.0**-53
+        keys[i] = weights[i] - math.log(-math.log(u))
+    share = (sum(good[1::2]) + 1) / (len(good[1::2]) + 2)
+    best = sorted(keys, key=keys.get, reverse=True)[:round(share * len(texts))]
+    rows = resample.resample(docs(texts), labels).collect()
+    assert {r.doc_id for r in rows if r.kept} == set(best)
+    assert all(math.isclose(r.sample_key, keys[r.doc_id], rel_tol=1e-9, abs_tol=1e-9) for r in rows)
+
+
+def test_without_good_labels_the_caller_chooses(spark, docs):
+    bad = spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, quality int")
+    texts = [f"text {i}" for i in range(10)]
+    assert sum(r.kept for r in resample.resample(docs(texts), bad).collect()) == 10
+    assert sum(r.kept for r in resample.resample(docs(texts), bad, without_target=0.3).collect()) == 3

@@ -1,14 +1,17 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Features are words, runs of signs and pairs of neighbours, hashed into ``BUCKETS`` buckets.  The raw model counts the buckets over
-all texts, the target model over all texts labelled good.  A text's weight is the ratio of its chances under both models (the sum of logs over its features).
+all texts in a plain scan, the target model over all texts labelled good.  For the latter a Bloom filter of the good ids (``BITS`` a id,
+``FILTER_BYTES`` at most) lets only texts pass that may be good, and these meet the ids in a sort-merge join: texts that are not
+good hardly move, and the plan is the same at every size.  A text's weight is the ratio of its chances under both models (the sum of logs over its features).
 Each text's log weight plus a Gumbel number from a hash of its id is its key, and the texts with the k largest keys stay:
 sampling without replacement in proportion to the weights.  By default k is the share of good texts among the labelled ones.
 
 The models are ``BUCKETS`` numbers each; the k-th key is found by counting, without a global sort.
 
-Defined results: a null or empty text has weight 1 (log 0); texts with the k-th key stay together; without texts labelled good all weights are
-1 and all texts stay; a null id is hashed as the empty text; repeated rows share their key; an empty table gives none.
+Defined results: a null or empty text has weight 1 (log 0); texts with the k-th key stay together; without texts labelled good all weights
+are 1 and ``without_target`` of the texts stay (all by default); a null id is hashed as the empty text; repeated rows share their
+key; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,17 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import small_batches, written
 from tidewell.llm.mixing import uniform
 from tidewell.llm.words import WordHasher, mix
-from tidewell.operators.skew import order_statistics, spread_join
+from tidewell.operators.skew import order_statistics
+from tidewell.session import materialise
 
 BUCKETS = 10_000
 PRIOR = 1.0
 SEED = 31
+BITS, HASHES = 16, 4  # of the filter of good ids: under one wrong id of four hundred passes
+FILTER_BYTES = 64 << 20
 
 
 def features(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,32 +48,74 @@ def features(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return ones, np.where(inner, pairs, -1)
 
 
-def log_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray | None:
-    """log P(bucket | target) - log P(bucket | raw); nothing without target texts."""
-    good = labels.where(F.col(label) == 1).select(F.col(key).alias("_id")).where("_id is not null").distinct()
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
-    rows = spread_join(rows, good.withColumn("target", F.lit(True)), "_id")
+def id_filter(ids: DataFrame, name: str, most_bytes: int = FILTER_BYTES) -> tuple[np.ndarray, int]:
+    """Words of a Bloom filter over the ids in column ``name``, and its number of bits (a multiple of 64).
+
+    Bits are set in Spark: a row per word of 64 bits that is not 0 reaches the driver, ``most_bytes / 8`` at most.
+    """
+    count = ids.count()
+    bits = 64 * max(1, min(-(-count * BITS // 64), most_bytes // 8))
+    cell = F.explode(F.array(*places(F.col(name), bits)))
+    words = ids.select(cell.alias("cell")).groupBy((F.col("cell") / 64).cast("long").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("cell", F.lit(64)).cast("int"))).alias("set"))
+    found = words.toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+    return out, bits
+
+
+def places(key: Column, bits: int) -> list[Column]:
+    """The bits that stand for a key."""
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+
+
+def _counted(texts: DataFrame, name: str) -> np.ndarray:
+    """How often each bucket occurs in the texts of the only column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHasher(signs=True), np.zeros((2, BUCKETS), np.int64)
+        hasher, counts = WordHasher(signs=True), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            target = np.array(batch.column(1).fill_null(False))
-            for first, hashes, bounds in hasher.column(batch.column(0)):
-                ones, pairs = features(hashes, bounds)
-                is_target = np.repeat(target[first:first + len(bounds) - 1], np.diff(bounds))
-                for row, chosen in ((0, slice(None)), (1, is_target)):
-                    both = np.concatenate([ones[chosen], pairs[chosen]])
-                    counts[row] += np.bincount(both[both >= 0], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), *map(pa.array, counts)], ["bucket", "raw", "target"])
-
-    parts = rows.select("text", "target").mapInArrow(run, "bucket long, raw long, target long")
-    with small_batches(docs.sparkSession):
-        sums = parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # BUCKETS rows
-    counts = np.zeros((2, BUCKETS))
-    for bucket, raw, target in sums:
-        counts[:, bucket] = raw, target
-    if not counts[1].any():
+            for _, hashes, bounds in hasher.column(batch.column(0)):
+                both = np.concatenate(features(hashes, bounds))
+                counts += np.bincount(both[both >= 0], minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(counts)], ["bucket", name])
+
+    parts = texts.mapInArrow(run, f"bucket long, {name} long")
+    out = np.zeros(BUCKETS)
+    with small_batches(texts.sparkSession):
+        for bucket, n in parts.groupBy("bucket").agg(F.sum(name)).collect():  # BUCKETS rows
+            out[bucket] = n
+    return out
+
+
+def target_texts(docs: DataFrame, good: DataFrame, key: str, text: str, most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """``text`` of the rows whose id is in column ``_id`` of ``good`` (distinct ids)."""
+    words, bits = id_filter(good, "_id", most_bytes)
+    held = docs.sparkSession.sparkContext.broadcast(words)
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"), *[p.alias(f"_p{i}") for i, p in enumerate(places(F.col(key), bits))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
+        for batch in batches:
+            may = np.ones(batch.num_rows, bool)
+            for i in range(2, 2 + HASHES):
+                cell = batch.column(i).to_numpy()
+                may &= (words[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(may)).select(["_id", "text"])
+
+    id_type = rows.schema["_id"].dataType.simpleString()
+    may_be = rows.where("_id is not null and text is not null").mapInArrow(run, f"_id {id_type}, text string")
+    return may_be.join(good.hint("merge"), "_id").select("text")
+
+
+def log_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray | None:
+    """log P(bucket | target) - log P(bucket | raw); nothing without target texts."""
+    good = labels.where(F.col(label) == 1).select(F.col(key).alias("_id")).where("_id is not null").distinct()
+    good = materialise(good, "good-ids")
+    target = _counted(target_texts(docs, good, key, text), "target")
+    if not target.any():
         return None
+    counts = np.stack([_counted(docs.select(text), "raw"), target])
     chance = (counts + PRIOR) / (counts.sum(axis=1, keepdims=True) + PRIOR * BUCKETS)
     return np.log(chance[1]) - np.log(chance[0])
 
@@ -95,10 +143,10 @@ def weigh(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, key: str = "doc_id", text: str = "text",
-             label: str = "quality", seed: int = SEED) -> DataFrame:
+             label: str = "quality", seed: int = SEED, without_target: float = 1.0) -> DataFrame:
     """``key``, ``log_ratio``, ``sample_key`` and ``kept`` of every row; the ``share`` with the largest keys is kept."""
     if share is None:
-        share = labels.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or 1.0
+        share = labels.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or without_target
     u = uniform(F.lit(seed), F.col(key)) + F.lit(2.0**-53)
     keyed = weigh(docs, labels, key, text, label=label).withColumn("sample_key", F.col("log_ratio") - F.ln(-F.ln(u)))
     keyed = written(keyed, "keys")
