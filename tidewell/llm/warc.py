@@ -94,8 +94,9 @@ def as_records(pages: DataFrame, key: str = "page_id", url: str = "url", body: s
 
 
 def write_monolithic(pages: DataFrame, folder: str, **more) -> None:
-    """Write pages as WARC files that are one gzip stream each."""
-    as_records(pages, **more).write.option("compression", "gzip").option("lineSep", END).text(folder)
+    """Write pages as WARC files that are one gzip stream each; quickly packed, as they are read once."""
+    sink = as_records(pages, **more).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    sink.option("lineSep", END).text(folder)
 
 
 def parse_head(lines: list[bytes]) -> dict[str, str]:
