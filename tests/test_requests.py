@@ -97,6 +97,55 @@ def test_split_hot_cuts_by_size(log):
     assert was_split and max(sizes.values()) <= 200 and len([1 for k in sizes if k[0] == "hot"]) >= 5
 
 
+def test_ties_are_cut_too(spark):
+    rows = spark.range(2_000).selectExpr("'k' as k", "id % 2 as at", "id as tie")
+    cut, _ = skew.split_hot(rows, ["k"], "at", 100, "tie")
+    parts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "tie")).alias("a"), F.max(F.struct("at", "tie")).alias("b"))
+    parts = parts.orderBy("_part").collect()
+    assert max(r["n"] for r in parts) <= 200 and sum(r["n"] for r in parts) == 2_000
+    assert all(x["b"] < y["a"] for x, y in zip(parts, parts[1:]))
+
+
+@pytest.fixture(scope="module")
+def dense(spark):
+    """A key without any gap, one with many rows at one moment, a missing key and small ones."""
+    rnd = random.Random(9)
+    rows = [(i, "dense", i // 3 * S, rnd.choice([0, 1, 7, 40, 900])) for i in range(3_000)]
+    rows += [(5_000 + i, None, rnd.randrange(500) * S, rnd.randrange(60)) for i in range(1_500)]
+    rows += [(8_000 + i, "ties", (i // 700) * 30 * S, 20) for i in range(1_400)] + [(9_900 + i, f"s{i % 5}", i * S, 3) for i in range(50)]
+    rnd.shuffle(rows)
+    return spark.createDataFrame(rows, "id bigint, k string, at bigint, hold bigint").cache(), rows
+
+
+@pytest.mark.parametrize("name", ["ttl", "flight", "limit", "light"])
+def test_dense_keys_side_by_side(dense, name):
+    df, rows = dense
+    rule = {"ttl": sequences.hold_rule("at", "id", 25), "flight": sequences.hold_rule("at", "id", "hold", "shared"),
+            "limit": sequences.limit_rule("at", "id", 5, 12), "light": sequences.limit_rule("at", "id", 60, 12)}[name]
+    work = sequences.Work()
+    got = sequences.sequential(df, ["k"], rule, 500, work).collect()
+    column = got[0].__fields__[-1]
+    want = {}
+    for key in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+        frame = sequences.pd.DataFrame(mine, columns=["id", "k", "at", "hold"])
+        want |= dict(zip(frame["id"], rule.run(None, frame)[0][column]))
+    assert {r["id"]: r[column] for r in got} == want and len(got) == len(rows)
+    if name in ("ttl", "flight"):
+        assert work.rounds <= 5 and work.repeated == 0  # some 20 pieces, five binary digits
+    elif name == "limit":  # over the limit without a break: a round a piece, but few repetitions
+        assert work.rounds <= 25 and work.repeated <= 4 * 30
+    else:
+        assert work.rounds <= 3 + 3  # the key with many rows at one moment is over its limit
+
+
+def test_one_moment_holds_over_many_pieces(spark):
+    """An answer that lives over whole pieces, and one that ends exactly where a row comes."""
+    rows = spark.range(1_000).selectExpr("id", "'k' as k", f"id * {S} as at", "case when id in (0, 500) then 450 else 1 end as hold")
+    got = sequences.single_flight(rows, ["k"], "at", "id", "hold", 100).where("not shared").select("id")
+    assert sorted(r["id"] for r in got.collect()) == [0, *range(450, 501), *range(950, 1_000)]
+
+
 def test_order_statistics(spark):
     rnd = random.Random(1)
     data = [rnd.expovariate(1) * 10 ** rnd.randrange(6) for _ in range(3000)] + [5.0] * 2000

@@ -11,14 +11,15 @@ from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell import fixed
 from tidewell.operators import skew
-from tidewell.session import materialise, work_dir
+from tidewell.session import materialise
 
 SECOND = 1_000_000
 
@@ -107,76 +108,198 @@ def no_rows(names: list[str]) -> pd.DataFrame:
 class Rule:
     """``run(state, rows) -> (new columns, state)`` over the ordered rows of one key, and the columns it adds.
 
-    After a gap of more than ``quiet`` in the first order column the state is as good as empty.
+    After a gap of more than ``quiet`` in the first order column the state is as good as empty.  A rule whose state is one moment,
+    up to which every row is like the others, has ``until``: the moment that each row would set if it came after the last one.
     """
 
     run: Callable
     added: str
     order: tuple[str, ...]
     quiet: int | None = None
+    until: Callable[[pd.DataFrame], np.ndarray] | None = None
+
+
+@dataclass
+class Work:
+    """How much a run over cut keys took: ``rounds`` of joins or of repeated pieces, ``repeated`` pieces in all."""
+
+    rounds: int = 0
+    repeated: int = 0
 
 
 def sequential(
-    df: DataFrame, keys: list[str], rule: Rule, part_rows: int = skew.PART_ROWS
+    df: DataFrame, keys: list[str], rule: Rule, part_rows: int = skew.PART_ROWS, work: Work | None = None
 ) -> DataFrame:
     """Apply a rule to each key's rows in order.
 
-    The rule gets at most about ``part_rows`` rows at a time.  Keys with more are cut at quiet gaps, where the rule forgets
-    everything: the stretches between are independent and run side by side.  Only what has no such gap (or a rule that
-    never forgets) is cut into consecutive pieces; piece after piece is run, and the state, written out, links them.
+    The rule gets at most about ``part_rows`` rows at a time; a key with more is cut into consecutive pieces that run side
+    by side.  What enters a piece is found in one of three ways.  Rules with ``until``: every piece is a function from
+    the moment that enters to the one that leaves, and the functions are composed by pointer doubling.  Rules that forget
+    after a quiet gap: stretches between gaps are independent.  Else (and for stretches that are still too long) pieces run on a
+    guess of what enters, and those whose guess was wrong are repeated together until every guess is right.
     """
     schema = T.StructType(df.schema.fields + T.StructType.fromDDL(rule.added).fields)
     names = [f.name for f in schema.fields]
-    order, run = list(rule.order), rule.run
+    order, run, work = list(rule.order), rule.run, work or Work()
 
     def once(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         new, _ = run(None, pdf)
         return pdf.assign(**new)[names]
 
-    cut, was_split = skew.split_hot(df, keys, order[0], part_rows)
+    cut, was_split = skew.split_hot(df, keys, order[0], part_rows, order[-1])
     if not was_split:
         return df.groupBy(*keys).applyInPandas(once, schema)
+    if rule.until is not None:
+        return _by_moments(cut, keys, rule, schema, work)
     if rule.quiet is not None:
         groups = [*keys, "_session"]
         rows = materialise(skew.sessions(df, keys, order[0], order[1], rule.quiet, part_rows), "sessions")
         long = rows.groupBy(*groups).count().where(F.col("count") > part_rows).drop("count")
         long = materialise(long, "long-sessions")
         if not long.isEmpty():
-            rest = sequential(rows.join(long, groups, "left_semi").select(*rows.columns), groups, replace(rule, quiet=None), part_rows)
-            short = rows.join(long, groups, "left_anti").select(*rows.columns)
+            rest = sequential(skew.equal_join(rows, long, groups, "left_semi"), groups, replace(rule, quiet=None), part_rows, work)
+            short = skew.equal_join(rows, long, groups, "left_anti")
             return short.groupBy(*groups).applyInPandas(once, schema).unionByName(rest.select(*names))
         return rows.groupBy(*groups).applyInPandas(once, schema)
+    return _by_guesses(cut, keys, rule, schema, work)
 
-    linked = T.StructType([*schema.fields, T.StructField("_state", T.StringType())])
 
-    def piece(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return no_rows([*names, "_state"])
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        new, state = run(json.loads(before["_state"].iloc[0]) if len(before) else None, rows)
-        out = rows.assign(**new)
-        out["_state"] = pd.Series([None] * (len(out) - 1) + [json.dumps(state)], dtype=object)
-        return out[[*names, "_state"]]
-
-    # one folder per piece, so every round reads its own rows only; the many normal keys of piece 0 get many files
-    path, spark = work_dir(df.sparkSession, "pieces"), df.sparkSession
-    files = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.when(F.col("_part") == 0, 1024).otherwise(8))
-    cut.withColumn("_file", files).withColumn("piece", F.col("_part")).drop("_part").repartition("piece", "_file").drop("_file").write.partitionBy(
-        "piece").parquet(path)
-    numbers = spark.read.parquet(path).select("piece").distinct().orderBy("piece").collect()
-    state = df.select(*keys).limit(0).withColumn("_state", F.lit(None).cast("string"))
-    done = None
-    for p in [r[0] for r in numbers]:
-        rows = spark.read.schema(df.schema).parquet(f"{path}/piece={p}")
-        out = materialise(
-            rows.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(piece, linked), "piece-out"
-        )
-        fresh = out.where(F.col("_state").isNotNull()).select(*keys, "_state")
-        state = materialise(fresh.unionByName(state.join(fresh.select(*keys), keys, "left_anti")), "piece-state")
-        out = out.drop("_state")
-        done = out if done is None else done.unionByName(out)
-    return done
+SPECULATE = 3  # rounds in which all pieces with news are repeated
+_KEY = "_key"  # the key's columns as one text, so that null keys are equal in joins
+
+
+def _pieces(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, and their key as one text."""
+    return materialise(cut.withColumn(_KEY, F.to_json(F.struct(*keys))), "pieces")
+
+
+def _started(rows: DataFrame, entering: DataFrame, rule: Rule, schema: T.StructType, read: Callable) -> DataFrame:
+    """Run every piece on what enters it: ``_key``, ``_part`` and ``_enters``; a piece without any starts empty."""
+    names, order, run = [f.name for f in schema.fields], list(rule.order), rule.run
+
+    def piece(part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return no_rows(names)
+        part = part.sort_values(order, kind="stable").reset_index(drop=True)
+        new, _ = run(read(before["_enters"].iloc[0]) if len(before) else None, part)
+        return part.assign(**new)[names]
+
+    group = [_KEY, "_part"]
+    return rows.groupBy(*group).cogroup(entering.groupBy(*group)).applyInPandas(piece, schema)
+
+
+def _by_guesses(cut: DataFrame, keys: list[str], rule: Rule, schema: T.StructType, work: Work) -> DataFrame:
+    """Pieces run from an empty state first; then each gets what left the one before, and those for which this is news run
+    again, all together.  Where states that start apart meet, as they do wherever a limit is not reached all the time, nothing is
+    news after two or three rounds.  After ``SPECULATE`` rounds only the first wrong piece of each key is repeated, so
+    the work stays in proportion to the rows; a key that is over its limit without a break then takes a round a piece.
+    """
+    order, run, group = list(rule.order), rule.run, [_KEY, "_part"]
+    rows = _pieces(cut, keys)
+    dense = materialise(rows.where("_part > 0").groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "dense-pieces")
+    before = Window.partitionBy(_KEY).orderBy("_part")
+    dense = dense.select(*group, F.lag("_part").over(before).alias("_from"))
+
+    def leave(part: pd.DataFrame, entering: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or entering.empty:
+            return no_rows([*group, "_enters", "_leaves"])
+        text = entering["_enters"].iloc[0]
+        part = part.sort_values(order, kind="stable").reset_index(drop=True)
+        _, state = run(None if text is None else json.loads(text), part)
+        return pd.DataFrame({_KEY: [part[_KEY].iloc[0]], "_part": [part["_part"].iloc[0]], "_enters": [text], "_leaves": [json.dumps(state, sort_keys=True)]})
+
+    states = None
+    todo = dense.select(*group, F.lit(None).cast("string").alias("_enters"))
+    while True:
+        chosen = rows.join(todo.select(*group), group, "left_semi")
+        ran = chosen.groupBy(*group).cogroup(todo.groupBy(*group)).applyInPandas(
+            leave, f"{_KEY} string, _part int, _enters string, _leaves string")
+        if states is not None:
+            ran = ran.unionByName(states.join(todo.select(*group), group, "left_anti"))
+        states = materialise(ran, "piece-states")
+        work.rounds += 1
+        left = states.select(_KEY, F.col("_part").alias("_from"), F.col("_leaves").alias("_news"))
+        told = dense.join(left, [_KEY, "_from"]).join(states, group).where(~F.col("_news").eqNullSafe(F.col("_enters")))
+        if work.rounds > SPECULATE:
+            told = told.withColumn("_nth", F.row_number().over(Window.partitionBy(_KEY).orderBy("_part"))).where("_nth = 1")
+        todo = materialise(told.select(*group, F.col("_news").alias("_enters")), "piece-news")
+        count = todo.count()
+        if not count:
+            break
+        work.repeated += count
+    entering = states.where("_enters is not null").select(*group, "_enters")
+    return _started(rows, entering, rule, schema, json.loads)
+
+
+def _by_moments(cut: DataFrame, keys: list[str], rule: Rule, schema: T.StructType, work: Work) -> DataFrame:
+    """Compose the pieces of each key for a rule with ``until``.
+
+    In a piece every row points to the first row at or after the moment it sets; following the pointers, a row leaves the
+    piece with one moment, and so does every moment that enters it.  A moment that leaves a piece enters the first one that
+    reaches so far.  That makes a pointer from each leaving moment to the next one; those on the path from a key's first row are
+    found by doubling the pointers, in as many joins as the number of pieces has binary digits.
+    """
+    order, until, group = list(rule.order), rule.until, [_KEY, "_part"]
+    rows = _pieces(cut, keys)
+    dense = rows.where("_part > 0")
+    spans = materialise(dense.groupBy(*group).agg(F.max(order[0]).alias("high")), "piece-spans")
+    # a row per piece of more than part_rows rows: the only thing here that is sent to every task
+    ends: dict[str, tuple[list, list]] = {}
+    for key, part, high in spans.orderBy(*group).collect():
+        parts, highs = ends.setdefault(key, ([], []))
+        parts.append(part)
+        highs.append(high)
+    held = rows.sparkSession.sparkContext.broadcast({k: (np.array(p), np.array(h)) for k, (p, h) in ends.items()})
+
+    def leaving(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The times of the rows in order, and the moment with which each leaves the piece if it sets one."""
+        part = part.sort_values(order, kind="stable")
+        at, moment = part[order[0]].to_numpy(np.int64), until(part)
+        follow = np.maximum(np.searchsorted(at, moment), np.arange(len(at)) + 1)
+        last = np.where(follow < len(at), follow, np.arange(len(at)))
+        while (last[last] != last).any():
+            last = last[last]
+        return at, moment[last]
+
+    def target(key: str, moments: np.ndarray) -> np.ndarray:
+        parts, highs = held.value[key]
+        place = np.searchsorted(highs, moments)
+        return np.append(parts, -1)[place]
+
+    def exits(part: pd.DataFrame) -> pd.DataFrame:
+        key, number = part[_KEY].iloc[0], part["_part"].iloc[0]
+        _, moments = leaving(part)
+        distinct = np.unique(moments)
+        return pd.DataFrame({_KEY: key, "_part": number, "_moment": distinct, "_to": target(key, distinct), "_head": distinct == moments[0]})
+
+    nodes = dense.groupBy(*group).applyInPandas(exits, f"{_KEY} string, _part int, _moment long, _to int, _head boolean")
+    nodes = materialise(nodes, "piece-exits")
+
+    def pass_through(part: pd.DataFrame, entering: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or entering.empty:
+            return no_rows([_KEY, "_part", "_moment", "_next_part", "_next"])
+        at, moments = leaving(part)
+        out = entering[[_KEY, "_from", "_moment"]].rename(columns={"_from": "_part"})
+        return out.assign(_next_part=part["_part"].iloc[0], _next=moments[np.searchsorted(at, entering["_moment"].to_numpy(np.int64))])
+
+    entering = nodes.where("_to > 0").select(_KEY, F.col("_part").alias("_from"), "_moment", F.col("_to").alias("_part"))
+    links = dense.groupBy(*group).cogroup(entering.groupBy(*group)).applyInPandas(
+        pass_through, f"{_KEY} string, _part int, _moment long, _next_part int, _next long")
+    links = materialise(links, "piece-links")
+    node = [_KEY, "_part", "_moment"]
+    first = spans.groupBy(_KEY).agg(F.min("_part").alias("_part"))
+    reached = materialise(nodes.where("_head").join(first, [_KEY, "_part"]).select(*node), "reached")
+    longest = max(len(p) for p, _ in ends.values())
+    for _ in range(max(1, (longest - 1).bit_length())):
+        step = reached.join(links, node).select(_KEY, F.col("_next_part").alias("_part"), F.col("_next").alias("_moment"))
+        reached = materialise(reached.unionByName(step).distinct(), "reached")
+        ahead = links.select(_KEY, F.col("_part").alias("_next_part"), F.col("_moment").alias("_next"), F.col("_next_part").alias("p"), F.col("_next").alias("m"))
+        links = materialise(links.join(ahead, [_KEY, "_next_part", "_next"]).select(*node, F.col("p").alias("_next_part"), F.col("m").alias("_next")), "piece-links")
+        work.rounds += 1
+    earlier = Window.partitionBy(_KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    left = spans.join(reached, group, "left").select(*group, F.max("_moment").over(earlier).alias("_enters")).where("_enters is not null")
+    return _started(rows, left, rule, schema, int)
 
 
 def limit_rule(time: str, tie: str, limit: int = fixed.RATE_LIMIT, window_seconds: int = fixed.RATE_WINDOW_SECONDS) -> Rule:
@@ -207,15 +330,20 @@ def two_level_rule(
 def hold_rule(time: str, tie: str, seconds: int | str = fixed.TTL_SECONDS, flag: str = "hit") -> Rule:
     """Reuse within a fixed time of the first answer; adds ``flag``.  ``seconds``: a number, or a column of numbers."""
 
+    def holds(rows):
+        return [seconds] * len(rows) if isinstance(seconds, int) else rows[seconds].tolist()
+
     def run(expires, rows):
-        holds = [seconds] * len(rows) if isinstance(seconds, int) else rows[seconds].tolist()
         out = []
-        for t, h in zip(rows[time].tolist(), holds, strict=True):
+        for t, h in zip(rows[time].tolist(), holds(rows), strict=True):
             hit, expires = hold_step(expires, t, int(h * SECOND))
             out.append(hit)
         return {flag: out}, expires
 
-    return Rule(run, f"{flag} boolean", (time, tie), seconds * SECOND if isinstance(seconds, int) else None)
+    def until(rows):
+        return rows[time].to_numpy(np.int64) + np.array([int(h * SECOND) for h in holds(rows)], np.int64)
+
+    return Rule(run, f"{flag} boolean", (time, tie), seconds * SECOND if isinstance(seconds, int) else None, until)
 
 
 def breaker_rule(
@@ -301,12 +429,10 @@ def lru_hits(
                 cache.popitem(last=False)
         return rows.assign(hit=hits)[names]
 
-    cut, was_split = skew.split_hot(df, keys, time, part_rows)
+    cut, was_split = skew.split_hot(df, keys, time, part_rows, tie)
     if not was_split:
         return df.groupBy(*keys).applyInPandas(lambda pdf: run(pdf, []), schema)
 
-    from pyspark.sql import Window
-
     last = cut.groupBy(*keys, "_part", item).agg(F.max(F.struct(time, tie)).alias("_at"))
     newest = Window.partitionBy(*keys, "_part").orderBy(F.desc("_at"))
     last = last.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= capacity).drop("_nth")

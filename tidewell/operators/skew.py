@@ -35,6 +35,13 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], weight: str |
     return both.select(*[F.col(c) for c in left.columns], *out)
 
 
+def equal_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal columns in which a null key equals a null key; the columns ``on`` are those of the left side."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [left[c].eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in on])
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Left join to a table unique by ``on``.
 
@@ -46,33 +53,24 @@ def spread_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return keyed.join(right.withColumn("_salt", F.lit(0)), [on, "_salt"], "left").drop("_salt")
 
 
-def split_hot(df: DataFrame, keys: list[str], position: str, part_rows: int = PART_ROWS) -> tuple[DataFrame, bool]:
-    """Add ``_part``: consecutive pieces, by ``position`` (a number), of every key with more than ``part_rows`` rows.
+def split_hot(
+    df: DataFrame, keys: list[str], position: str, part_rows: int = PART_ROWS, tie: str | None = None
+) -> tuple[DataFrame, bool]:
+    """Add ``_part``: consecutive pieces, by ``position`` and ``tie``, of every key with more than ``part_rows`` rows.
 
-    A row's piece depends on the row and on the bounds only, and bounds are written out once, so a lost executor
-    cannot change them.  Keys of normal size stay whole in piece 0.  Returns the frame and whether any key was split.
+    Rows of hot keys are dealt out by ranges of (key, position, tie), which Spark draws from a sample of them, and are written
+    out with the number of their range, so a lost executor cannot change a row's piece.  Many rows on one position
+    are cut by their ties.  Keys of normal size stay whole in piece 0.  Returns the frame and whether any key was split.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)
     hot = materialise(hot, "hot-keys")
     if hot.isEmpty():
         return df.withColumn("_part", F.lit(0)), False
-    most = hot.agg(F.max("_n")).first()[0]
-    pieces = -(-most // part_rows) + 1
-    probabilities = [i / pieces for i in range(1, pieces)]
-    bounds = (
-        df.join(hot.select(*keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(position, probabilities, max(10_000, 4 * pieces)).alias("_all"))
-        .join(hot, keys)
-    )
-    # a key with fewer rows than the hottest one keeps every n-th bound only
-    step = F.greatest(F.lit(1), F.floor(F.lit(pieces) / F.ceil(F.col("_n") / part_rows)).cast("int"))
-    bounds = bounds.select(
-        *keys, "_n", F.filter(F.array_distinct("_all"), lambda b, i: (i + 1) % step == 0).alias("_bounds"))
-    bounds = materialise(bounds, "hot-bounds")
-    placed = lookup_join(df, bounds, keys, "_n")
-    part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(position))), F.lit(0))
-    return placed.withColumn("_part", F.greatest(part, F.lit(0))).drop("_bounds"), True
+    pieces = hot.agg(F.sum(F.ceil(F.col("_n") * 1.5 / part_rows))).first()[0]
+    marked = lookup_join(df, hot.withColumn("_hot", F.lit(True)), keys, "_n")
+    ranges = marked.where("_hot").drop("_hot").repartitionByRange(int(pieces), *keys, position, *([tie] if tie else []))
+    cut = materialise(ranges.withColumn("_part", F.spark_partition_id() + 1), "hot-pieces")
+    return cut.unionByName(marked.where("_hot is null").drop("_hot").withColumn("_part", F.lit(0))), True
 
 
 def with_lookback(
@@ -82,7 +80,7 @@ def with_lookback(
 
     A window over ``keys`` and ``_part`` that looks back at most ``rows_back`` rows is then exact for every other row.
     """
-    rows, was_split = split_hot(df, keys, position, part_rows)
+    rows, was_split = split_hot(df, keys, position, part_rows, tie)
     rows = rows.withColumn("_extra", F.lit(False))
     if not was_split or rows_back < 1:
         return rows
@@ -119,7 +117,7 @@ def carried(df: DataFrame, keys: list[str], **parts: Column) -> DataFrame:
 
 
 def with_carried(df: DataFrame, keys: list[str], carry: DataFrame) -> DataFrame:
-    return df.join(carry, [*keys, "_part"], "left")
+    return equal_join(df, carry, [*keys, "_part"], "left")
 
 
 def sessions(df: DataFrame, keys: list[str], position: str, tie: str, quiet: int, part_rows: int = PART_ROWS) -> DataFrame:

@@ -75,6 +75,28 @@ def scan_legacy_text(spark, sf):
     return files.read_delimited(spark, path).drop(cleaning.ROW)
 
 
+@query("scan_mixed_folder", """
+    select cast(c_custkey as varchar) as id, case when c_custkey % 5 < 4 then c_name || case when c_custkey % 5 = 1 then ' – „café“' else '; é' end end as name,
+        case when c_custkey % 5 = 2 then c_mktsegment || chr(10) || '"' || cast(c_nationkey as varchar) || '"' else c_mktsegment end as segment,
+        case when c_custkey % 5 in (0, 3) then cast(c_nationkey as varchar) end as nation
+    from customer""")
+def scan_mixed_folder(spark, sf):
+    """One folder of files that differ in delimiter, encoding, order of columns, columns and quoted line breaks."""
+    path = work_dir(spark, "mixed")
+    people = table(spark, sf, "customer").withColumn("kind", F.col("c_custkey") % 5)
+    key, segment, nation = F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string")
+    plain = F.concat("c_name", F.lit("; é")).alias("name")
+    signs = F.translate(F.concat("c_name", F.lit(" – „café“")), files.LEGACY_SIGNS, files.LATIN_CONTROLS).alias("name")
+    broken = F.concat("c_mktsegment", F.lit('\n"'), nation, F.lit('"')).alias("segment")
+    parts = [
+        (",", "UTF-8", [key, plain, segment, nation.alias("nation")]), (";", "ISO-8859-1", [segment, key, signs]), ("\t", "UTF-8", [key, plain, broken]),
+        ("|", "UTF-8", [nation.alias("nation"), plain, key, segment]), (",", "UTF-8", [segment, key])]
+    for kind, (mark, encoding, columns) in enumerate(parts):
+        rows = people.where(F.col("kind") == kind).select(*columns).repartition(2)
+        rows.write.mode("append").option("header", True).option("sep", mark).option("encoding", encoding).option("escape", '"').csv(path)
+    return files.read_delimited(spark, path).select("id", "name", "segment", "nation")
+
+
 @query("scan_repeated_headers", 'select cast(c_custkey as varchar) as code, c_name as "code.1", c_mktsegment as "code.2" from customer')
 def scan_repeated_headers(spark, sf):
     path = work_dir(spark, "headers") + ".csv"

@@ -130,12 +130,18 @@ _RAG = f"""
             where rank <= 3 and score >= 1.5 and query_id not in (select query_id from near))"""
 
 
+def _chunk_vectors(spark, sf):
+    """Chunks with their vectors, written once: the search and the texts of its hits read the same rows."""
+    rows = _chunks(spark, sf).select(
+        F.col("company_id").alias("tenant"), "id", "doc_id", "chunk", search.hash_embedding(F.col("chunk")).alias("vector"))
+    return materialise(rows, "chunk-vectors")
+
+
 def _rag_hits(spark, sf, least: float):
-    asked, chunks = _asked(spark, sf), _chunks(spark, sf)
+    asked = _asked(spark, sf)
     queries = asked.select(F.col("company_id").alias("tenant"), "query_id",
                            search.hash_embedding(F.col("message")).alias("vector"))
-    corpus = chunks.select(F.col("company_id").alias("tenant"), F.col("id").alias("doc_id"),
-                           search.hash_embedding(F.col("chunk")).alias("vector"))
+    corpus = _chunk_vectors(spark, sf).select("tenant", F.col("id").alias("doc_id"), "vector")
     # at most five rows per message, written once: they are a result and tell who still needs a keyword search
     near = materialise(search.vector_search(queries, corpus, k=5, least=least), "near")
     asked = asked.join(near.select("query_id").distinct(), "query_id", "left_anti")
@@ -203,12 +209,11 @@ def _sources(spark, sf):
     hits = materialise(search.keyword_search(topics, kb).select("query_id", "doc_id", "rank"), "hits")
     found = hits.join(kb, "doc_id").select(
         F.col("query_id").alias("topic_id"), (F.col("rank") + _VECTOR_HITS).alias("rank"), "title", "text")
-    chunks = _chunks(spark, sf)
+    chunks = _chunk_vectors(spark, sf)
     asked = table(spark, sf, "benchmark").select(
         F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("tenant"), F.col("item_id").alias("query_id"),
         search.hash_embedding(F.col("text")).alias("vector"))
-    corpus = chunks.select(F.col("company_id").alias("tenant"), F.col("id").alias("doc_id"),
-                           search.hash_embedding(F.col("chunk")).alias("vector"))
+    corpus = chunks.select("tenant", F.col("id").alias("doc_id"), "vector")
     near = materialise(search.vector_search(asked, corpus, k=_VECTOR_HITS, least=0.4), "near")
     near = near.select("query_id", F.col("doc_id").alias("id"), "rank").join(chunks.select("id", "doc_id", "chunk"), "id")
     near = near.join(kb.select("doc_id", "title"), "doc_id").select(

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import csv
+import io
+import re
+import statistics
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
@@ -58,36 +67,81 @@ def common_encoding(found: DataFrame) -> DataFrame:
     return found.agg(F.max_by("encoding", F.array_position(order, F.col("encoding"))).alias("encoding"))
 
 
-def delimiters(spark: SparkSession, path: str) -> DataFrame:
-    """(file, delimiter): the mark that cuts the first lines of a file most evenly; a comma when none does."""
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines): the first lines of each file as bytes, up to ``SNIFF_CHARACTERS`` and at least one."""
     lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
-    head = lines.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
-        F.regexp_replace("value", '"[^"]*"', "").alias("value"))
+    head = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
     few = Window.partitionBy("file").orderBy("at")
     # a line takes a character at least, so no more lines than characters can matter
     head = head.withColumn("n", F.row_number().over(few)).where(F.col("n") <= SNIFF_CHARACTERS)
-    head = head.withColumn("seen", F.sum(F.length("value") + 1).over(few)).where(
-        (F.col("seen") <= SNIFF_CHARACTERS) | (F.col("n") == 1))
-    marks = F.explode(F.array(*[F.lit(d) for d in DELIMITERS])).alias("delimiter")
-    counts = head.where("value <> ''").select("file", "value", marks).select(
-        "file", "delimiter", (F.size(F.split("value", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E")), -1)) - 1).alias("c"))
-    shape = counts.groupBy("file", "delimiter").agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("spread"))
-    place = F.array_position(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("delimiter"))
-    best = F.when(F.col("mean") > 0, F.struct(-F.col("spread"), F.col("mean"), -place))
-    found = shape.groupBy("file").agg(F.max_by("delimiter", best).alias("delimiter"))
-    return found.select("file", F.coalesce("delimiter", F.lit(",")).alias("delimiter"))
+    head = head.withColumn("seen", F.sum(F.length("value") + 1).over(few))
+    head = head.where((F.col("seen") <= SNIFF_CHARACTERS) | (F.col("n") == 1))
+    in_order = F.sort_array(F.collect_list(F.struct("n", F.col("value").cast("binary").alias("v"))))
+    return head.groupBy("file").agg(F.transform(in_order, lambda x: x["v"]).alias("lines"))
 
 
-def with_row_numbers(df: DataFrame) -> DataFrame:
-    """Add the 0-based position of each row over all files in path order, without a global sort.
+def _delimiter_of():
+    """A function from a file's first lines to the mark that cuts them most evenly; a comma when none does.
 
-    Rows of one file split are consecutive in one task, so a table with one line per split gives every split its offset;
-    the window without a key runs over that table only.
+    Quoted cells are left out, those that run over lines too.
+    """
+    quoted, marks = re.compile(rb'"(?:[^"]|"")*(?:"|\Z)'), [m.encode() for m in DELIMITERS]
+
+    def find(lines) -> str:
+        bare = [x for x in quoted.sub(b"", b"\n".join(lines)).split(b"\n") if x.strip()]
+        counts = [(statistics.pstdev(c), -statistics.fmean(c), m) for m in marks if any(c := [x.count(m) for x in bare])]
+        return min(counts, key=lambda c: c[:2])[2].decode() if counts else ","
+
+    return find
+
+
+def delimiters(spark: SparkSession, path: str) -> DataFrame:
+    """(file, delimiter) of every file."""
+    find = _delimiter_of()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"file": batch["file"], "delimiter": batch["lines"].map(find)})
+
+    return _heads(spark, path).mapInPandas(run, "file string, delimiter string")
+
+
+def file_classes(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> list[Row]:
+    """Files that read alike: ``delimiter``, ``encoding``, ``breaks``, ``header`` and the ``files`` that share them.
+
+    Every trait is found per file and in parallel; the driver sees one row per class, in order of its first file.  A
+    file without any line has no class.
     """
-    tagged = df.select(
+    each = _heads(spark, path).join(file_traits(spark, path), "file")
+    find = _delimiter_of()
+
+    def first_record(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
+        codecs = {"windows-1252": "cp1252", "UTF-8": "utf-8"}
+        for batch in batches:
+            marks = [sep or find(lines) for lines in batch["lines"]]
+            names = [encoding or e for e in batch["encoding"]]
+            headers = []
+            for lines, mark, name in zip(batch["lines"], marks, names):
+                head = b"\n".join(lines).decode(codecs.get(name, name), "replace").lstrip("\ufeff")
+                records = csv.reader(io.StringIO(head, newline=""), delimiter=mark)
+                headers.append(next((r for r in records if any(c.strip() for c in r)), None))
+            yield batch.assign(delimiter=marks, encoding=names, header=headers)[["file", "delimiter", "encoding", "breaks", "header"]]
+
+    rows = each.mapInPandas(first_record, "file string, delimiter string, encoding string, breaks boolean, header array<string>")
+    classes = rows.where("header is not null").groupBy("delimiter", "encoding", "breaks", "header").agg(
+        F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted(classes.collect(), key=lambda c: c["files"][0])
+
+
+def _tagged(df: DataFrame) -> DataFrame:
+    """Add file, split and a number that rises within the split."""
+    return df.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"))
+
+
+def _numbered(tagged: DataFrame) -> DataFrame:
     splits = tagged.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -96,31 +150,44 @@ def with_row_numbers(df: DataFrame) -> DataFrame:
         "_file", "_start", "_id", "_first", "_offset")
 
 
+def with_row_numbers(df: DataFrame) -> DataFrame:
+    """Add the 0-based position of each row over all files in path order, without a global sort.
+
+    Rows of one file split are consecutive in one task, so a table with one line per split gives every split its offset;
+    the window without a key runs over that table only.
+    """
+    return _numbered(_tagged(df))
+
+
+def _literal_path(file: str) -> str:
+    """The path of a file from its URI, its signs safe from being read as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))
+
+
+def _class_rows(spark: SparkSession, found: Row) -> DataFrame:
+    """Tagged rows of one class of files, under the names of its header."""
+    legacy = found["encoding"] == "windows-1252"
+    base = spark.read.option("sep", found["delimiter"]).option("encoding", "ISO-8859-1" if legacy else found["encoding"]).option(
+        "quote", '"').option("escape", '"').option("multiLine", bool(found["breaks"])).option("header", "true").option(
+        "enforceSchema", "true").schema(", ".join(f"c{i} string" for i in range(len(found["header"]))))
+    rows = _tagged(base.csv([_literal_path(f) for f in found["files"]]))
+    cell = lambda i: F.translate(F.col(f"c{i}"), LATIN_CONTROLS, LEGACY_SIGNS) if legacy else F.col(f"c{i}")
+    return rows.select("_file", "_start", "_id", *[cell(i).alias(n) for i, n in enumerate(unique_names(found["header"]))])
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Text frame of delimited files that share one header line; delimiter and encoding are found when not given.
+    """Text frame of a folder of delimited files; delimiter and encoding are found per file when not given.
 
-    Files are split over tasks unless a quoted cell runs over a line break; then each file is read by one task.
+    Files that share delimiter, encoding, quoted breaks and header are one scan, whatever their number; the scans are united by
+    column name, in the order in which names first occur, and a column that a file lacks is null in its rows.  Rows are numbered over
+    all files in path order.  Files are split over tasks unless a quoted cell runs over a line break; then each file is read by one task.
     """
-    if sep is None:
-        sep = delimiters(spark, path).agg(F.min_by("delimiter", "file")).first()[0] or ","
-    traits = file_traits(spark, path)
-    found = common_encoding(traits).crossJoin(traits.agg(F.bool_or("breaks").alias("breaks"))).first()  # one row each
-    encoding = encoding or found["encoding"] or "UTF-8"
-    legacy = encoding == "windows-1252"
-    base = spark.read.option("sep", sep).option("encoding", "ISO-8859-1" if legacy else encoding).option("quote", '"').option(
-        "escape", '"').option("multiLine", bool(found["breaks"]))
-    top = base.option("header", "false").csv(path)
-    first = top.where(F.col("_metadata.file_block_start") == 0).limit(1).collect()
-    if not first:
+    classes = file_classes(spark, path, sep, encoding)
+    if not classes:
         raise ValueError("No data rows found in this file.")
-    header = [(c or "").lstrip("\ufeff") for c in first[0]]
-    if legacy:
-        header = [c.translate(str.maketrans(LATIN_CONTROLS, LEGACY_SIGNS)) for c in header]
-    schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    rows = with_row_numbers(base.option("header", "true").option("enforceSchema", "true").schema(schema).csv(path))
-    names = unique_names(header)
-    cell = lambda i: F.translate(F.col(f"c{i}"), LATIN_CONTROLS, LEGACY_SIGNS) if legacy else F.col(f"c{i}")
-    return rows.select(ROW, *[cell(i).alias(n) for i, n in enumerate(names)])
+    names = list(dict.fromkeys(n for c in classes for n in unique_names(c["header"])))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_class_rows(spark, c) for c in classes])
+    return _numbered(rows).select(ROW, *[F.col(f"`{n}`") for n in names])
 
 
 def unique_names(names: list[str]) -> list[str]:
