@@ -1,11 +1,14 @@
 """Streams over folders in several batches against the batch operators, late rows, state that goes, restart."""
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import sequences
+from tidewell.sources.keyed import KeyedTable
 from tidewell.streaming import jobs
 from tidewell.streaming.processors import stateful
 
@@ -54,7 +57,7 @@ def test_rows_out_of_order(spark, calls, name):
     folder, rows, _ = calls
     rule, keep = rule_of(name)
     stream = jobs.file_stream(spark, folder, "calls.parquet", 1).withWatermark("ts", "5 minutes")
-    run = jobs.run_rule(stream, ["k"], rule, "at", keep, name)
+    run = jobs.run_rule(stream, ["k"], rule, "at", keep, name, 90)
     assert run.batches >= 8 and run.late == 0
     assert same(run.table, sequences.sequential(rows.drop("ts"), ["k"], rule))
 
@@ -66,7 +69,7 @@ def test_late_rows_are_counted(spark, calls, tmp_path):
     groups = [[i for i in range(0, 150) if i not in late], range(150, 299), late, [299]]
     write_files(spark, str(tmp_path / "calls.parquet"), rows, [list(g) for g in groups])
     stream = jobs.file_stream(spark, str(tmp_path), "calls.parquet", 1).withWatermark("ts", "1 minute")
-    run = jobs.run_rule(stream, ["k"], rule, "at", keep, "late")
+    run = jobs.run_rule(stream, ["k"], rule, "at", keep, "late", 20)
     assert run.late == len(late)
     assert same(run.table, sequences.sequential(rows.where(~F.col("id").isin(late)).drop("ts"), ["k"], rule))
 
@@ -100,11 +103,11 @@ def test_dialogue_in_any_pieces(spark, tmp_path):
         folder = tmp_path / f"s{size}"
         pieces = [("e", i, script[i * size:(i + 1) * size]) for i in range(-(-len(script) // size))]
         spark.createDataFrame(pieces, "k string, n bigint, piece string").coalesce(1).write.parquet(str(folder / "p.parquet"))
-        stream = jobs.file_stream(spark, str(folder), "p.parquet")
-        out = stateful(stream, ["k"], jobs.dialogue_rule("n", "piece", ["mara", "piet"]))
-        run = jobs.run_stream(out, "d")
+        stream = jobs.file_stream(spark, str(folder), "p.parquet").withColumn("at", F.lit(START) + F.col("n") * S)
+        stream = stream.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", "1 minute")
+        run = jobs.run_rule(stream, ["k"], jobs.dialogue_rule("n", "piece", ["mara", "piet"]), "at", None, "d", 30)
         done = jobs.released_turns(run.table, ["k"])
-        turns = jobs.spoken(done.unionByName(jobs.open_turns(spark, run.marks, ["k"], ["mara", "piet"])), ["k"])
+        turns = jobs.spoken(done.unionByName(jobs.open_turns(run.states, ["k"], ["mara", "piet"])), ["k"])
         said = [(r["speaker"], r["text"]) for r in turns.collect()]
         assert sorted(said) == [("mara", "Good evening. And welcome back."), ("mara", "That is all"), ("piet", "Evening!")]
 
@@ -112,10 +115,45 @@ def test_dialogue_in_any_pieces(spark, tmp_path):
 def test_running_counts(spark, calls):
     folder, _, _ = calls
     stream = jobs.file_stream(spark, folder, "calls.parquet", 1)
-    got = {r["k"]: r["count"] for r in jobs.running_counts(stream, "k", "counts").collect()}
+    got = {r["k"]: r["count"] for r in jobs.running_counts(stream, "k", "counts", most=3).collect()}
     assert got == {"k0": 100, "k1": 100, "k2": 100}
 
 
+def test_keyed_table(spark, tmp_path):
+    """Changes and bases against a dictionary; few folders after many batches; a batch that comes again changes nothing."""
+    import os
+
+    sums, last = KeyedTable(spark, str(tmp_path / "sums"), ["k"], ["n"], most=4), KeyedTable(spark, str(tmp_path / "last"), ["k"], most=5)
+    want, newest = {}, {}
+    for number in range(14):
+        rows = [(None if k == 0 else f"k{k}", k + number) for k in range(number % 3, 6)]
+        batch = spark.createDataFrame(rows, "k string, n bigint").coalesce(1)
+        for _ in range(1 + (number in (3, 5))):  # some come twice
+            sums.merge(batch, number)
+            last.merge(batch, number)
+        for k, n in rows:
+            want[k], newest[k] = want.get(k, 0) + n, n
+    sums.merge(spark.createDataFrame([("k1", 1_000)], "k string, n bigint"), 2)  # long in a base
+    assert {r.k: r.n for r in sums.read().collect()} == want and {r.k: r.n for r in last.read().collect()} == newest
+    assert len(os.listdir(tmp_path / "sums")) <= 5 and len(os.listdir(tmp_path / "last")) <= 6
+    os.remove(tmp_path / "sums" / f"base-{sums._folders()[0]}" / "_SUCCESS")  # half written
+    assert sums._folders()[0] == -1
+
+
+def test_a_key_waits_in_many_chunks(spark, tmp_path, monkeypatch):
+    """Rows of one key are appended in chunks by bucket; no entry holds them all."""
+    monkeypatch.setattr("tidewell.streaming.processors.CHUNK_ROWS", 100)
+    rows = spark.range(0, 3_000, 1, 4).selectExpr("id", "'k' as k", f"{START} + id * {S} as at").withColumn("ts", F.timestamp_micros("at"))
+    rows.write.parquet(str(tmp_path / "t.parquet"))
+    rule = sequences.hold_rule("at", "id", 45)
+    stream = jobs.file_stream(spark, str(tmp_path), "t.parquet", 1).withWatermark("ts", "1 day")
+    run = jobs.run_rule(stream, ["k"], rule, "at", 45, "chunks", 600)
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(run.marks)
+    longest = held.selectExpr("count(*) as n", "max(length(user_map_value.body)) as l").first()
+    assert longest.n >= 30 and longest.l < 6_000
+    assert same(run.table, sequences.sequential(rows.drop("ts"), ["k"], rule))
+
+
 def test_restart_reads_only_new_files(spark, calls):
     from tidewell.session import work_dir
 
@@ -131,12 +169,31 @@ def test_restart_reads_only_new_files(spark, calls):
 @pytest.mark.parametrize("name", ["rate_limit_stream", "ttl_reuse_stream", "single_flight_stream", "rate_limit_two_level_stream",
                                   "circuit_state_stream", "escalation_stream", "dialogue_stream", "topic_counts_stream",
                                   "audit_stream", "event_feed"])
-def test_queries_on_folders(spark, tmp_path_factory, name):
-    """Every stream query on tables that are folders of eight files gives what it gives on single files."""
-    from tidewell.plans.registry import QUERIES
+def test_queries_on_folders(spark, tmp_path_factory, monkeypatch, name):
+    """Every stream query on folders of eight files, two a batch, gives what its batch twin gives on whole tables.
+
+    Rows cross batches by less than the watermark's delay.
+    """
+    import duckdb
+
+    from tidewell.plans.registry import ORACLES, QUERIES
+    from tests.check_oracle import duck, rows_of
 
+    monkeypatch.setattr(jobs, "FILES_PER_BATCH", 2)
     source = "/root/testdata/sf0.001"
     root = tmp_path_factory.mktemp("folders")
+    late = {"events": "epoch_us(ts) + hash(event_id) % 500000000", "conversations": "conv_id * 60 + turn + hash(conv_id, turn) % 1000"}
     for t in ("events", "conversations"):
-        spark.read.parquet(f"{source}/{t}.parquet").repartition(8).write.parquet(str(root / f"{t}.parquet"))
-    assert same(QUERIES[name](spark, str(root)), QUERIES[name](spark, source))
+        folder = root / f"{t}.parquet"
+        folder.mkdir()
+        con = duckdb.connect()
+        con.execute(f"create table t as select *, ntile(8) over (order by {late[t]}) as part from '{source}/{t}.parquet'")
+        for i in range(1, 9):
+            path = str(folder / f"part-{i}.parquet")
+            con.execute(f"copy (select * exclude (part) from t where part = {i}) to '{path}' (format parquet)")
+            os.utime(path, (time.time() - 5_000 + i * 10,) * 2)
+    got = QUERIES[name](spark, str(root))
+    con = duck(source)
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())

@@ -9,9 +9,10 @@ from tidewell.operators import sequences, support
 from tidewell.plans import duck, requests, texts, views
 from tidewell.plans import support as desk
 from tidewell.plans.registry import ORACLES, query
-from tidewell.session import work_dir
 from tidewell.streaming import jobs
-from tidewell.streaming.processors import stateful
+
+
+DAY = 86_400  # seconds of a bucket of waiting rows
 
 
 def _events(spark, sf, *columns):
@@ -26,21 +27,21 @@ def _events(spark, sf, *columns):
 def rate_limit_stream(spark, sf):
     stream = _events(spark, sf, "event_id", "user_id")
     rule = sequences.limit_rule("at_us", "event_id", 2, 86_400)
-    return jobs.run_rule(stream, ["user_id"], rule, "at_us", 86_400, "rate-limit").table.select("event_id", "allowed")
+    return jobs.run_rule(stream, ["user_id"], rule, "at_us", 86_400, "rate-limit", DAY).table.select("event_id", "allowed")
 
 
 @query("ttl_reuse_stream", ORACLES["ttl_reuse"])
 def ttl_reuse_stream(spark, sf):
     stream = _events(spark, sf, "event_id", "question")
     rule = sequences.hold_rule("at_us", "event_id")
-    return jobs.run_rule(stream, ["question"], rule, "at_us", 1800, "ttl-reuse").table.select("event_id", "hit")
+    return jobs.run_rule(stream, ["question"], rule, "at_us", 1800, "ttl-reuse", DAY).table.select("event_id", "hit")
 
 
 @query("single_flight_stream", ORACLES["single_flight"])
 def single_flight_stream(spark, sf):
     stream = _events(spark, sf, "event_id", "question", "seconds")
     rule = sequences.hold_rule("at_us", "event_id", "seconds", "shared")
-    return jobs.run_rule(stream, ["question"], rule, "at_us", 3600, "single-flight").table.select("event_id", "shared")
+    return jobs.run_rule(stream, ["question"], rule, "at_us", 3600, "single-flight", DAY).table.select("event_id", "shared")
 
 
 @query("rate_limit_two_level_stream", ORACLES["rate_limit_two_level"])
@@ -49,14 +50,14 @@ def rate_limit_two_level_stream(spark, sf):
     stream = stream.select("event_id", "network", "at_us", "seen_at",
                            text.client_key(F.lit("co"), F.col("browser"), F.col("address")).alias("client"))
     rule = sequences.two_level_rule("client", "at_us", "event_id", 3, 2, 86_400)
-    run = jobs.run_rule(stream, ["network"], rule, "at_us", 86_400, "two-level")
+    run = jobs.run_rule(stream, ["network"], rule, "at_us", 86_400, "two-level", DAY)
     return run.table.select("event_id", "client", "verdict")
 
 
 @query("circuit_state_stream", ORACLES["circuit_state"])
 def circuit_state_stream(spark, sf):
     stream = _events(spark, sf, "event_id", "network", "outcome")
-    run = jobs.run_rule(stream, ["network"], sequences.breaker_rule("at_us", "event_id", "outcome"), "at_us", None, "circuit")
+    run = jobs.run_rule(stream, ["network"], sequences.breaker_rule("at_us", "event_id", "outcome"), "at_us", None, "circuit", DAY)
     return run.table.select("event_id", "allowed", "status", "retry_in")
 
 
@@ -73,11 +74,13 @@ _FLOW_ONLY = desk._FLOW.split("order by turn) as rn from found),")[1]
              from (select conv_id, turn, {desk._reason_sql()} as reason, {duck.first_email('message')} as mail from ({views.MESSAGES}))),
     {_FLOW_ONLY} select conv_id, turn, action, ticket_reason from flow where rn > 0""")
 def escalation_stream(spark, sf):
+    """Turns are judged in the order in which they were asked, whatever batch brings them."""
     rows = _messages(spark, sf).select(
         "conv_id", "turn", support.escalation_reason(F.col("message")).alias("reason"),
-        text.first_email(F.col("message")).alias("mail"))
-    out = stateful(rows, ["conv_id"], sequences.escalation_rule("turn", "reason", "mail"))
-    return jobs.run_to_table(out, "escalation").select("conv_id", "turn", "action", "ticket_reason")
+        text.first_email(F.col("message")).alias("mail"), (F.col("asked_at") * 1_000_000).alias("at_us"))
+    rows = rows.withColumn("seen_at", F.timestamp_micros("at_us")).withWatermark("seen_at", "1 day")
+    run = jobs.run_rule(rows, ["conv_id"], sequences.escalation_rule("turn", "reason", "mail"), "at_us", None, "escalation", DAY)
+    return run.table.select("conv_id", "turn", "action", "ticket_reason")
 
 
 _SPOKEN = texts._MARKUP
@@ -92,12 +95,13 @@ _SPOKEN = texts._MARKUP
 def dialogue_stream(spark, sf):
     """Conversations as scripts that arrive turn by turn."""
     turns = jobs.file_stream(spark, sf, "conversations.parquet")
-    pieces = turns.select("conv_id", "turn", F.concat(F.upper("role"), F.lit(": "), "text", F.lit("\n")).alias("piece"))
+    said_at = F.expr(f"({views._MESSAGES['asked_at']}) * 1000000")
+    pieces = turns.select("conv_id", "turn", F.concat(F.upper("role"), F.lit(": "), "text", F.lit("\n")).alias("piece"), said_at.alias("at_us"))
+    pieces = pieces.withColumn("seen_at", F.timestamp_micros("at_us")).withWatermark("seen_at", "1 day")
     roles = ["user", "assistant", "system"]
-    out = stateful(pieces, ["conv_id"], jobs.dialogue_rule("turn", "piece", roles))
-    marks = work_dir(spark, "dialogue-checkpoint")
-    done = jobs.released_turns(jobs.run_to_table(out, "dialogue", marks), ["conv_id"])
-    return jobs.spoken(done.unionByName(jobs.open_turns(spark, marks, ["conv_id"], roles)), ["conv_id"])
+    run = jobs.run_rule(pieces, ["conv_id"], jobs.dialogue_rule("turn", "piece", roles), "at_us", None, "dialogue", DAY)
+    done = jobs.released_turns(run.table, ["conv_id"])
+    return jobs.spoken(done.unionByName(jobs.open_turns(run.states, ["conv_id"], roles)), ["conv_id"])
 
 
 @query("topic_counts_stream", f"""

@@ -9,21 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text
-from tidewell.operators import packing
+from tidewell.operators import packing, skew
 from tidewell.operators.sequences import Rule
-from tidewell.session import ROCKSDB, settings, work_dir
-from tidewell.streaming.processors import stateful, waiting
+from tidewell.session import ROCKSDB, materialise, settings, work_dir
+from tidewell.sources.keyed import KeyedTable
+from tidewell.streaming.processors import BUCKET_SECONDS, state_of, stateful, waiting
 
+FILES_PER_BATCH = 64
 
-def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of a parquet table that is one file or a folder of part files.
 
-    A run takes all that is there in one batch unless ``files_per_batch`` divides it.
-    """
+def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of a parquet table that is one file or a folder of part files, at most ``files_per_batch`` of them at a time."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch or FILES_PER_BATCH)
     return reader.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a glob stands for a file as well as for a folder
 
 
@@ -35,6 +33,7 @@ class Run:
     marks: str
     batches: int
     late: int
+    states: DataFrame | None = None  # of a rule, by key: what it would go on from
 
 
 def run_stream(stream: DataFrame, label: str, marks: str | None = None) -> Run:
@@ -58,28 +57,26 @@ def run_to_table(stream: DataFrame, label: str, marks: str | None = None) -> Dat
 
 
 def run_rule(
-    stream: DataFrame, keys: list[str], rule: Rule, time: str, keep_seconds: int | None, label: str
+    stream: DataFrame, keys: list[str], rule: Rule, time: str, keep_seconds: int | None, label: str, bucket_seconds: int = BUCKET_SECONDS
 ) -> Run:
     """Run a rule in event-time order; rows that still wait for the watermark at the end are added."""
-    run = run_stream(stateful(stream, keys, rule, time, keep_seconds), label)
-    run.table = run.table.unionByName(waiting(stream, rule, run.marks))
+    run = run_stream(stateful(stream, keys, rule, time, keep_seconds, bucket_seconds), label)
+    rest = materialise(waiting(stream, keys, rule, run.marks), f"{label}-waiting")
+    run.table = run.table.unionByName(rest.drop("_state"))
+    after = rest.where("_state is not null").select(*keys, F.col("_state").alias("body"))
+    held = state_of(stream, keys, run.marks, "state").select(*keys, F.col("value.body").alias("body"))
+    run.states = after.unionByName(skew.equal_join(held, after.select(*keys), keys, "left_anti"))
     return run
 
 
-def running_counts(stream: DataFrame, key: str, label: str) -> DataFrame:
-    """Running count per key: each batch upserts its changed keys, the latest batch wins."""
+def running_counts(stream: DataFrame, key: str, label: str, most: int = 16) -> DataFrame:
+    """Running count per key: each batch hands its changed keys to a keyed table, where the latest batch wins."""
     spark = stream.sparkSession
-    out, marks = work_dir(spark, label), work_dir(spark, f"{label}-checkpoint")
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        # a replayed batch overwrites its own folder, so counts stay exact
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
-
-    counts = stream.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
-    counts.writeStream.outputMode("update").option("checkpointLocation", marks).foreachBatch(upsert).trigger(
+    counts, marks = KeyedTable(spark, work_dir(spark, label), [key], most=most), work_dir(spark, f"{label}-checkpoint")
+    changed = stream.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    changed.writeStream.outputMode("update").option("checkpointLocation", marks).foreachBatch(counts.merge).trigger(
         availableNow=True).start().awaitTermination()
-    merged = spark.read.parquet(out)
-    return merged.groupBy(key).agg(F.max_by("count", "batch").alias("count"))
+    return counts.read()
 
 
 def _tag(speakers: list[str]) -> str:
@@ -128,11 +125,10 @@ def released_turns(released: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.col("_t")[2].cast("bigint").alias("turn"), F.col("_t")[0].alias("speaker"), F.col("_t")[1].alias("text"))
 
 
-def open_turns(spark: SparkSession, marks: str, keys: list[str], speakers: list[str]) -> DataFrame:
-    """What the end of a dialogue stream releases: the open turn and the unfinished line, read from its state."""
-    state = spark.read.format("statestore").option("stateVarName", "state").load(marks)
-    body = F.from_json(F.col("value.body"), "state struct<buffer:string,began:bigint,open:array<string>>")
-    rest = state.select(*[F.col(f"key.{k}").alias(k) for k in keys], body["state"].alias("b")).select(*keys, "b.*")
+def open_turns(states: DataFrame, keys: list[str], speakers: list[str]) -> DataFrame:
+    """What the end of a dialogue stream releases: the open turn and the unfinished line, from the states of its rule."""
+    body = F.from_json(F.col("body"), "buffer string, began bigint, open array<string>")
+    rest = states.select(*keys, body.alias("b")).select(*keys, "b.*")
     tag = "(?i)" + _tag(speakers)
     own = F.col("buffer").rlike(tag)
     tail = F.when(own | (F.trim("buffer") == ""), "").otherwise(F.concat(F.lit(" "), "buffer"))

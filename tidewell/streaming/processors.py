@@ -8,10 +8,11 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidewell.operators.sequences import Rule
+from tidewell.operators.sequences import Rule, no_rows
 
 
 def _frame(rows: list, names: list[str]) -> pd.DataFrame:
@@ -35,68 +36,86 @@ def apply_rule(rule: Rule, state: Any, rows: list, names: list[str]) -> tuple[pd
     return frame.assign(**new), after
 
 
+CHUNK_ROWS = 2_000  # waiting rows in one entry of the map
+BUCKET_SECONDS = 3_600
+
+
 class RuleProcessor(StatefulProcessor):
     """Applies a rule to the rows of a key and keeps its state between micro-batches.
 
-    With event time, rows wait until the watermark has passed them and are then taken in time order, whatever batch brought
-    them; rows behind the watermark never come here (Spark counts them).  State goes ``keep_ms`` after the key's last
-    row, or as soon as the rule leaves it empty.  Without event time rows are taken batch by batch, and state
+    With event time, rows wait in a map from (bucket of time, number) to a chunk of rows.  New rows are only ever appended; nothing
+    that waits is read or written again before its time.  When the watermark has passed the end of a bucket, its timer goes off, and
+    the bucket is read, taken in time order, whatever batch brought its rows, and removed: memory holds one bucket of one key.
+    Rows behind the watermark never come here (Spark counts them).  The rule's own state is a value apart; it goes ``keep_ms``
+    after the key's last row, or as soon as the rule leaves it empty.  Without event time rows are taken batch by batch, and state
     goes when the rule leaves it empty.
     """
 
-    def __init__(self, rule: Rule, names: list[str], out: list[str], time: str | None, keep_ms: int | None) -> None:
-        self.rule, self.names, self.out, self.time, self.keep_ms = rule, names, out, time, keep_ms
+    def __init__(self, rule: Rule, names: list[str], out: list[str], time: str | None, keep_ms: int | None, bucket_ms: int) -> None:
+        self.rule, self.names, self.out, self.time = rule, names, out, time
+        self.keep_ms, self.bucket_ms = keep_ms, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "body string")
+        self.state = handle.getValueState("state", "body string, last bigint")
+        if self.time:
+            self.waiting = handle.getMapState("waiting", "bucket bigint, number int", "body string")
+            self.counts = handle.getMapState("counts", "bucket bigint", "chunks int")
 
-    def _load(self) -> dict:
-        return json.loads(self.state.get()[0]) if self.state.exists() else {"state": None, "pending": [], "last": None}
+    def _load(self) -> tuple[Any, int | None]:
+        if not self.state.exists():
+            return None, None
+        body, last = self.state.get()
+        return json.loads(body), last
 
-    def _store(self, held: dict) -> None:
-        """Write the state, or drop it if nothing is in it, and set the timer of the next thing to do."""
-        over = is_empty(held["state"]) and not held["pending"]
-        if over:
+    def _store(self, state: Any, last: int | None) -> None:
+        if is_empty(state):
             self.state.clear()
         else:
-            self.state.update((json.dumps(held, ensure_ascii=False),))
-        if self.time:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if held["pending"]:
-                at = self.names.index(self.time)
-                self.handle.registerTimer(min(r[at] for r in held["pending"]) // 1000 + 1)
-            elif not over and self.keep_ms is not None:
-                self.handle.registerTimer(held["last"] // 1000 + self.keep_ms)
+            self.state.update((json.dumps(state, ensure_ascii=False), last))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self._load()
-        if self.time:
-            for chunk in rows:
-                held["pending"] += _plain(chunk, self.names)
-            self._store(held)
+        if not self.time:
+            state, _ = self._load()
+            fresh = [r for chunk in rows for r in _plain(chunk, self.names)]
+            done, state = apply_rule(self.rule, state, fresh, self.names)
+            self._store(state, None)
+            yield done[self.out]
             return
-        fresh = [r for chunk in rows for r in _plain(chunk, self.names)]
-        done, held["state"] = apply_rule(self.rule, held["state"], fresh, self.names)
-        self._store(held)
-        yield done[self.out]
+        for frame in rows:
+            for bucket, part in frame.groupby(frame[self.time] // (self.bucket_ms * 1000), sort=False):
+                at = (int(bucket),)
+                known = self.counts.getValue(at) if self.counts.containsKey(at) else None
+                number = known[0] if known else 0
+                if not number:
+                    self.handle.registerTimer((int(bucket) + 1) * self.bucket_ms)
+                for start in range(0, len(part), CHUNK_ROWS):
+                    body = json.dumps(_plain(part.iloc[start:start + CHUNK_ROWS], self.names), ensure_ascii=False)
+                    self.waiting.updateValue((int(bucket), number), (body,))
+                    number += 1
+                self.counts.updateValue(at, (number,))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        held, upto = self._load(), timerValues.getCurrentWatermarkInMs()
-        if held["pending"]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        buckets = sorted(k[0] for k in self.counts.keys())
+        due = [b for b in buckets if (b + 1) * self.bucket_ms <= upto]
+        state, last = self._load()
+        for bucket in due:
+            rows: list = []
+            for number in range(self.counts.getValue((bucket,))[0]):
+                rows += json.loads(self.waiting.getValue((bucket, number))[0])
+                self.waiting.removeKey((bucket, number))
+            self.counts.removeKey((bucket,))
+            done, state = apply_rule(self.rule, state, rows, self.names)
             at = self.names.index(self.time)
-            ready = [r for r in held["pending"] if r[at] // 1000 < upto]
-            held["pending"] = [r for r in held["pending"] if r[at] // 1000 >= upto]
-            if ready:
-                done, held["state"] = apply_rule(self.rule, held["state"], ready, self.names)
-                held["last"] = max(r[at] for r in ready)
-                self._store(held)
-                yield done[self.out]
-                return
-        elif self.keep_ms is not None and held["last"] is not None and held["last"] // 1000 + self.keep_ms <= upto:
-            held["state"] = None
-        self._store(held)
+            last = max(r[at] for r in rows)
+            yield done[self.out]
+        idle = len(due) == len(buckets) and self.keep_ms is not None and last is not None
+        if idle and last // 1000 + self.keep_ms <= upto:
+            state = None
+        elif idle and due and not is_empty(state):
+            self.handle.registerTimer(last // 1000 + self.keep_ms)
+        self._store(state, last)
 
     def close(self) -> None:
         pass
@@ -107,29 +126,45 @@ def _columns(stream: DataFrame, rule: Rule) -> tuple[list[str], T.StructType]:
     return [f.name for f in fields], T.StructType(fields + T.StructType.fromDDL(rule.added).fields)
 
 
-def stateful(stream: DataFrame, keys: list[str], rule: Rule, time: str | None = None, keep_seconds: int | None = None) -> DataFrame:
+def stateful(stream: DataFrame, keys: list[str], rule: Rule, time: str | None = None, keep_seconds: int | None = None,
+             bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """A rule over a stream.  With ``time`` (a column of microseconds) the stream needs a watermark on the same moment.
 
-    Queries on it need the RocksDB state store (``jobs.run_stream`` sets it for the query it starts).
+    Rows come out when the watermark has passed their bucket of ``bucket_seconds``: wider buckets take fewer state
+    entries, narrower ones hold less in memory and answer sooner.  Queries on it need the RocksDB state store
+    (``jobs.run_stream`` sets it for the query it starts).
     """
     names, schema = _columns(stream, rule)
     keep_ms = keep_seconds * 1000 if keep_seconds is not None else None
-    processor = RuleProcessor(rule, names, schema.names, time, keep_ms)
+    processor = RuleProcessor(rule, names, schema.names, time, keep_ms, bucket_seconds * 1000)
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append",
         timeMode="EventTime" if time else "none")
 
 
-def waiting(stream: DataFrame, rule: Rule, marks: str) -> DataFrame:
-    """Rows that still wait for the watermark when a stream has stopped, with the rule applied; read from its checkpoint."""
-    names, schema = _columns(stream, rule)
-    state = stream.sparkSession.read.format("statestore").option("stateVarName", "state").load(marks)
+def state_of(stream: DataFrame, keys: list[str], marks: str, name: str) -> DataFrame:
+    """A state variable of a stopped stream, its key as columns."""
+    state = stream.sparkSession.read.format("statestore").option("stateVarName", name).load(marks)
+    return state.select(*[F.col(f"key.{k}").alias(k) for k in keys], *[c for c in state.columns if c not in ("key", "partition_id")])
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for body in batch["body"]:
-                held = json.loads(body)
-                if held["pending"]:
-                    yield apply_rule(rule, held["state"], held["pending"], names)[0][schema.names]
+def waiting(stream: DataFrame, keys: list[str], rule: Rule, marks: str) -> DataFrame:
+    """Rows that still wait for the watermark when a stream has stopped, with the rule applied; read from its checkpoint.
 
-    return state.select("value.body").mapInPandas(run, schema)
+    The last row of a key carries the state after it in ``_state``.  What waits is what the watermark's delay and one
+    bucket hold.
+    """
+    names, schema = _columns(stream, rule)
+    linked = T.StructType([*schema.fields, T.StructField("_state", T.StringType())])
+    rows = state_of(stream, keys, marks, "waiting").select(*keys, F.col("user_map_value.body").alias("body"))
+    state = state_of(stream, keys, marks, "state").select(*keys, F.col("value.body").alias("body"))
+
+    def run(key: tuple, bodies: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if bodies.empty:
+            return no_rows(linked.names)
+        rows = [r for body in bodies["body"] for r in json.loads(body)]
+        done, after = apply_rule(rule, json.loads(held["body"].iloc[0]) if len(held) else None, rows, names)
+        done["_state"] = pd.Series([None] * (len(done) - 1) + [json.dumps(after, ensure_ascii=False)], dtype=object)
+        return done[linked.names]
+
+    return rows.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(run, linked)
