@@ -289,6 +289,84 @@ def lint_python(snippets: DataFrame) -> DataFrame:
     return _explode(df, F.concat(*parts))
 
 
+# What matters to the rules over spans, in order of preference: line break, head of a function, ``with`` at the start of a statement,
+# call, timeout, a list, set or dict as a default, other brackets.
+SPAN_TOKEN = (
+    r"\n|\bdef\s+\w+\s*\(|\bwith\b|[A-Za-z_][\w.]*\s*\(|\btimeout\s*=(?!=)|(?<![=!<>])=\s*[\[{]|[()\[\]{}]")
+SPAN_STATE = (
+    "struct<open:array<struct<kind:string,name:string,line:int,timed:boolean>>,line:int,item:boolean,"
+    "found:array<struct<rule:string,severity:string,line:int,message:string>>>")
+
+
+def _span_findings(logic: Column) -> Column:
+    """Findings about calls and function heads, over as many lines as their brackets span.
+
+    One fold over the brackets: each open bracket remembers what it belongs to, so a keyword is told to its own call, a
+    default to its own function, and ``open`` knows whether it stands as an item of a ``with``.
+    """
+    rules = {r.rule: r for r in PYTHON_LINE_RULES}
+
+    def finding(rule: str, line: Column, word: Column) -> Column:
+        r = rules[rule]
+        return F.array(_finding(r.rule, r.severity, line, _worded(r.message, line, word)))
+
+    def read(s: Column, token: Column) -> Column:
+        opened, line = s["open"], s["line"]
+        top = F.get(opened, F.size(opened) - 1)
+        name = F.trim(F.regexp_extract(token, r"^(?:def\s+)?([\w.]+)\s*\($", 1))
+        last = F.regexp_extract(name, r"(\w+)$", 1)
+        is_def, is_call = token.rlike(r"^def\b"), token.rlike(r"^[A-Za-z_][\w.]*\s*\($")
+        default, opens, closes = token.rlike(r"^=\s*[\[{]$"), token.isin("(", "[", "{"), token.isin(")", "]", "}")
+        kind = F.when(is_def, "def").when(is_call, "call").otherwise("bracket")
+        pushed = F.array_append(opened, F.struct(kind.alias("kind"), name.alias("name"), line.alias("line"), F.lit(False).alias("timed")))
+        told = F.concat(F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0))), F.array(F.struct(
+            top["kind"].alias("kind"), top["name"].alias("name"), top["line"].alias("line"), F.lit(True).alias("timed"))))
+        after = (
+            F.when(is_def | is_call | opens | default, pushed)
+            .when(closes & (F.size(opened) > 0), F.slice(opened, 1, F.greatest(F.size(opened) - 1, F.lit(0))))
+            .when(token.startswith("timeout") & (top["kind"] == "call"), told).otherwise(opened))
+        # an item of a with: nothing is open around it, or only the with's own parentheses
+        bare = (F.size(opened) == 0) | ((F.size(opened) == 1) & (top["kind"] == "bracket"))
+        fresh = (
+            F.when(is_call & last.isin("eval", "exec"), finding("eval", line, last))
+            .when(is_call & (last == "open") & ~(s["item"] & bare), finding("open", line, last))
+            .when(default & (top["kind"] == "def"), finding("mutable-default", line, top["name"]))
+            .when(closes & (top["kind"] == "call") & ~top["timed"] & top["name"].rlike(r"^requests\.(get|post|put|delete|request)$"),
+                  finding("no-timeout", top["line"], F.regexp_extract(top["name"], r"(\w+)$", 1))))
+        return F.struct(
+            after.alias("open"), (line + (token == "\n").cast("int")).alias("line"),
+            F.when(token.rlike("^with$") & (F.size(opened) == 0), True).when((token == "\n") & (F.size(opened) == 0), False).otherwise(s["item"]).alias("item"),
+            F.concat(s["found"], F.coalesce(fresh, F.array().cast(FINDING))).alias("found")).cast(SPAN_STATE)
+
+    start = F.struct(F.array().alias("open"), F.lit(1).alias("line"), F.lit(False).alias("item"), F.array().alias("found")).cast(SPAN_STATE)
+    return F.aggregate(F.regexp_extract_all(logic, F.lit(SPAN_TOKEN), F.lit(0)), start, read, lambda s: s["found"])
+
+
+def _silent_blocks(lines: Column) -> Column:
+    """An except block of which every line that is not blank is ``pass``: the block is what is indented deeper than its head."""
+
+    def at(line: Column, i: Column) -> Column:
+        rest = F.slice(lines, i + 2, F.size(lines))
+        rest = F.filter(rest, lambda x: F.trim(x) != "")
+        first_out = F.array_min(F.transform(rest, lambda x, j: F.when(_indent(x) <= _indent(line), j)))
+        body = F.slice(rest, 1, F.coalesce(first_out, F.size(rest)))
+        silent = (F.size(body) > 0) & F.forall(body, lambda x: F.trim(x) == "pass")
+        fires = F.when(line.rlike(r"^\s*except\b[^:]*:\s*$"), silent).otherwise(line.rlike(r"^\s*except\b[^:]*:\s*pass\s*$"))
+        return F.when(fires, _finding("swallowed", "warning", i + 1, _worded(SWALLOWED, i + 1)))
+
+    return F.filter(F.transform(lines, at), lambda f: f.isNotNull())
+
+
+def lint_python_spans(snippets: DataFrame) -> DataFrame:
+    """Python findings judged over whole calls, function heads and blocks; the rules that need one line only are as they are."""
+    df = _with_logic(snippets)
+    lines = F.col("lines")
+    parts = [_line_rule(r, lines) for r in PYTHON_LINE_RULES if r.rule in ("bare-except", "none-compare")]
+    parts += [_silent_blocks(lines), _span_findings(F.col("logic"))]
+    parts += [_code_rule(r, F.col("code"), F.col("logic")) for r in PYTHON_RULES]
+    return _explode(df, F.concat(*parts))
+
+
 def lint_data_science(snippets: DataFrame) -> DataFrame:
     """Data-science findings; equal messages show once per snippet."""
     df = _with_logic(snippets)

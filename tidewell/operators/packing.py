@@ -147,3 +147,49 @@ def dialogue(c: Column, speakers: list[str]) -> Column:
         ),
     )
     return F.filter(turn, lambda t: t["text"] != "")
+
+
+OPEN, CLOSE = "<think>", "</think>"
+
+
+def think_rule(order: str, piece: str):
+    """Drops reasoning from a text that arrives in pieces, tags split anywhere; adds ``kept`` and ``rest``.
+
+    An automaton reads the pieces: it is inside a block or not, and has seen the first letters of the tag it waits for.  That is
+    the whole state, at most seven letters.  ``kept`` is what a piece lets out.  ``rest`` is what would follow if the
+    text ended there: the letters outside a block that might still become a tag.
+    """
+    from tidewell.operators.sequences import Rule
+
+    def begun(text: str, tag: str) -> int:
+        """How many letters at the end of ``text`` begin the tag."""
+        return next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if tag.startswith(text[-n:])), 0)
+
+    def read(inside: bool, text: str) -> tuple[str, bool, str]:
+        out = []
+        while True:
+            before, tag, after = text.partition(CLOSE if inside else OPEN)
+            if not tag:
+                held = begun(text, CLOSE if inside else OPEN)
+                out += [] if inside else [text[:len(text) - held]]
+                return "".join(out), inside, text[len(text) - held:]
+            out += [] if inside else [before]
+            inside, text = not inside, after
+
+    def run(state, rows):
+        inside, held = state or (False, "")
+        kept, rest = [], []
+        for text in rows[piece].tolist():
+            out, inside, held = read(inside, held + (text or ""))
+            kept.append(out)
+            rest.append("" if inside else held)
+        return {"kept": kept, "rest": rest}, [inside, held] if inside or held else None
+
+    return Rule(run, "kept string, rest string", (order,))
+
+
+def joined(pieces, keys: list[str], order: str):
+    """Whole texts from the result of :func:`think_rule`; one text is one row, so its pieces fit in a row too."""
+    last = F.max_by("rest", order)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(order, "kept"))), lambda x: x["kept"])
+    return pieces.groupBy(*keys).agg(F.concat(F.array_join(parts, ""), last).alias("text"))

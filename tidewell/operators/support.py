@@ -78,12 +78,13 @@ def draft_reply(name: Column, escalated: Column, ticket: Column, title: Column,
 
 
 def turn_topics(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, topic): distinct titles of a turn's hits; 'escalation' when there are none but it escalated.
+    """(conv_id, turn, topic): distinct topics of a turn's hits; 'escalation' when there are none but it escalated.
 
-    ``turns``: conv_id, turn, escalated, titles (array).
+    The topic of a hit is its category, else its title, else 'general'.  ``turns``: conv_id, turn, escalated, sources (array of
+    category and title).
     """
-    topics = F.array_distinct(F.transform("titles", lambda t: F.coalesce(t, F.lit("general"))))
-    topics = F.when(F.size("titles") > 0, topics).when(F.col("escalated"), F.array(F.lit("escalation")))
+    topics = F.array_distinct(F.transform("sources", lambda s: F.coalesce(s["category"], s["title"], F.lit("general"))))
+    topics = F.when(F.size("sources") > 0, topics).when(F.col("escalated"), F.array(F.lit("escalation")))
     return turns.select("conv_id", "turn", F.explode(topics).alias("topic"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import cleaning
+from tidewell.operators import cleaning, estimates
 from tidewell.plans import cleaning as clean_plans
 from tidewell.plans import duck, support, views
 from tidewell.plans.registry import ORACLES, documents, query, table
@@ -134,6 +134,37 @@ def scan_json_text(spark, sf):
     return files.read_json_records(spark, path, multi_line=False).drop(cleaning.ROW)
 
 
+@query("scan_json_array", """
+    select cast(o_orderkey as varchar) as key, o_clerk || '}, {"\\ [' || o_comment as note, cast(o_custkey as varchar) as customer from orders""".replace("o_clerk", "o_orderstatus").replace("o_comment", "o_orderpriority"))
+def scan_json_array(spark, sf):
+    """Files of one JSON array each, nested and with brackets in strings, every file cut by many tasks."""
+    path = work_dir(spark, "arrays")
+    note = F.concat("o_orderstatus", F.lit('}, {"\\ ['), "o_orderpriority").alias("note")
+    rows = table(spark, sf, "orders").select(
+        F.struct(F.col("o_orderkey").alias("key"), note, F.struct(F.col("o_custkey").alias("id"), F.array(F.lit(1), F.lit(2)).alias("list")).alias("customer")).alias("r"),
+        F.floor(F.col("o_orderkey") / 4000).alias("part"))
+    arrays = rows.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    read = files.read_json_array(spark, path, "key string, note string, customer struct<id: string>")
+    return read.select("key", "note", F.col("customer.id").alias("customer"))
+
+
+@query("unique_estimates", """
+    select 'user_id' as "column", count(distinct user_id) as exact, true as close, 0 as again from events
+    union all select 'event_id', count(distinct event_id), true, 0 from events
+    union all select 'value', count(distinct value), true, 0 from events""")
+def unique_estimates(spark, sf):
+    """Distinct counts from sketches per file within 3% of the exact ones; a second run has no file to read."""
+    columns, held = ["user_id", "event_id", "value"], work_dir(spark, "sketches")
+    source = f"{sf}/events.parquet"
+    estimates.update_sketches(spark, source, held, columns)
+    again = estimates.update_sketches(spark, source, held, columns)
+    exact = table(spark, sf, "events").agg(*[F.count_distinct(c).alias(c) for c in columns])
+    exact = exact.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*map(F.col, columns)))).alias("column", "exact"))
+    close = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))
+    return exact.join(estimates.estimates(spark, source, held), "column").select("column", "exact", close.alias("close"), F.lit(again).alias("again"))
+
+
 @query("scan_guard", r"""
     with f as (select page_id, 'page.' || case page_id % 4 when 0 then 'csv' when 1 then 'json' when 2 then 'exe' else 'CSV' end as name,
                       case when page_id % 5 = 0 then 0 else length(html) * 1000 end as size from pages)
@@ -161,8 +192,7 @@ def kb_markdown_scan(spark, sf):
     docs = documents(spark, sf)
     note = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n# Note "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
     docs.select(note.alias("value")).write.option("maxRecordsPerFile", 50).text(path)
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return files.markdown_chunks(whole).select("title", F.md5("text").alias("text_md5"))
+    return files.read_markdown(spark, path, pattern="*.txt").select("title", F.md5("text").alias("text_md5"))
 
 
 @query("sink_csv_decimals", ORACLES["clean_customers"].rsplit(" select row_id,", 1)[0]

@@ -149,6 +149,28 @@ def lint_python_lines(spark, sf):
     return lint.lint_python(snippets(spark, sf).where("language in ('python', 'datascience')"))
 
 
+# Snippets over several lines and what they must give: (code, [(rule, line)])
+SPANS = [
+    ("import requests\nreply = requests.get(\n    address,\n    timeout=10,\n)\n", []),
+    ("reply = requests.post(\n    address,\n    json=build(timeout=3),\n)\n", [("no-timeout", 1)]),
+    ("def keep(\n    item,\n    basket=[],\n    *,\n    seen={},\n):\n    return basket\n", [("mutable-default", 3), ("mutable-default", 5)]),
+    ("with (\n    open(a) as f,\n    open(b) as g,\n):\n    f.read()\nh = open(\n    c)\n", [("open", 6)]),
+    ("try:\n    go()\nexcept OSError:\n    pass\n\n    pass\nexcept KeyError:\n    pass\n    log()\n", [("swallowed", 3)]),
+    ("size = max(\n    eval(a),\n    exec(b) if x == None else 0)\n", [("eval", 2), ("eval", 3), ("none-compare", 3)]),
+    ("def tidy(a, b=(1, 2), c=None):\n    return [x for x in a if x is not None], {'open(': 'eval('}\n", []),
+]
+_SPANS = ", ".join(f"({i}, {duck.lit(rule)}, {line})" for i, (_, found) in enumerate(SPANS) for rule, line in found)
+
+
+@query("lint_python_spans", f"""
+    select p_partkey as snippet_id, rule, line::integer as line from part join (values {_SPANS}) e(kind, rule, line) on p_partkey % {len(SPANS)} = kind""")
+def lint_python_spans(spark, sf):
+    """Calls, function heads and blocks over several lines."""
+    code = F.element_at(F.array(*[F.lit(c) for c, _ in SPANS]), (F.col("p_partkey") % len(SPANS) + 1).cast("int"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("snippet_id"), F.lit("python").alias("language"), code.alias("code"))
+    return lint.lint_python_spans(rows).select("snippet_id", "rule", "line")
+
+
 @query("lint_datascience", f"with {_CODE} {_DATA}")
 def lint_datascience(spark, sf):
     return lint.lint_data_science(snippets(spark, sf).where("language = 'datascience'"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, values
-from tidewell.operators import sequences, support
+from tidewell.operators import packing, sequences, support
 from tidewell.plans import duck, requests, texts, views
 from tidewell.plans import support as desk
 from tidewell.plans.registry import ORACLES, query
@@ -104,6 +104,17 @@ def dialogue_stream(spark, sf):
     return jobs.spoken(done.unionByName(jobs.open_turns(run.states, ["conv_id"], roles)), ["conv_id"])
 
 
+@query("strip_think_stream", texts._SHOWN)
+def strip_think_stream(spark, sf):
+    """Pieces of answers as a stream; the filter's state is carried from batch to batch."""
+    answers = jobs.file_stream(spark, sf, "documents.parquet").selectExpr("doc_id", f"{views._THINKING} as answer")
+    pieces = texts._cut(answers).withColumn("n", F.coalesce("n", F.lit(0)))
+    pieces = pieces.withColumn("at_us", (F.lit(1_704_067_200) + F.col("n") % 86_400) * 1_000_000)
+    pieces = pieces.withColumn("seen_at", F.timestamp_micros("at_us")).withWatermark("seen_at", "1 day")
+    run = jobs.run_rule(pieces, ["doc_id"], packing.think_rule("n", "piece"), "at_us", None, "think", DAY)
+    return packing.joined(run.table, ["doc_id"], "n").select("doc_id", F.md5("text").alias("shown_md5"))
+
+
 @query("topic_counts_stream", f"""
     select reason as topic, count(*) as count from (select {desk._reason_sql()} as reason from ({views.MESSAGES})) where reason is not null group by 1""")
 def topic_counts_stream(spark, sf):

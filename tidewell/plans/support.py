@@ -11,7 +11,9 @@ from tidewell.operators import packing, search, sequences, skew, support
 from tidewell.plans import duck, views
 from tidewell.plans.registry import documents, query, table
 from tidewell.plans.texts import CHUNKS
-from tidewell.session import materialise
+from tidewell.session import materialise, work_dir
+from tidewell.sources import store
+from tidewell.sources.keyed import KeyedTable
 
 # --- retrieval ------------------------------------------------------------------
 
@@ -394,7 +396,8 @@ _HITS = _scored(_ASKED, views.KB)
 _TOPIC_ROWS = f"""
     {_TICKETS}, {_HITS},
     kept as (select * from hits where rank <= 3 and score >= 1.5),
-    topics as (select distinct m.conv_id, m.turn, k.title as topic from m join kept k using (query_id)
+    topics as (select distinct m.conv_id, m.turn, coalesce(b.category, k.title) as topic from m join kept k using (query_id)
+               join ({views.KB}) b using (doc_id)
                union all
                select conv_id, turn, 'escalation' from flow where action = 'ticket'
                and {_QUERY_ID} not in (select query_id from kept))"""
@@ -408,12 +411,16 @@ def _hits(spark, sf):
 
 
 def _turn_topics(spark, sf, flow=None, hits=None):
-    # at most three hits per turn, so the list is short
-    order = F.transform(F.sort_array(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"])
-    titles = (hits or _hits(spark, sf)).groupBy("conv_id", "turn").agg(order.alias("titles"))
+    # at most three hits per turn, so the lists are short
+    found = (hits or _hits(spark, sf)).join(views.kb(spark, sf).select("doc_id", "category"), "doc_id")
+    order = F.sort_array(F.collect_list(F.struct("rank", "title", "category")))
+    titles = found.groupBy("conv_id", "turn").agg(
+        F.transform(order, lambda x: x["title"]).alias("titles"),
+        F.transform(order, lambda x: F.struct(x["category"].alias("category"), x["title"].alias("title"))).alias("sources"))
     turns = (flow or _flow(spark, sf)).select("conv_id", "turn", (F.col("action") == "ticket").alias("escalated"))
     turns = turns.join(titles, ["conv_id", "turn"], "left")
-    return turns.withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+    return turns.withColumn("titles", F.coalesce("titles", F.array().cast("array<string>"))).withColumn(
+        "sources", F.coalesce("sources", F.array().cast("array<struct<category:string,title:string>>")))
 
 
 @query("turn_topics", f"with recursive {_TOPIC_ROWS} select conv_id, turn, topic from topics")
@@ -436,6 +443,44 @@ def topic_edges(spark, sf):
     return asked.select("conv_id", F.lit("ASKED_ABOUT").alias("edge"), F.col("topic").alias("target")).unionByName(made.distinct())
 
 
+@query("topic_edges_merged", f"""with recursive {_TOPIC_ROWS} select distinct conv_id, topic from topics""")
+def topic_edges_merged(spark, sf):
+    """Edges kept up to date by batches of conversations: what a rebuild gives, in a table that is only ever merged into."""
+    edges = materialise(support.topic_edges(support.turn_topics(_turn_topics(spark, sf))).withColumn("seen", F.lit(1)), "edges")
+    kept = KeyedTable(spark, work_dir(spark, "topic-edges"), ["conv_id", "topic"], most=3)
+    for number in range(5):
+        kept.merge(edges.where(F.pmod(F.col("conv_id"), F.lit(5)) <= number), number)  # later batches bring old edges again
+    return kept.read().select("conv_id", "topic")
+
+
+@query("vector_topk_approx", """
+    select 'recall' as measure, true as reached union all select 'scores', true union all select 'share', true""")
+def vector_topk_approx(spark, sf):
+    """The approximate search beside the exact one: recall of at least 0.9, equal scores, and few pairs looked at."""
+    e = table(spark, sf, "embeddings")
+    queries = e.select(F.col("label").alias("tenant"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    corpus = e.select(F.col("label").alias("tenant"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    exact = search.vector_search(queries, corpus, k=5, least=0.4).select("query_id", "doc_id", F.col("score").alias("exact"))
+    near = search.vector_search_approx(queries, corpus, k=5, least=0.4).select("query_id", "doc_id", "score")
+    both = exact.join(near, ["query_id", "doc_id"], "left")
+    told = both.agg(
+        (F.coalesce(F.avg(F.col("score").isNotNull().cast("int")), F.lit(1.0)) >= 0.9).alias("recall"),
+        F.coalesce(F.max(F.abs(F.col("score") - F.col("exact"))) < 1e-9, F.lit(True)).alias("scores"), F.lit(search.PROBES <= 0.125).alias("share"))
+    return told.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, told.columns)), F.array(*map(F.col, told.columns)))).alias("measure", "reached"))
+
+
+@query("tenant_chunks", f"""
+    select company_id, count(*) as chunks, sum(length(chunk))::bigint as characters from ({_CHUNK_ROWS})
+    where company_id in (select distinct source from documents where doc_id % 97 = 5) group by 1""")
+def tenant_chunks(spark, sf):
+    """Chunks in a store by tenant; only the folders of the tenants asked for are read."""
+    path = work_dir(spark, "tenants")
+    store.write_tenants(_chunks(spark, sf).select("id", "company_id", "chunk"), path, "company_id")
+    asked = table(spark, sf, "documents").where("doc_id % 97 = 5").select(F.col("source").alias("company_id"))
+    found = store.read_tenants(spark, path, asked, "company_id")
+    return found.groupBy("company_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("characters"))
+
+
 @query("top_topics", f"with recursive {_TOPIC_ROWS} select topic, count(*) as count from topics group by 1 order by 2 desc, 1 limit 10")
 def top_topics(spark, sf):
     return support.top_topics(support.topic_counts(support.turn_topics(_turn_topics(spark, sf))), 10)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell import fixed
 from tidewell.functions import text
-from tidewell.operators import packing
+from tidewell.operators import packing, sequences
 from tidewell.plans import duck, views
 from tidewell.plans.registry import documents, query, table
 
@@ -143,6 +143,25 @@ def strip_think(spark, sf):
     return views.thinking(spark, sf).select("doc_id", F.md5(text.strip_reasoning(F.col("answer"))).alias("shown_md5"))
 
 
+_SHOWN = f"""
+    select doc_id, md5(coalesce({duck.sub('answer', '(?s)<think>.*?(</think>|' + chr(92) + 'z)')}, '')) as shown_md5 from ({views.THINKING})"""
+
+
+def _cut(answers):
+    """Answers in pieces of 5 to 64 characters."""
+    size = F.lit(5) + F.col("doc_id") % 60
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("answer") - 1), size)
+    pieces = F.transform(starts, lambda at: F.substring(F.col("answer"), at + 1, size))
+    return answers.select("doc_id", F.posexplode_outer(pieces).alias("n", "piece"))
+
+
+@query("strip_think_pieces", _SHOWN)
+def strip_think_pieces(spark, sf):
+    """Answers that arrive in pieces, tags cut anywhere, give what whole answers give."""
+    kept = sequences.sequential(_cut(views.thinking(spark, sf)), ["doc_id"], packing.think_rule("n", "piece"))
+    return packing.joined(kept, ["doc_id"], "n").select("doc_id", F.md5("text").alias("shown_md5"))
+
+
 @query("slugify", """
     with s as (select doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) as s
                from documents)

@@ -99,12 +99,14 @@ def clients(spark: SparkSession, sf: str) -> DataFrame:
 
 KB = r"""
     select doc_id, array_to_string(list_slice(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 6), ' ') as title,
-           text, source as company_id from documents"""
+           text, source as company_id, case when doc_id % 3 = 0 then 'about ' || lang end as category from documents"""
 
 
 def kb(spark: SparkSession, sf: str) -> DataFrame:
     first = F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " ", -1), 1, 6), " ")
-    return documents(spark, sf).select("doc_id", first.alias("title"), "text", F.col("source").alias("company_id"))
+    category = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("about "), "lang"))
+    return documents(spark, sf).select(
+        "doc_id", first.alias("title"), "text", F.col("source").alias("company_id"), category.alias("category"))
 
 
 _SERIES = {

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text
 from tidewell.operators import packing
 from tidewell.operators.cleaning import ROW, text_frame
+from tidewell.session import materialise, work_dir
 
 # fixed values: what uploads may be
 EXTENSIONS = ["csv", "json"]
@@ -206,6 +207,61 @@ def read_json_records(spark: SparkSession, path: str, multi_line: bool = True) -
     return with_row_numbers(df)
 
 
+def array_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``record`` (0, 1, ...) and ``value`` (its text) of the objects in files that hold one JSON array each.
+
+    A file of any size is read by many tasks: Spark cuts it at closing braces.  Whether such a piece begins inside a string depends
+    on the quotes before it, and whether its brace ends a record on the brackets before it: both are sums over the pieces, added
+    up inside every split and then over the splits.  The array's own bracket is depth one.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    bare = F.regexp_replace("value", r"\\.", "")  # without escaped signs
+    marks = F.regexp_replace(bare, r'[^"\[\]{}]', "")
+    # outside and inside of strings take turns at every quote; the two sums are for either way to begin
+    turns = F.split(marks, '"', -1)
+    depth = lambda c: F.regexp_count(c, F.lit(r"[\[{]")) - F.regexp_count(c, F.lit(r"[\]}]"))
+    total = lambda odd: F.aggregate(F.filter(turns, lambda x, i: i % 2 == odd), F.lit(0), lambda a, x: a + depth(x))
+    pieces = pieces.select("file", "split", "at", "value", (F.size(turns) - 1).alias("quotes"), total(0).alias("even"), total(1).alias("odd"))
+    pieces = materialise(pieces, "array-pieces")
+
+    inner = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+
+    def running(df: DataFrame, column: str, name: str) -> DataFrame:
+        """Sum of a column up to and with each piece of the file; one row per split carries it over the splits."""
+        sums = df.groupBy("file", "split").agg(F.sum(column).alias("_sum"))
+        sums = sums.select("file", "split", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+        return df.withColumn(name, F.sum(column).over(inner)).join(sums, ["file", "split"]).withColumn(
+            name, F.col(name) + F.col("_before")).drop("_before")
+
+    pieces = running(pieces, "quotes", "seen")
+    begins_inside = (F.col("seen") - F.col("quotes")) % 2 == 1
+    outside_end = F.col("seen") % 2 == 0
+    step = F.when(begins_inside, F.col("odd")).otherwise(F.col("even")) - outside_end.cast("int")
+    pieces = running(pieces.withColumn("step", step), "step", "depth")
+    pieces = pieces.withColumn("ends", (outside_end & (F.col("depth") == 1)).cast("int"))
+    pieces = running(pieces, "ends", "done").withColumn("record", F.col("done") - F.col("ends"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "at", "value"))), lambda x: x["value"]), "}")
+    records = pieces.groupBy("file", "record").agg(whole.alias("value"), F.max("ends").alias("ends")).where("ends = 1")
+    return records.select("file", "record", F.concat(F.regexp_replace("value", r"^[\s\[,\ufeff]+", ""), F.lit("}")).alias("value"))
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Text frame of files with one JSON array of records each, every file read by many tasks; columns are found when not given."""
+    records = materialise(array_records(spark, path), "array-records")
+    if schema is None:
+        lines = work_dir(spark, "array-lines")  # a line break can only stand between the parts of a record
+        records.select(F.translate("value", "\r\n", "  ").alias("value")).write.text(lines)
+        schema = spark.read.option("primitivesAsString", True).json(lines).schema
+    sizes = records.groupBy("file").agg(F.max("record").alias("n"))
+    sizes = sizes.select("file", F.coalesce(F.sum(F.col("n") + 1).over(
+        Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))  # a row per file
+    rows = records.join(sizes, "file").select((F.col("record") + F.col("_offset")).alias(ROW), F.from_json("value", schema).alias("r"))
+    return rows.select(ROW, "r.*")
+
+
 def read_json_columns(spark: SparkSession, path: str) -> DataFrame:
     """Text frame of column-oriented JSON: {column: {row: value}}."""
     whole = spark.read.text(path, wholetext=True)
@@ -234,13 +290,13 @@ def read_knowledge_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("title string, text string").option("multiLine", True).json(path)
 
 
-def read_markdown(spark: SparkSession, folder: str, size: int = 800, overlap: int = 100) -> DataFrame:
+def read_markdown(spark: SparkSession, folder: str, size: int = 800, overlap: int = 100, pattern: str = "*.md") -> DataFrame:
     """Chunks of all Markdown files below a folder: title, text, path.
 
     The title is the first top heading of the chunk, else the file name with spaces for hyphens; front matter and top
     headings leave the text; empty chunks go.
     """
-    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return markdown_chunks(whole, size, overlap)
 
 
