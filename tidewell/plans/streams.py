@@ -109,7 +109,7 @@ def strip_think_stream(spark, sf):
     """Pieces of answers as a stream; the filter's state is carried from batch to batch."""
     answers = jobs.file_stream(spark, sf, "documents.parquet").selectExpr("doc_id", f"{views._THINKING} as answer")
     pieces = texts._cut(answers).withColumn("n", F.coalesce("n", F.lit(0)))
-    pieces = pieces.withColumn("at_us", (F.lit(1_704_067_200) + F.col("n") % 86_400) * 1_000_000)
+    pieces = pieces.withColumn("at_us", (F.lit(1_704_067_200).cast("bigint") + F.col("n") % 86_400) * 1_000_000)
     pieces = pieces.withColumn("seen_at", F.timestamp_micros("at_us")).withWatermark("seen_at", "1 day")
     run = jobs.run_rule(pieces, ["doc_id"], packing.think_rule("n", "piece"), "at_us", None, "think", DAY)
     return packing.joined(run.table, ["doc_id"], "n").select("doc_id", F.md5("text").alias("shown_md5"))
