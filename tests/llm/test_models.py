@@ -160,6 +160,17 @@ def test_nearest(spark):
     assert [v for v, _ in lists[500]] == list(range(501, 511))
 
 
+def test_few_vectors_are_verified_on_vectors_without_clusters():
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((4_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    index, asked = nearest.Index(vectors), np.arange(0, 4_000, 100)
+    found = index.search(vectors[asked], asked, 10)
+    hits = sum(len(set(places.tolist()) & {v for v, _ in exact(vectors, np.arange(4_000), q)}) for q, (places, _) in zip(asked, found))
+    assert hits / 400 >= 0.9
+    assert index.verified <= len(asked) * (10 + nearest.SHARE * 4_000 + 1)
+
+
 def test_nearest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]),

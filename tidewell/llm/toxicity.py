@@ -3,7 +3,7 @@
 Input of a step: an embedding of the word (hashed) beside the mean embedding of its character sequences of 3 to 5 bytes (hashed,
 ends of the word included), so unseen words of a known stem are understood.  Two GRUs read a window in both directions, attention
 pools their states, a logistic unit scores the window.  A text's score is the highest score of all its overlapping windows
-of ``WINDOW`` words, ``STEP`` apart.  The same word has the same input anywhere, so inputs are computed once per distinct word
+of ``WINDOW`` words, one at every word (``STEP`` apart).  The same word has the same input anywhere, so inputs are computed once per distinct word
 of a chunk of text, and windows run through the network in batches.
 
 Training uses at most ``SAMPLE`` toxic and twice as many other labelled rows that have a text with words, chosen by a hash of
@@ -13,7 +13,8 @@ windows, later ones the highest window of a toxic text and the highest and some
 The fitted network (under 4 MB) is broadcast; every text is scored whole on the executors.
 
 Defined results: a null or empty text, or one without letters and digits, scores 0; null labels do not train; without labels of
-both kinds every score is 0; a null id counts as not held out; repeated rows give a row each; an empty table gives none.
+both kinds every score is 0; a null id counts as not held out; repeated rows give a row each; an id with several labels or texts
+trains with its smallest label and, for that, its smallest text; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import fold, map_rows, share, shared, small_batches, written
 from tidewell.llm.words import WordHasher, mix, series
 
-WINDOW, STEP = 20, 10
+WINDOW, STEP = 5, 1
 WORD_ROWS, WORD_SIZE = 1 << 14, 6
 GRAM_ROWS, GRAM_SIZE, GRAMS = 1 << 15, 14, (3, 4, 5)
 STATE = 8
@@ -182,6 +183,53 @@ class Network:
         logits = pooled @ p["out"] + p["bias"][0]
         return (logits, (mask, states, kept, weight, pooled)) if keep else logits
 
+    def prepared(self, projected: dict) -> dict:
+        """Per way: what :meth:`logits` needs of every distinct word, its state as the first word of a window, and u.
+
+        Gates are stored at half their size, as a sigmoid is half a tanh of the half.
+        """
+        out = {}
+        for way in "fb":
+            x, u = projected[way].copy(), self.dense[f"u{way}"].copy()
+            x[:, :2 * STATE] *= 0.5
+            u[:, :2 * STATE] *= 0.5
+            n = np.tanh(x[:, 2 * STATE:])
+            out[way] = x, n - (0.5 + 0.5 * np.tanh(x[:, :STATE])) * n, u
+        return out
+
+    def logits(self, places: np.ndarray, prepared: dict) -> np.ndarray:
+        """What :meth:`run` gives for windows without a gap at their end; the first step is looked up by word."""
+        count, length = places.shape
+        states = np.empty((length, count, 2 * STATE), np.float32)
+        for way, order in (("f", range(length)), ("b", range(length - 1, -1, -1))):
+            part = slice(0, STATE) if way == "f" else slice(STATE, 2 * STATE)
+            x, begin, u = prepared[way]
+            h = None
+            for t in order:
+                word = places[:, t]
+                if h is None:
+                    h = begin[word]
+                else:
+                    own = x[word]
+                    g = h @ u
+                    gates = g[:, :2 * STATE]
+                    gates += own[:, :2 * STATE]
+                    np.tanh(gates, out=gates)
+                    gates *= 0.5
+                    gates += 0.5
+                    n = gates[:, STATE:] * g[:, 2 * STATE:]
+                    n += own[:, 2 * STATE:]
+                    np.tanh(n, out=n)
+                    h -= n
+                    h *= gates[:, :STATE]
+                    h += n
+                states[t, :, part] = h
+        energy = states @ self.dense["attend"]
+        energy -= energy.max(axis=0)
+        weight = np.exp(energy, out=energy)
+        votes = states @ self.dense["out"]
+        return (weight * votes).sum(axis=0) / weight.sum(axis=0) + self.dense["bias"][0]
+
     def projected(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
         return {way: inputs @ self.dense[f"w{way}"] + self.dense[f"c{way}"] for way in "fb"}
 
@@ -220,12 +268,17 @@ class Network:
 
 
 def score_windows(net: Network, number: np.ndarray, first: np.ndarray, sizes: np.ndarray, projected: dict) -> np.ndarray:
-    logits = np.empty(len(first), np.float32)
-    for at in range(0, len(first), BATCH):
-        f, s = first[at:at + BATCH], sizes[at:at + BATCH]
-        places = number[np.minimum(f[:, None] + np.arange(WINDOW), len(number) - 1)]
-        logits[at:at + BATCH] = net.run(places, s, projected)
-    return logits
+    out = np.empty(len(first), np.float32)
+    prepared = net.prepared(projected)
+    whole, short = np.flatnonzero(sizes == WINDOW), np.flatnonzero(sizes < WINDOW)
+    inner = np.arange(WINDOW)
+    for at in range(0, len(whole), BATCH):
+        w = whole[at:at + BATCH]
+        out[w] = net.logits(number[first[w][:, None] + inner], prepared)
+    for at in range(0, len(short), BATCH):  # the only windows of short texts
+        w = short[at:at + BATCH]
+        out[w] = net.run(number[np.minimum(first[w][:, None] + inner, len(number) - 1)], sizes[w], projected)
+    return out
 
 
 def drawn(text: bytes, limit: int, seed: int = 0) -> list[bytes]:
@@ -360,7 +413,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     known = written(known.join(rows.select("_id"), "_id", "left_semi"), "labelled").withColumn("_order", F.xxhash64("_id"))
     pick = lambda value, count: known.where(F.col("_label") == value).orderBy("_order", "_id").limit(count)
     chosen = pick(1, sample).unionByName(pick(0, 2 * sample)).select("_id", "_label")  # 3 * sample rows at most
-    found = rows.join(F.broadcast(chosen), "_id").select("_id", "_label", F.xxhash64("_id").alias("_seed"), "_text")
+    found = rows.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("_label", "_text")).alias("r"))
+    found = found.select("_id", "r._label", F.xxhash64("_id").alias("_seed"), "r._text")
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         for id_, label_, seed, body in rows:
@@ -368,7 +422,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
 
     id_type, label_type = (found.schema[c].dataType.simpleString() for c in ("_id", "_label"))
     with small_batches(docs.sparkSession):
-        found = map_rows(found, f"_id {id_type}, _label {label_type}, _parts array<binary>", cut).dropDuplicates(["_id"]).collect()
+        found = map_rows(found, f"_id {id_type}, _label {label_type}, _parts array<binary>", cut).collect()
     found.sort(key=lambda r: r["_id"])
     owner = np.repeat(np.arange(len(found)), [len(r["_parts"]) for r in found])
     return train([bytes(t) for r in found for t in r["_parts"]], np.array([r["_label"] for r in found], np.int64), owner=owner)
