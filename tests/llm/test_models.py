@@ -29,6 +29,7 @@ class SlowTree:
         self.rare_distinct = len(self.count) - (None in self.count) - len(self.frequent)
         self.kept, self.next, self.total = set(), {}, {}
         candidates = {(w,) for w in self.frequent}
+        self.in_head = set()
         for depth in range(1, s.DEPTH + 1):
             found = defaultdict(Counter)
             for t in texts:
@@ -37,6 +38,7 @@ class SlowTree:
                     if tuple(w[i - depth:i]) in candidates:
                         found[tuple(w[i - depth:i])][w[i]] += 1
             longer, kept = set(), set()
+            self.in_head |= candidates
             for context, after in found.items():
                 self.total[context] = sum(after.values())
                 self.next[context] = {k: c for k, c in after.items() if c >= s.ENTRY * self.n}
@@ -53,6 +55,52 @@ class SlowTree:
                     kept.add(context)
             self.kept |= {c[i:] for c in kept for i in range(len(c))}
             candidates = longer
+        self.grow_tail(texts)
+
+    def grow_tail(self, texts):
+        s = suffix_tree
+        self.numbered = {w for w, c in self.count.items() if w is not None and c >= s.HEAD * self.n}
+        self.tail, self.after = set(), defaultdict(Counter)
+        for t in texts:
+            words = [*split(t), None]
+            for i, w in enumerate(words):
+                for context in self.contexts(words, i):
+                    if context not in self.in_head:
+                        self.after[context][self.word(w)] += 1
+        for context in sorted(self.after, key=len):
+            after, total = self.after[context], sum(self.after[context].values())
+            left_out = {w: (c - 1) / self.word_chance(context[1:], w) + s.PRIOR for w, c in after.items()}
+            gain = sum(c * math.log(left_out[w] / (total - 1 + s.PRIOR)) for w, c in after.items())
+            if total >= s.LEAST and gain >= s.GAIN:
+                self.tail.add(context)
+        self.tail |= {c[i:] for c in self.tail for i in range(len(c)) if c[i:] not in self.in_head}
+
+    def contexts(self, words, i):
+        """Contexts of numbered words that end before word i, shortest first."""
+        for d in range(1, suffix_tree.DEPTH + 1):
+            if d > i or words[i - d] not in self.numbered:
+                return
+            yield tuple(words[i - d:i])
+
+    def word(self, w):
+        return w if w is None or w in self.numbered else "<other>"
+
+    def share(self, w):
+        scale = self.rare_total + 0.5 * (self.rare_distinct + 1)
+        mine = [x for x in self.numbered if x not in self.frequent]
+        if w == "<other>":
+            return 1 - sum((self.count[x] + 0.5) / scale for x in mine)
+        return (self.count[w] + 0.5) / scale if w in mine else 1.0
+
+    def word_chance(self, context, w):
+        """Chance of a word of the head, the end or the class of the other words in its longest suffix state."""
+        symbol = "<rare>" if w == "<other>" else self.symbol(w)
+        p = self.chance(context, symbol) * self.share(w)
+        for i in range(len(context) - 1, -1, -1):
+            if context[i:] in self.tail:
+                after = self.after[context[i:]]
+                p = (after.get(w, 0) + suffix_tree.PRIOR * p) / (sum(after.values()) + suffix_tree.PRIOR)
+        return p
 
     def symbol(self, w):
         return "<end>" if w is None else w if w in self.frequent else "<rare>"
@@ -68,15 +116,13 @@ class SlowTree:
         return p
 
     def score(self, text):
-        words = [*split(text), None]
-        symbols, total = [self.symbol(w) for w in words], 0.0
-        for i, k in enumerate(symbols):
-            start = i
-            while start > 0 and i - start < suffix_tree.DEPTH and symbols[start - 1] in self.frequent:
-                start -= 1
-            total += math.log10(self.chance(tuple(symbols[start:i]), k))
-            if k == "<rare>":
-                total += math.log10((self.count[words[i]] + 0.5) / (self.rare_total + 0.5 * (self.rare_distinct + 1)))
+        words, total = [*split(text), None], 0.0
+        scale = self.rare_total + 0.5 * (self.rare_distinct + 1)
+        for i, k in enumerate(words):
+            context, w = max(self.contexts(words, i), key=len, default=()), self.word(k)
+            total += math.log10(self.word_chance(context, w))
+            if w == "<other>":
+                total += math.log10((self.count[k] + 0.5) / scale / self.share(w))
         return total
 
     def base(self, text):
@@ -96,20 +142,24 @@ def chain(seed, count):
     return out
 
 
-@pytest.mark.parametrize("limits", [(1e-6, 2e-4, 2e-6), (0.004, 0.02, 0.004)])
+@pytest.mark.parametrize("limits", [(1e-6, 2e-4, 2e-6, 2_000_000), (0.004, 0.02, 0.004, 700), (1e-3, 0.05, 1e-3, 700), (1e-6, 2.0, 1e-6, 100)])
 def test_suffix_tree(docs, monkeypatch, limits):
-    for name, value in zip(("HEAD", "SYMBOL", "ENTRY"), limits):
+    monkeypatch.setattr(suffix_tree, "HELD_TOKENS", 300)
+    for name, value in zip(("HEAD", "SYMBOL", "ENTRY", "SHARD"), limits):
         monkeypatch.setattr(suffix_tree, name, value)
     texts = ["", None, "  ", "unseen words Only"] + chain(4, 250) + ["w1 w2 w1"] * 2
     got = suffix_tree.score(docs(texts)).orderBy("doc_id").collect()
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     slow = SlowTree([t for t, h in zip(texts, held) if not h])
-    assert len(slow.kept) > 8 and max(map(len, slow.kept)) >= 2
+    if limits[1] < 0.05:
+        assert len(slow.kept) > 8 and max(map(len, slow.kept)) >= 2
+    if limits[1] > 0.01:
+        assert len(slow.tail) > 20 and 3 in set(map(len, slow.tail))
     for r, text, h in zip(got, texts, held):
         words = [*split(text), None]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(words), sum(w in slow.count for w in words), slow.n)
         assert math.isclose(r.base_score, slow.base(text), rel_tol=1e-9)
-        assert math.isclose(r.score, slow.score(text), rel_tol=1e-9), text
+        assert math.isclose(r.score, slow.score(text), rel_tol=1e-6), text
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.05 * sum(r.n_tokens for r in out)
 
@@ -118,6 +168,29 @@ def test_distributions_sum_to_one(docs):
     slow = SlowTree(chain(5, 100))
     symbols = [*slow.frequent, "<rare>", "<end>"]
     assert all(math.isclose(sum(slow.chance(c, k) for k in symbols), 1) for c in slow.kept)
+    words = [*slow.numbered, "<other>", None]
+    assert all(math.isclose(sum(slow.word_chance(c, w) for w in words), 1) for c in slow.tail)
+
+
+def test_tail_of_the_tree_grows_with_the_corpus(docs, monkeypatch):
+    """Held-out texts gain more per token over single words when there is more to learn from; a text seen twice scores apart from its words."""
+    monkeypatch.setattr(suffix_tree, "SYMBOL", 0.2)  # all but a few contexts are in the tail
+    rng, texts = random.Random(3), []
+    for _ in range(600):
+        a, b, words = 0, 1, []
+        for _ in range(40):
+            a, b = b, (7 * a + 11 * b + 3) % 40 if rng.random() < 0.9 else rng.randrange(40)
+            words.append(f"v{b}")
+        texts.append(" ".join(words))
+    few, many = suffix_tree.score(docs(texts[:75])).collect(), suffix_tree.score(docs(texts)).where("doc_id < 75").collect()
+    per_token = [sum(r.score - r.base_score for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out) for rows in (few, many)]
+    assert per_token[1] > per_token[0] + 0.01
+    words = [f"u{rng.randrange(3000)}" for _ in range(9000)]
+    plain = [" ".join(words[i:i + 30]) for i in range(0, 9000, 30)]
+    rows = suffix_tree.score(docs([*plain, plain[5]])).where("not held_out").collect()
+    gain = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in rows}
+    twice = [gain.pop(i) for i in (5, 300) if i in gain]
+    assert len(twice) == 2 and min(twice) > max(gain.values()) + 0.3
 
 
 def test_suffix_tree_edges(spark, docs):
