@@ -48,11 +48,11 @@ DIVERGENCE = 0.005
 PRIOR = 5.0
 LEAST = 2
 GAIN = 2.0
-SHARD = 2_000_000
+SHARD = 1_000_000
 BITS = 20  # of a word's number; there are at most 1 / HEAD words, and DEPTH of them make one code
 RARE, END, FIRST = 0, 1, 2  # symbols; frequent words count from FIRST
 HELD_COUNTS = 1 << 19  # distinct codes a task holds before it hands them on
-HELD_TOKENS = 1 << 20  # tokens for the tail a task holds before it hands them on
+HELD_TOKENS = 1 << 19  # tokens for the tail a task holds before it hands them on
 
 
 @dataclass
@@ -402,6 +402,14 @@ def refine(tree: Tree, code: np.ndarray, word: np.ndarray, train: np.ndarray) ->
     return out
 
 
+def _sums(parts: pa.Table) -> pa.Table:
+    """One sum per text from what the shards return for the texts that a task held together, at most some HELD_TOKENS tokens."""
+    place = pc.list_flatten(parts["rows"]).to_numpy()
+    total = np.bincount(place, pc.list_flatten(parts["deltas"]).to_numpy()) if len(place) else np.zeros(0)
+    at = np.flatnonzero(total)
+    return pa.table({"row": pa.array(at + parts["row"][0].as_py(), pa.int64()), "tail": pa.array(total[at], pa.float64())})
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     spark = docs.sparkSession
@@ -426,10 +434,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 return
             code, shard, word, row, train = (np.concatenate(c) for c in zip(*waiting))
             waiting.clear()
+            first = int(row.min()) if len(row) else 0
             order = np.argsort(shard, kind="stable")
             starts = np.flatnonzero(np.diff(shard[order], prepend=-1))
             for mine in np.split(order, starts[1:]) if len(order) else ():
-                first = int(row[mine].min())
                 blob = _packed(code[mine], word[mine], row[mine] - first, train[mine])
                 values = {"row": first, "shard": int(shard[mine[0]]), "tail": blob}
                 yield pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in sent], schema=sent)
@@ -503,13 +511,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     scored = both.where(F.col("rows").isNull()).drop("rows", "deltas")
     asked = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
     met = asked.join(rare.withColumnRenamed("code", "words"), "words", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    below = both.where(F.col("rows").isNotNull()).select(F.col("row").alias("first"), F.explode(F.arrays_zip("rows", "deltas")).alias("d"))
+    below = both.where(F.col("rows").isNotNull()).select("row", "rows", "deltas").groupBy("row").applyInArrow(_sums, "row long, tail double")
     none = F.lit(0).cast("long")
     added = met.select(
         "row", (F.col("times") * F.log10(F.col("n") + 0.5)).alias("more"), F.col("times").cast("long").alias("rare_tokens"),
         F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("long").alias("rare_known"), F.lit(0.0).alias("tail")).unionByName(
-        below.select((F.col("first") + F.col("d.rows")).alias("row"), F.lit(0.0).alias("more"), none.alias("rare_tokens"),
-                     none.alias("rare_known"), F.col("d.deltas").cast("double").alias("tail")))
+        below.select("row", F.lit(0.0).alias("more"), none.alias("rare_tokens"), none.alias("rare_known"), "tail"))
     more = added.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "rare_tokens", "rare_known", "tail")])
     whole = float(np.log10(tree.tokens + 0.5 * (tree.distinct + 1)))
     zero = lambda c: F.coalesce(c, F.lit(0))
