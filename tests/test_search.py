@@ -33,6 +33,26 @@ def test_keyword_search_equals_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_keyword_search_in_small_blocks_joins_no_pairs(spark):
+    docs = [(i, f"alpha title{i % 3}", " ".join(["alpha", *(f"word{'abcdefgh'[(i + j) % 8]}" for j in range(i % 7))])) for i in range(90)]
+    asks = [(i, " ".join(["alpha", *(f"word{'abcdefgh'[(i * 3 + j) % 8]}" for j in range(i % 5))])) for i in range(70)]
+    queries = spark.createDataFrame(asks, "query_id bigint, message string")
+    documents = spark.createDataFrame(docs, "doc_id bigint, title string, text string")
+    found = [search.keyword_search(queries, documents, **sizes) for sizes in ({"query_rows": 9, "document_rows": 20}, {})]
+    few, one = (sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in f.collect()) for f in found)
+    assert few == one and len(one) == 3 * len(asks)
+    want = []
+    for q, message in asks:
+        words = set(message.split())
+        words = {w for w in words if len(w) > 2}
+        scores = [(-(3 * len(words & {"alpha", "title"}) + len(words & set(b.split())) / len(set(b.split())) * 10), d) for d, _, b in docs]
+        want += [(q, r + 1, d, -s) for r, (s, d) in enumerate(sorted(scores)[:3])]
+    assert one == sorted(want)
+    # every message shares a word with every document; what is joined are the best rows with their titles only
+    plan = found[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_vector_search_in_small_blocks(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(120, 8))
