@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import frames, sequences, skew
+from tidewell.session import settings
 
 S = sequences.SECOND
 
@@ -204,3 +205,21 @@ def test_order_statistics_of_odd_numbers(spark, small):
     assert skew.order_statistics(whole, "v", [0, 15_000, 29_999], small) == [0, 50, 99]
     assert skew.quantiles(whole, "v", [0.5, 0.75], 30_000) == [49.5, 74.25]
     assert skew.quantile(table.where("v is null"), "v", 0.5) is None
+
+
+def test_many_short_keys_share_batches(spark):
+    """Keys cost a slice of a batch; one that ends in the next batch goes on from its state, and whole numbers stay whole beside nulls."""
+    large = (1 << 53) + 1
+    rows = [(k if k else None, t * 1_000_000, 10 * k + t, large + t if t % 2 else None) for k in range(40) for t in range(k % 7 + 1)]
+    df = spark.createDataFrame(rows, "k bigint, at bigint, id bigint, other bigint")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="3"):
+        out = sequences.rate_limit(df, ["k"], "at", "id", 2, 3)
+        found = sorted(out.collect(), key=lambda r: (r["k"] or 0, r["at"]))
+    want = []
+    for k in range(40):
+        hits: list[int] = []
+        want += [sequences.limit_step(hits, t * 1_000_000, 2, 3_000_000) for t in range(k % 7 + 1)]
+    assert [(r["k"], r["at"], r["id"], r["other"]) for r in found] == rows
+    assert [r["allowed"] for r in found] == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
