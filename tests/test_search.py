@@ -70,6 +70,26 @@ def test_vector_search_in_small_blocks(spark):
         assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in got) == sorted(want)
 
 
+def test_vector_block_holds_few_scores():
+    """Scores are held for some queries at a time; equal scores go by doc_id, also where they end the list."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(500, 8))
+    corpus = pd.DataFrame({"doc_id": rng.permutation(4000), "vector": [base[i % 500] for i in range(4000)]})  # eight of each
+    queries = pd.DataFrame({"query_id": range(1500), "vector": [base[i % 500] for i in range(1500)]})
+    tracemalloc.start()
+    found = search._best_in_block(5, 0.4)(queries, corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all scores at once are 48 MB, and their order as much again
+    same = corpus.groupby(corpus.index % 500)["doc_id"].apply(lambda x: sorted(x)[:5])
+    got = found.groupby("query_id")["doc_id"].apply(list)
+    assert all(got[q] == same[q % 500] for q in range(1500)) and len(found) == 7500
+
+
 def test_sources_distinct_cut_and_budget(spark):
     rows = [(1, 0, "Your notes", "n" * 9000), (1, 1, "A", "a" * 2000), (1, 2, "a", "A" * 2000), (1, 3, " ", "b" * 1800),
             (1, 4, "C", "   "), (1, 5, "D", "d" * 3000), (1, 6, "E", "e"), (2, 0, "X", "x")]
