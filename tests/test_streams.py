@@ -154,6 +154,22 @@ def test_a_key_waits_in_many_chunks(spark, tmp_path, monkeypatch):
     assert same(run.table, sequences.sequential(rows.drop("ts"), ["k"], rule))
 
 
+def test_small_buckets_share_entries(spark, tmp_path):
+    """A key with a few rows an hour costs an entry and not one for every hour; two files bring hours in turn, and one ends what waits."""
+    hours = [(i, f"k{i % 2}", START + (i // 2) * 3_600 * S) for i in range(120)]
+    for name, part in (("a", hours[:40:2] + hours[1:80:3]), ("b", [h for h in hours if h not in hours[:40:2] + hours[1:80:3]])):
+        rows = spark.createDataFrame(part, "id bigint, k string, at bigint").withColumn("ts", F.timestamp_micros("at")).coalesce(1)
+        rows.write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    table = spark.read.parquet(str(tmp_path / "t.parquet")).drop("ts")
+    rule = sequences.limit_rule("at", "id", 2, 3 * 3_600)
+    for delay, most in (("10 days", 8), ("2 days", 8)):
+        stream = jobs.file_stream(spark, str(tmp_path), "t.parquet", 1).withWatermark("ts", delay)
+        run = jobs.run_rule(stream, ["k"], rule, "at", 3 * 3_600, "shared", 3_600)
+        held = spark.read.format("statestore").option("stateVarName", "waiting").load(run.marks)
+        assert 0 < held.count() <= most
+        assert same(run.table, sequences.sequential(table, ["k"], rule))
+
+
 def test_restart_reads_only_new_files(spark, calls):
     from tidewell.session import work_dir
 

@@ -37,15 +37,18 @@ def apply_rule(rule: Rule, state: Any, rows: list, names: list[str]) -> tuple[pd
 
 
 CHUNK_ROWS = 2_000  # waiting rows in one entry of the map
+SHARED_ROWS = 64  # buckets with fewer rows share an entry until it has so many
 BUCKET_SECONDS = 3_600
 
 
 class RuleProcessor(StatefulProcessor):
     """Applies a rule to the rows of a key and keeps its state between micro-batches.
 
-    With event time, rows wait in a map from (bucket of time, number) to a chunk of rows.  New rows are only ever appended; nothing
-    that waits is read or written again before its time.  When the watermark has passed the end of a bucket, its timer goes off, and
-    the bucket is read, taken in time order, whatever batch brought its rows, and removed: memory holds one bucket of one key.
+    With event time, rows wait in a map from (bucket of time, number) to a chunk of rows.  New rows are only ever appended.  A call to
+    the state store costs more than a few rows do, so buckets of few rows share an entry, filed under its first bucket; when that is due,
+    what is not is filed again.  Larger entries hold one bucket and are not read before its time.  One timer stands for the
+    first bucket that waits.  When the watermark has passed its end, due buckets are read, taken in time order, whatever batch
+    brought their rows, and removed: memory holds one bucket of one key, and the entries that a few rows share.
     Rows behind the watermark never come here (Spark counts them).  The rule's own state is a value apart; it goes ``keep_ms``
     after the key's last row, or as soon as the rule leaves it empty.  Without event time rows are taken batch by batch, and state
     goes when the rule leaves it empty.
@@ -60,7 +63,7 @@ class RuleProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", "body string, last bigint")
         if self.time:
             self.waiting = handle.getMapState("waiting", "bucket bigint, number int", "body string")
-            self.counts = handle.getMapState("counts", "bucket bigint", "chunks int")
+            self.counts = handle.getValueState("counts", "body string")
 
     def _load(self) -> tuple[Any, int | None]:
         if not self.state.exists():
@@ -82,38 +85,76 @@ class RuleProcessor(StatefulProcessor):
             self._store(state, None)
             yield done[self.out]
             return
+        counts = self._counts()
+        first = min(counts, default=None)
         for frame in rows:
-            for bucket, part in frame.groupby(frame[self.time] // (self.bucket_ms * 1000), sort=False):
-                at = (int(bucket),)
-                known = self.counts.getValue(at) if self.counts.containsKey(at) else None
-                number = known[0] if known else 0
-                if not number:
-                    self.handle.registerTimer((int(bucket) + 1) * self.bucket_ms)
-                for start in range(0, len(part), CHUNK_ROWS):
-                    body = json.dumps(_plain(part.iloc[start:start + CHUNK_ROWS], self.names), ensure_ascii=False)
-                    self.waiting.updateValue((int(bucket), number), (body,))
-                    number += 1
-                self.counts.updateValue(at, (number,))
+            self._file(_plain(frame, self.names), counts)
+        if counts and (first is None or min(counts) < first):
+            self.handle.registerTimer((min(counts) + 1) * self.bucket_ms)
+        self._note(counts)
+        yield from ()
+
+    def _bucket(self, row: list) -> int:
+        return int(row[self.names.index(self.time)] // (self.bucket_ms * 1000))
+
+    def _counts(self) -> dict[int, int]:
+        """How many entries are filed under each bucket."""
+        return {int(b): n for b, n in json.loads(self.counts.get()[0]).items()} if self.counts.exists() else {}
+
+    def _note(self, counts: dict[int, int]) -> None:
+        self.counts.update((json.dumps(counts),)) if counts else self.counts.clear()
+
+    def _file(self, rows: list, counts: dict[int, int]) -> None:
+        """Write rows that wait as entries of the map."""
+        buckets: dict[int, list] = {}
+        for row in rows:
+            if row[self.names.index(self.time)] is not None:
+                buckets.setdefault(self._bucket(row), []).append(row)
+        shared: list = []
+        entries: list[tuple[int, list]] = []
+        for bucket in sorted(buckets):
+            mine = buckets[bucket]
+            if len(mine) >= SHARED_ROWS:
+                entries += [(bucket, mine[i:i + CHUNK_ROWS]) for i in range(0, len(mine), CHUNK_ROWS)]
+                continue
+            if not shared or len(shared[-1][1]) + len(mine) > SHARED_ROWS:
+                shared.append((bucket, []))
+            shared[-1][1].extend(mine)
+        for bucket, mine in entries + shared:
+            number = counts.get(bucket, 0)
+            self.waiting.updateValue((bucket, number), (json.dumps(mine, ensure_ascii=False),))
+            counts[bucket] = number + 1
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs()
-        buckets = sorted(k[0] for k in self.counts.keys())
-        due = [b for b in buckets if (b + 1) * self.bucket_ms <= upto]
+        at, counts = self.names.index(self.time), self._counts()
         state, last = self._load()
-        for bucket in due:
-            rows: list = []
-            for number in range(self.counts.getValue((bucket,))[0]):
-                rows += json.loads(self.waiting.getValue((bucket, number))[0])
+        first, took = min(counts, default=None), False
+        while counts and (min(counts) + 1) * self.bucket_ms <= upto:
+            bucket, due, rest = min(counts), [], []
+            for number in range(counts.pop(bucket)):
+                for row in json.loads(self.waiting.getValue((bucket, number))[0]):
+                    (due if self._bucket(row) == bucket else rest).append(row)
                 self.waiting.removeKey((bucket, number))
-            self.counts.removeKey((bucket,))
-            done, state = apply_rule(self.rule, state, rows, self.names)
-            at = self.names.index(self.time)
-            last = max(r[at] for r in rows)
+            # small buckets that come due together and have no entry of their own need not be filed in between
+            while rest:
+                following = min(map(self._bucket, rest))
+                if (following + 1) * self.bucket_ms > upto or counts and min(counts) <= following:
+                    break
+                due += [row for row in rest if self._bucket(row) == following]
+                rest = [row for row in rest if self._bucket(row) != following]
+            self._file(rest, counts)
+            done, state = apply_rule(self.rule, state, due, self.names)
+            last, took = max(r[at] for r in due), True
             yield done[self.out]
-        idle = len(due) == len(buckets) and self.keep_ms is not None and last is not None
+        if took:
+            self._note(counts)
+        if counts and min(counts) != first:
+            self.handle.registerTimer((min(counts) + 1) * self.bucket_ms)
+        idle = not counts and self.keep_ms is not None and last is not None
         if idle and last // 1000 + self.keep_ms <= upto:
             state = None
-        elif idle and due and not is_empty(state):
+        elif idle and took and not is_empty(state):
             self.handle.registerTimer(last // 1000 + self.keep_ms)
         self._store(state, last)
 
