@@ -2,11 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import lint, packing, search, sequences
+from tidewell.plans import texts
 
 WHOLE = re.compile(r"(?s)<think>.*?(</think>|\Z)")
 TEXTS = [
@@ -76,3 +79,18 @@ def test_inverted_file(spark):
     every = {(r.query_id, r.doc_id) for r in search.vector_search_approx(queries, corpus, probes=1.0).collect()}
     assert every == exact
     assert search.vector_search_approx(queries, corpus.limit(0)).count() == 0
+
+
+def test_cut_of_a_long_text_takes_one_walk(spark):
+    """Two million letters in pieces of five: a walk from the start for every piece took minutes."""
+    long = "aé😀\n<" * 400_000
+    rows = [(60, long), (61, None), (119, ""), (62, "a\r\nb" * 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, answer string").repartition(1)
+    start = time.monotonic()
+    got = {}
+    for r in texts._cut(df).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "piece"))).alias("p")).collect():
+        got[r.doc_id] = [(x.n, x.piece) for x in r.p]
+    assert time.monotonic() - start < 40
+    assert got[60] == [(i, "aé😀\n<") for i in range(400_000)]
+    assert got[61] == [(None, None)] and got[119] == [(0, "")]
+    assert [p for _, p in got[62]] == ["a\r\nba\r\n", "ba\r\nba\r", "\nb"]
