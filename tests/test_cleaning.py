@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import cleaning
+from tidewell.plans import views
 from tidewell.sources import files
 
 
@@ -192,3 +193,11 @@ def test_markdown_folder(spark, tmp_path):
     (tmp_path / "blank.md").write_text("# Only a heading\n")
     out = files.read_markdown(spark, str(tmp_path)).orderBy("title").collect()
     assert [(r["title"], r["text"]) for r in out] == [("Resetting", "Use the link."), ("no heading", "Plain body.")]
+
+
+def test_one_row_group_is_dealt_over_all_cores(spark):
+    """The customer table is one row group, which one task reads; the work on its cells is for all of them."""
+    cores = spark.sparkContext.defaultParallelism
+    for view in (views.dirty_customer, views.dirty_records):
+        sizes = [r["count"] for r in view(spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == cores and max(sizes) < 1.5 * sum(sizes) / cores
