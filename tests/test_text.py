@@ -138,3 +138,15 @@ def test_escalation_reason(column):
         "Escalation phrase detected: 'fraud'", "Escalation phrase detected: 'legal'",
         "High frustration detected in message tone", "High frustration detected in message tone", None]
     assert column(["hi"], lambda c: support.escalation_reason(c, F.lit(False))) == ["Account has an unresolved billing issue"]
+
+
+def test_chunks_of_a_long_text_take_one_walk(spark):
+    """Four million letters without a line break: a fold that copied its chunks at every word took minutes."""
+    import time
+
+    words = 800_000
+    df = spark.createDataFrame([("word " * words,)], "t string")
+    start = time.monotonic()
+    found = df.select(packing.overlapping_chunks(F.col("t")).alias("c")).first().c
+    assert time.monotonic() - start < 40
+    assert len(found[0]) == 799 and len(found) == -(-(words - 160) // 140) + 1
