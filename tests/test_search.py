@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import fixed
 from tidewell.operators import search
+from tidewell.plans import views
 
 
 def test_keyword_search_equals_brute_force(spark):
@@ -113,3 +114,20 @@ def test_embedding_hook(spark):
     assert [r[0] for r in df.select(model(F.col("t"))).collect()] == [[2.0, 1.0], [1.0, 1.0]]
     norm = [sum(x * x for x in r[0]) for r in df.select(search.hash_embedding(F.col("t"))).collect()]
     assert norm == [1.0, 1.0]
+
+
+def test_a_word_is_hashed_once_per_batch(spark, monkeypatch):
+    monkeypatch.setattr(search, "embedder", lambda function: lambda column: function)
+    embed, calls, md5 = search.hash_embedding(F.col("t")), [], search.hashlib.md5
+    monkeypatch.setattr(search.hashlib, "md5", lambda b: calls.append(b) or md5(b))
+    vectors = embed(["one two two", "two one"] * 50 + [""])
+    assert sorted(calls) == [b"one", b"two"] and len(vectors) == 101 and not vectors[-1].any()
+
+
+def test_titles_are_the_first_six_words(spark, monkeypatch):
+    texts = [None, "", " ", "a", " a\tb ", "a b  c\nd e f", "a b c d e f ", " a b c d e f g", "x" * 2_000_000 + " y"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    monkeypatch.setattr(views, "documents", lambda *_: docs)
+    got = {r.doc_id: r.title for r in views.kb(spark, "").collect()}
+    import re
+    assert [got[i] for i in range(len(texts))] == [t if t is None else " ".join(re.sub(r"\s+", " ", t).split(" ")[:6]) for t in texts]
