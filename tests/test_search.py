@@ -54,6 +54,38 @@ def test_keyword_search_in_small_blocks_joins_no_pairs(spark):
     assert plan.count("Join ") == 1
 
 
+def test_keyword_search_copies_neither_side(spark, monkeypatch):
+    """Queries and vocabulary in rounds, documents in blocks: the same rows, and no side is copied for the blocks of the other."""
+    import re
+
+    rnd = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "lmnr"]
+    docs = [(i, " ".join(rnd.choices(words[:30], k=rnd.randrange(0, 7))), " ".join(rnd.choices(words, k=rnd.choice([1, 3, 9, 60, 200]))))
+            for i in rnd.sample(range(10**9), 400)]
+    docs += [(i + 10**9, t, b) for i, t, b in docs[:80]]  # equal scores go by doc_id
+    docs += [(2 * 10**9, " ".join(words), "all"), (2 * 10**9 + 1, None, None)]  # 120 title words, 360 points
+    asks = [(f"q{i}", " ".join(rnd.choices(words, k=rnd.randrange(0, 30)))) for i in range(80)] + [("all", " ".join(words)), ("none", None)]
+
+    def bag(t):
+        return set(re.findall("[a-z]{3,}", (t or "").lower())) - set(fixed.STOP_WORDS)
+
+    bags = [(d, bag(t), bag(b)) for d, t, b in docs]
+    want = []
+    for q, message in asks:
+        scores = sorted((-(len(bag(message) & t) * 3 + len(bag(message) & b) / max(len(b), 1) * 10), d) for d, t, b in bags)[:3]
+        want += [(q, r + 1, d, -s) for r, (s, d) in enumerate(scores) if s <= -1.5]
+    queries = spark.createDataFrame(asks, "query_id string, message string")
+    documents = spark.createDataFrame(docs, "doc_id bigint, title string, text string")
+    for limit in (None, "QUERY_WORDS", "VOCABULARY", "BLOCK_WORDS"):
+        with monkeypatch.context() as m:
+            if limit:
+                m.setattr(search, limit, 100 if limit != "QUERY_WORDS" else 400)
+            found = search.keyword_search(queries, documents, **({} if limit else {"query_rows": 30, "document_rows": 25}))
+            assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in found.collect()) == sorted(want), limit
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "CoGroup" not in plan and "sequence(0" not in plan
+
+
 def test_vector_search_in_small_blocks(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(120, 8))
