@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell import fixed
-from tidewell.operators import search
-from tidewell.plans import views
+from tidewell.operators import search, skew
+from tidewell.plans import support, views
 
 
 def test_keyword_search_equals_brute_force(spark):
@@ -86,6 +86,23 @@ def test_keyword_search_copies_neither_side(spark, monkeypatch):
             assert "CoGroup" not in plan and "sequence(0" not in plan
 
 
+def test_only_wanted_rows_are_shuffled(spark, monkeypatch):
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("body"))
+    wanted = spark.createDataFrame([(5,), (5,), (7,), (500,), (None,)], "doc_id bigint")
+    found = skew.only_wanted(rows, wanted, "doc_id")
+    assert sorted(r.doc_id for r in found.collect()) == [5, 7]
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 2)
+    assert skew.only_wanted(rows, wanted, "doc_id").count() == 100
+
+
+def test_audit_log_shuffles_no_unasked_text(spark):
+    """The texts of the knowledge base meet the hits where they are read."""
+    handled = support._handled(spark, "/root/testdata/sf0.001")
+    plan = handled._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi, (" in plan and "strategy=broadcast" in plan
+
+
 def test_vector_search_in_small_blocks(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(120, 8))
