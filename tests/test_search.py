@@ -140,6 +140,30 @@ def test_vector_block_holds_few_scores():
     assert all(got[q] == same[q % 500] for q in range(1500)) and len(found) == 7500
 
 
+def test_vector_block_is_exact_beside_rough_scores():
+    """Against all pairs: near ties, equal vectors anywhere, vectors without a direction or a number, fewer vectors than k."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(700, 16))
+    base[::7] = base[3] + rng.normal(size=(100, 16)) * 1e-7  # single precision cannot tell these apart
+    base[5::50] = base[11]
+    base[20], base[21] = 0, np.nan
+    for n in (3, 150, 700):
+        for least in (0.4, 0.9, 0.99999):
+            ids = rng.permutation(10_000)[:n]
+            found = search._best_in_block(5, least)(
+                pd.DataFrame({"query_id": range(300), "vector": list(base[:300])}), pd.DataFrame({"doc_id": ids, "vector": list(base[:n])}))
+            size = np.sqrt((base * base).sum(axis=1, keepdims=True))
+            unit = base / np.where(size == 0, 1, size)
+            want = []
+            for q in range(300):
+                scores = (unit[q] * unit[:n]).sum(axis=1)
+                best = sorted((-s, d) for s, d in zip(scores, ids) if s > least)[:5]
+                want += [(q, d, -s) for s, d in best]
+            assert list(zip(found["query_id"], found["doc_id"], found["score"])) == want
+
+
 def test_sources_distinct_cut_and_budget(spark):
     rows = [(1, 0, "Your notes", "n" * 9000), (1, 1, "A", "a" * 2000), (1, 2, "a", "A" * 2000), (1, 3, " ", "b" * 1800),
             (1, 4, "C", "   "), (1, 5, "D", "d" * 3000), (1, 6, "E", "e"), (2, 0, "X", "x")]

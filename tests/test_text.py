@@ -150,3 +150,25 @@ def test_chunks_of_a_long_text_take_one_walk(spark):
     found = df.select(packing.overlapping_chunks(F.col("t")).alias("c")).first().c
     assert time.monotonic() - start < 40
     assert len(found[0]) == 799 and len(found) == -(-(words - 160) // 140) + 1
+
+
+def test_chunks_equal_the_fold(column):
+    """One walk gives what the fold gives: long sentences, blanks of all kinds at the cuts, letters outside the basic plane."""
+    import random
+
+    rnd = random.Random(2)
+    blanks = [" ", "  ", "\n", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b", "\ufeff", "\u3000\t"]
+    texts = ["", " ", "x", None, "A. " * 400, "y" * 1200 + ". " + "z" * 30 + ". " + "w" * 31]
+    for _ in range(60):
+        texts.append("".join(rnd.choice(["ab", "\U0001f600", "é"]) * rnd.randrange(0, 90) + rnd.choice([".", "!", "?", ""]) + rnd.choice(blanks)
+                             for _ in range(rnd.randrange(1, 60))))
+    fold = lambda c: F.filter(packing.pack(text.split_sentences(text.trim_all(c)), 500), lambda p: F.length(p) > 30)
+    assert column(texts, packing.chunks) == column(texts, fold)
+
+
+def test_chunks_of_a_long_text_take_one_walk():
+    import time
+
+    cut, start = packing._packed(500, 30), time.time()
+    assert len(cut(["A sentence of some words."] * 400_000)) > 20_000
+    assert time.time() - start < 20
