@@ -170,6 +170,30 @@ def test_small_buckets_share_entries(spark, tmp_path):
         assert same(run.table, sequences.sequential(table, ["k"], rule))
 
 
+@pytest.mark.parametrize("name", ["limit", "breaker", "hold"])
+def test_many_keys_share_slots(spark, tmp_path, monkeypatch, name):
+    """Spark is called for slots and not for keys; keys keep their own states, a null key too, and states go when their time is over."""
+    monkeypatch.setattr("tidewell.streaming.processors.SLOTS", 3)
+    rows = spark.range(0, 600, 1, 1).selectExpr(
+        "id", "case when id % 37 > 0 then concat('k', id % 37) end as k", "cast(id % 2 as int) as part", f"{START} + id * {7 * S} as at",
+        "case when id % 4 = 0 then 'ok' else 'failure' end as outcome").withColumn("ts", F.timestamp_micros("at"))
+    folder = str(tmp_path / "calls.parquet")
+    order = sorted(range(600), key=lambda i: i + random.Random(i).uniform(0, 24))
+    write_files(spark, folder, rows, [order[i * 100:(i + 1) * 100] for i in range(6)])
+    rule, keep = rule_of(name)
+    stream = jobs.file_stream(spark, str(tmp_path), "calls.parquet", 1).withWatermark("ts", "5 minutes")
+    run = jobs.run_rule(stream, ["k", "part"], rule, "at", keep, "slots", 90)
+    assert same(run.table, sequences.sequential(rows.drop("ts"), ["k", "part"], rule))
+    for variable in ("waiting", "counts"):
+        held = spark.read.format("statestore").option("stateVarName", variable).load(run.marks)
+        assert held.select("key").distinct().count() <= 3
+    left = spark.read.format("statestore").option("stateVarName", "state").load(run.marks).select("user_map_value.last").collect()
+    if keep is not None:  # nothing older than a state is kept for, the watermark's delay, and two buckets
+        assert all(r["last"] > START + (599 * 7 - 300 - keep - 2 * 90 - 24 * 7) * S for r in left)
+    states = run.states.collect()
+    assert len({(r["k"], r["part"]) for r in states}) == len(states) <= 74
+
+
 def test_restart_reads_only_new_files(spark, calls):
     from tidewell.session import work_dir
 

@@ -13,7 +13,7 @@ from tidewell.operators import packing, skew
 from tidewell.operators.sequences import Rule
 from tidewell.session import ROCKSDB, materialise, settings, work_dir
 from tidewell.sources.keyed import KeyedTable
-from tidewell.streaming.processors import BUCKET_SECONDS, state_of, stateful, waiting
+from tidewell.streaming.processors import BUCKET_SECONDS, stateful, states, waiting
 
 FILES_PER_BATCH = 64
 
@@ -64,7 +64,7 @@ def run_rule(
     rest = materialise(waiting(stream, keys, rule, run.marks), f"{label}-waiting")
     run.table = run.table.unionByName(rest.drop("_state"))
     after = rest.where("_state is not null").select(*keys, F.col("_state").alias("body"))
-    held = state_of(stream, keys, run.marks, "state").select(*keys, F.col("value.body").alias("body"))
+    held = states(stream, keys, run.marks)
     run.states = after.unionByName(skew.equal_join(held, after.select(*keys), keys, "left_anti"))
     return run
 

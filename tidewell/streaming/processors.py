@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -16,12 +17,13 @@ from tidewell.operators.sequences import Rule, no_rows
 
 
 def _frame(rows: list, names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(names, columns, strict=True)})
 
 
 def _plain(chunk: pd.DataFrame, names: list[str]) -> list[list]:
     """Rows as lists that JSON can hold."""
-    columns = [[None if pd.isna(v) else v for v in chunk[n].tolist()] for n in names]
+    columns = [chunk[n].astype(object).where(chunk[n].notna(), None).tolist() if chunk[n].isna().any() else chunk[n].tolist() for n in names]
     return [list(r) for r in zip(*columns, strict=True)]
 
 
@@ -36,6 +38,34 @@ def apply_rule(rule: Rule, state: Any, rows: list, names: list[str]) -> tuple[pd
     return frame.assign(**new), after
 
 
+def apply_by_key(rule: Rule, enter: Callable[[str], Any], rows: list, names: list[str], keys: list[str]) -> tuple[pd.DataFrame, dict[str, tuple[Any, int]]]:
+    """Rows of many keys, each key's in the rule's order, with the new columns; by key the state after it and its number of rows.
+
+    A key is one text, which Spark can take apart again.
+    """
+    key, order = itemgetter(*[names.index(n) for n in keys]), [names.index(n) for n in rule.order]
+    groups: dict[Any, list] = {}
+    for row in rows:
+        groups.setdefault(key(row), []).append(row)
+    for mine in groups.values():
+        try:
+            mine.sort(key=itemgetter(*order))
+        except TypeError:  # a null is no number: nulls come last
+            mine.sort(key=lambda row: [(row[i] is None, row[i]) for i in order])
+    frame = _frame([row for mine in groups.values() for row in mine], names)
+    added: dict[str, list] = {}
+    after, start = {}, 0
+    for values, mine in groups.items():
+        name = json.dumps(dict(zip(keys, values if len(keys) > 1 else [values], strict=True)), ensure_ascii=False)
+        new, state = rule.run(enter(name), frame.iloc[start:start + len(mine)].reset_index(drop=True))
+        for column, found in new.items():
+            added.setdefault(column, []).extend(found.tolist() if hasattr(found, "tolist") else found)
+        after[name], start = (state, len(mine)), start + len(mine)
+    return frame.assign(**{n: pd.Series(v, dtype=object) for n, v in added.items()}), after
+
+
+SLOTS = 4_096  # keys with event time share so many places in the state
+SLOT = "_slot"
 CHUNK_ROWS = 2_000  # waiting rows in one entry of the map
 SHARED_ROWS = 64  # buckets with fewer rows share an entry until it has so many
 BUCKET_SECONDS = 3_600
@@ -44,45 +74,40 @@ BUCKET_SECONDS = 3_600
 class RuleProcessor(StatefulProcessor):
     """Applies a rule to the rows of a key and keeps its state between micro-batches.
 
-    With event time, rows wait in a map from (bucket of time, number) to a chunk of rows.  New rows are only ever appended.  A call to
+    With event time, keys are dealt over ``SLOTS`` slots by hash, and a slot is what Spark takes for the key: a call for a key costs
+    more than the work on its rows.  Rows wait in a map from (bucket of time, number) to a chunk of rows.  New rows are only ever appended.  A call to
     the state store costs more than a few rows do, so buckets of few rows share an entry, filed under its first bucket; when that is due,
     what is not is filed again.  Larger entries hold one bucket and are not read before its time.  One timer stands for the
     first bucket that waits.  When the watermark has passed its end, due buckets are read, taken in time order, whatever batch
-    brought their rows, and removed: memory holds one bucket of one key, and the entries that a few rows share.
-    Rows behind the watermark never come here (Spark counts them).  The rule's own state is a value apart; it goes ``keep_ms``
-    after the key's last row, or as soon as the rule leaves it empty.  Without event time rows are taken batch by batch, and state
-    goes when the rule leaves it empty.
+    brought their rows, and removed: memory holds one bucket of one slot, and the entries that a few rows share.
+    Rows behind the watermark never come here (Spark counts them).  The rule's own states are a map apart, by key; a state goes when
+    nothing within ``keep_ms`` of the key's last row can still come, or as soon as the rule leaves it empty.  Without event time rows are
+    taken key by key and batch by batch, and state goes when the rule leaves it empty.
     """
 
-    def __init__(self, rule: Rule, names: list[str], out: list[str], time: str | None, keep_ms: int | None, bucket_ms: int) -> None:
-        self.rule, self.names, self.out, self.time = rule, names, out, time
+    def __init__(self, rule: Rule, names: list[str], out: list[str], time: str | None, keep_ms: int | None, bucket_ms: int, keys: list[str]) -> None:
+        self.rule, self.names, self.out, self.time, self.keys = rule, names, out, time, keys
         self.keep_ms, self.bucket_ms = keep_ms, bucket_ms
+        self.at = names.index(time) if time else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "body string, last bigint")
-        if self.time:
-            self.waiting = handle.getMapState("waiting", "bucket bigint, number int", "body string")
-            self.counts = handle.getValueState("counts", "body string")
-
-    def _load(self) -> tuple[Any, int | None]:
-        if not self.state.exists():
-            return None, None
-        body, last = self.state.get()
-        return json.loads(body), last
-
-    def _store(self, state: Any, last: int | None) -> None:
-        if is_empty(state):
-            self.state.clear()
-        else:
-            self.state.update((json.dumps(state, ensure_ascii=False), last))
+        if not self.time:
+            self.state = handle.getValueState("state", "body string, last bigint")
+            return
+        self.state = handle.getMapState("state", "key string", "body string, last bigint")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, number int", "body string")
+        self.counts = handle.getValueState("counts", "body string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         if not self.time:
-            state, _ = self._load()
+            state = json.loads(self.state.get()[0]) if self.state.exists() else None
             fresh = [r for chunk in rows for r in _plain(chunk, self.names)]
             done, state = apply_rule(self.rule, state, fresh, self.names)
-            self._store(state, None)
+            if is_empty(state):
+                self.state.clear()
+            else:
+                self.state.update((json.dumps(state, ensure_ascii=False), None))
             yield done[self.out]
             return
         counts = self._counts()
@@ -95,7 +120,7 @@ class RuleProcessor(StatefulProcessor):
         yield from ()
 
     def _bucket(self, row: list) -> int:
-        return int(row[self.names.index(self.time)] // (self.bucket_ms * 1000))
+        return int(row[self.at] // (self.bucket_ms * 1000))
 
     def _counts(self) -> dict[int, int]:
         """How many entries are filed under each bucket."""
@@ -108,7 +133,7 @@ class RuleProcessor(StatefulProcessor):
         """Write rows that wait as entries of the map."""
         buckets: dict[int, list] = {}
         for row in rows:
-            if row[self.names.index(self.time)] is not None:
+            if row[self.at] is not None:
                 buckets.setdefault(self._bucket(row), []).append(row)
         shared: list = []
         entries: list[tuple[int, list]] = []
@@ -125,10 +150,37 @@ class RuleProcessor(StatefulProcessor):
             self.waiting.updateValue((bucket, number), (json.dumps(mine, ensure_ascii=False),))
             counts[bucket] = number + 1
 
+    def _enter(self, key: str) -> Any:
+        held = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+        return json.loads(held[0]) if held else None
+
+    def _judge(self, due: list) -> pd.DataFrame:
+        """The rule over the rows of one bucket; the states after them are kept."""
+        done, after = apply_by_key(self.rule, self._enter, due, self.names, self.keys)
+        times, start = done[self.time].tolist(), 0
+        for key, (state, n) in after.items():
+            if not is_empty(state):
+                self.state.updateValue((key,), (json.dumps(state, ensure_ascii=False), max(times[start:start + n])))
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+            start += n
+        return done[self.out]
+
+    def _expire(self, upto: int) -> int | None:
+        """Drop states that no row to come can need; the moment at which the next one goes.
+
+        What still waits or comes is in a bucket that the watermark has not passed.
+        """
+        begin = upto // self.bucket_ms * self.bucket_ms
+        ends = {key[0]: -(-(held[1] // 1000 + self.keep_ms) // self.bucket_ms) * self.bucket_ms for key, held in list(self.state.iterator())}
+        for key, end in ends.items():
+            if end <= begin:
+                self.state.removeKey((key,))
+        return min((end for end in ends.values() if end > begin), default=None)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs()
-        at, counts = self.names.index(self.time), self._counts()
-        state, last = self._load()
+        counts = self._counts()
         first, took = min(counts, default=None), False
         while counts and (min(counts) + 1) * self.bucket_ms <= upto:
             bucket, due, rest = min(counts), [], []
@@ -144,26 +196,23 @@ class RuleProcessor(StatefulProcessor):
                 due += [row for row in rest if self._bucket(row) == following]
                 rest = [row for row in rest if self._bucket(row) != following]
             self._file(rest, counts)
-            done, state = apply_rule(self.rule, state, due, self.names)
-            last, took = max(r[at] for r in due), True
-            yield done[self.out]
+            took = True
+            yield self._judge(due)
         if took:
             self._note(counts)
         if counts and min(counts) != first:
             self.handle.registerTimer((min(counts) + 1) * self.bucket_ms)
-        idle = not counts and self.keep_ms is not None and last is not None
-        if idle and last // 1000 + self.keep_ms <= upto:
-            state = None
-        elif idle and took and not is_empty(state):
-            self.handle.registerTimer(last // 1000 + self.keep_ms)
-        self._store(state, last)
+        if self.keep_ms is not None:
+            following = self._expire(upto)
+            if following is not None:
+                self.handle.registerTimer(following)
 
     def close(self) -> None:
         pass
 
 
 def _columns(stream: DataFrame, rule: Rule) -> tuple[list[str], T.StructType]:
-    fields = [f for f in stream.schema.fields if not isinstance(f.dataType, T.TimestampType)]
+    fields = [f for f in stream.schema.fields if not isinstance(f.dataType, T.TimestampType) and f.name != SLOT]
     return [f.name for f in fields], T.StructType(fields + T.StructType.fromDDL(rule.added).fields)
 
 
@@ -177,35 +226,45 @@ def stateful(stream: DataFrame, keys: list[str], rule: Rule, time: str | None =
     """
     names, schema = _columns(stream, rule)
     keep_ms = keep_seconds * 1000 if keep_seconds is not None else None
-    processor = RuleProcessor(rule, names, schema.names, time, keep_ms, bucket_seconds * 1000)
-    return stream.groupBy(*keys).transformWithStateInPandas(
+    processor = RuleProcessor(rule, names, schema.names, time, keep_ms, bucket_seconds * 1000, keys)
+    rows = stream.withColumn(SLOT, F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")) if time else stream
+    return rows.groupBy(*([SLOT] if time else keys)).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append",
         timeMode="EventTime" if time else "none")
 
 
-def state_of(stream: DataFrame, keys: list[str], marks: str, name: str) -> DataFrame:
-    """A state variable of a stopped stream, its key as columns."""
-    state = stream.sparkSession.read.format("statestore").option("stateVarName", name).load(marks)
-    return state.select(*[F.col(f"key.{k}").alias(k) for k in keys], *[c for c in state.columns if c not in ("key", "partition_id")])
+def _held(spark: SparkSession, marks: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("stateVarName", name).load(marks)
+
+
+def states(stream: DataFrame, keys: list[str], marks: str) -> DataFrame:
+    """States that a stopped stream with event time has left: the key's columns and ``body``."""
+    fields = T.StructType([stream.schema[k] for k in keys])
+    held = _held(stream.sparkSession, marks, "state")
+    return held.select(F.from_json("user_map_key.key", fields).alias("k"), F.col("user_map_value.body").alias("body")).select("k.*", "body")
 
 
 def waiting(stream: DataFrame, keys: list[str], rule: Rule, marks: str) -> DataFrame:
     """Rows that still wait for the watermark when a stream has stopped, with the rule applied; read from its checkpoint.
 
     The last row of a key carries the state after it in ``_state``.  What waits is what the watermark's delay and one
-    bucket hold.
+    bucket hold; a task takes one slot at a time.
     """
     names, schema = _columns(stream, rule)
     linked = T.StructType([*schema.fields, T.StructField("_state", T.StringType())])
-    rows = state_of(stream, keys, marks, "waiting").select(*keys, F.col("user_map_value.body").alias("body"))
-    state = state_of(stream, keys, marks, "state").select(*keys, F.col("value.body").alias("body"))
+    slot, spark = F.col(f"key.{SLOT}").alias(SLOT), stream.sparkSession
+    rows = _held(spark, marks, "waiting").select(slot, F.col("user_map_value.body").alias("body"))
+    state = _held(spark, marks, "state").select(slot, F.col("user_map_key.key").alias("held"), F.col("user_map_value.body").alias("body"))
 
-    def run(key: tuple, bodies: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, bodies: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         if bodies.empty:
             return no_rows(linked.names)
+        entering = dict(zip(before["held"], before["body"], strict=True))
         rows = [r for body in bodies["body"] for r in json.loads(body)]
-        done, after = apply_rule(rule, json.loads(held["body"].iloc[0]) if len(held) else None, rows, names)
-        done["_state"] = pd.Series([None] * (len(done) - 1) + [json.dumps(after, ensure_ascii=False)], dtype=object)
-        return done[linked.names]
+        done, after = apply_by_key(rule, lambda k: json.loads(entering[k]) if k in entering else None, rows, names, keys)
+        left = []
+        for after_key, n in after.values():
+            left += [None] * (n - 1) + [json.dumps(after_key, ensure_ascii=False)]
+        return done.assign(_state=pd.Series(left, dtype=object))[linked.names]
 
-    return rows.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(run, linked)
+    return rows.groupBy(SLOT).cogroup(state.groupBy(SLOT)).applyInPandas(run, linked)
